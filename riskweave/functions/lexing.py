@@ -21,9 +21,14 @@ PY_TRIVIA = r"(?:[ \t\f\x0B\r]++|#[^\n]*+|\\\n|\n)*+"
 JAVA_TRIVIA = r"(?:[ \t\f\x0B\r\n]++|//[^\n]*+|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/)*+"
 
 _PREFIX = r"(?:[rRbBuUfFtT]{1,2})?"
+_F_PREFIX = r"(?:[fF][rR]?|[rR][fF])"
+# A replacement field may hold the quote of its own f-string.
+_FIELD = r"\{\{|\{[^{}\n]*+(?:\{[^{}\n]*+\}[^{}\n]*+)*+\}"
 _PY_STRINGS = [
     _PREFIX + r'"""[^"\\]*+(?:(?:\\.|"[^"\\]|"\\.|""[^"\\]|""\\.)[^"\\]*+)*+"""',
     _PREFIX + r"'''[^'\\]*+(?:(?:\\.|'[^'\\]|'\\.|''[^'\\]|''\\.)[^'\\]*+)*+'''",
+    _F_PREFIX + rf'"[^"\\\n{{]*+(?:(?:\\.|{_FIELD})[^"\\\n{{]*+)*+"',
+    _F_PREFIX + rf"'[^'\\\n{{]*+(?:(?:\\.|{_FIELD})[^'\\\n{{]*+)*+'",
     _PREFIX + r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"',
     _PREFIX + r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'",
 ]
@@ -137,7 +142,8 @@ def kind_of(token: Column, language: Column) -> Column:
         | ((first == 36) & (language == "java"))
     )
     quoted = (F.length(token) > 1) & (token.endswith('"') | token.endswith("'"))
-    reserved = F.when(language == "java", token.isin(JAVA_KEYWORDS)).otherwise(token.isin(PY_KEYWORDS))
+    root = F.substring_index(token, ".", 1)
+    reserved = F.when(language == "java", root.isin(JAVA_KEYWORDS)).otherwise(root.isin(PY_KEYWORDS))
     return (
         F.when(quoted, F.lit("s"))
         .when(letter & (reserved | token.startswith("catch (")), F.lit("k"))

@@ -39,7 +39,7 @@ def resolve_language(filename: Column, override: Column) -> Column:
 
 def has_code(code: Column) -> Column:
     """True when there is any character that is not white space (B3); never null."""
-    return F.coalesce(F.regexp_like(code, F.lit(r"(?U)\S")), F.lit(False))
+    return F.coalesce(F.regexp_like(code, F.lit(r"(?U)[^\s\x1C-\x1F]")), F.lit(False))
 
 
 def python_secret(text: Column) -> Column:
