@@ -8,6 +8,9 @@ SETTINGS = {
     # Long generated methods are not compiled by the JVM; below this limit Spark generates
     # one class per operator instead, which is compiled.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Text grows about tenfold in its token rows after the shuffle, so partitions are kept small.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
 }
 
 
