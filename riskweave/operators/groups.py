@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import lexing
 from riskweave.operators.tokens import (
-    IS_JAVA, IS_PY, LEVEL_BEFORE, LEVEL_ORDER, LEVEL_SO_FAR, is_, last_where, one_of,
+    is_java, is_py, level_before, level_order, level_so_far, is_, last_where, one_of,
 )
 
 # Tokens that end an and/or chain, types without a name, operators that bind
@@ -45,30 +45,30 @@ def grouped(rows: DataFrame) -> DataFrame:
     tok = F.col("tok")
     opener, closer = tok.isin(lexing.OPENERS), tok.isin(lexing.CLOSERS)
     ends_chain = opener | F.col("line_start") | tok.isin(_CHAIN_ENDS)
-    header = (
+    header = F.when(is_py(), (
         F.when(tok.isin("lambda", "for"), F.lit(True))
         .when(opener | F.col("line_start") | tok.isin(":", "in"), F.lit(False))
-    )
+    ))
     argument_name = F.col("kind").isin("n") & one_of("p1", "(", ",", "*", "**")
     rows = rows.withColumns({
         # between lambda and its colon, or for and its in: commas there separate no arguments
-        "in_header": F.coalesce(last_where(header.isNotNull(), header, LEVEL_BEFORE), F.lit(False)),
+        "in_header": F.coalesce(last_where(header.isNotNull(), header, level_before()), F.lit(False)),
         "in_lambda": F.coalesce(
-            last_where(opener | F.col("line_start") | tok.isin("lambda", ":"), tok == "lambda", LEVEL_BEFORE),
+            last_where(opener | F.col("line_start") | tok.isin("lambda", ":"), tok == "lambda", level_before()),
             F.lit(False),
         ),
-        "chain_part": last_where(ends_chain | tok.isin("and", "or"), F.when(tok.isin("and", "or"), tok).otherwise(""), LEVEL_BEFORE),
-        "chain_or": last_where(ends_chain | (tok == "or"), F.when(tok == "or", tok).otherwise(""), LEVEL_BEFORE),
-        "try_line": last_where(tok == "try", F.col("line"), LEVEL_BEFORE),
-        "arg_name": last_where(argument_name, tok, LEVEL_SO_FAR),
-        "star_pos": last_where(tok.isin("*", "**") & one_of("p1", "(", ","), F.col("pos"), LEVEL_SO_FAR),
+        "chain_part": last_where(ends_chain | tok.isin("and", "or"), F.when(tok.isin("and", "or"), tok).otherwise(""), level_before()),
+        "chain_or": last_where(ends_chain | (tok == "or"), F.when(tok == "or", tok).otherwise(""), level_before()),
+        "try_line": last_where(tok == "try", F.col("line"), level_before()),
+        "arg_name": last_where(argument_name, tok, level_so_far()),
+        "star_pos": last_where(tok.isin("*", "**") & one_of("p1", "(", ","), F.col("pos"), level_so_far()),
     })
     plain = ~F.col("in_header")
     rows = rows.withColumns({
-        "commas": F.sum(F.when((tok == ",") & plain, 1).otherwise(0)).over(LEVEL_SO_FAR),
-        "named": F.sum(F.when(IS_PY & (
+        "commas": F.sum(F.when((tok == ",") & plain, 1).otherwise(0)).over(level_so_far()),
+        "named": F.sum(F.when(is_py() & (
             ((tok == "=") & plain) | ((tok == "**") & one_of("p1", "(", ",") & plain)
-        ), 1).otherwise(0)).over(LEVEL_SO_FAR),
+        ), 1).otherwise(0)).over(level_so_far()),
     })
     head = F.struct(
         "tok", "pos", "p1", "p2", "p3", "pk1", "pk2", "p1_line", "commas", "named", "line_start",
@@ -80,13 +80,13 @@ def grouped(rows: DataFrame) -> DataFrame:
             & one_of("p3", "public", "protected", "private", ";", "{", "}"))).alias("typed"),
     )
     rows = rows.withColumns({
-        "grp": last_where(opener, head, LEVEL_SO_FAR),
-        "before": F.lag(F.struct("tok", "t1", "p1", "p1_line"), 1).over(LEVEL_ORDER),
+        "grp": last_where(opener, head, level_so_far()),
+        "before": F.lag(F.struct("tok", "t1", "p1", "p1_line"), 1).over(level_order()),
     })
-    rows = rows.withColumn("before_grp", F.lag("grp", 1).over(LEVEL_ORDER))
+    rows = rows.withColumn("before_grp", F.lag("grp", 1).over(level_order()))
     # a brace that follows the parameter list of a method on the same level opens its body
     method = F.when(
-        IS_JAVA & (tok == "{") & is_("before.tok", ")") & one_of("before.t1", "{", "throws")
+        is_java() & (tok == "{") & is_("before.tok", ")") & one_of("before.t1", "{", "throws")
         & F.coalesce(F.col("before_grp.typed") & (F.col("before_grp.pk1") == "n")
                      & ~F.contains("before_grp.p1", F.lit(".")), F.lit(False)),
         F.struct(F.col("before_grp.p1").alias("name"), F.col("before_grp.pos").alias("fkey"),
@@ -94,7 +94,7 @@ def grouped(rows: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("body", method)
     rows = rows.withColumn("closes_body", F.when(
-        IS_JAVA & (tok == "}"), last_where(tok == "{", F.struct(F.col("body.fkey").alias("fkey")), LEVEL_BEFORE)
+        is_java() & closer, last_where(opener, F.struct(F.col("body.fkey").alias("fkey")), level_before())
     )["fkey"])
     pairs = F.create_map(*[F.lit(x) for pair in zip(lexing.CLOSERS, lexing.OPENERS) for x in pair])
     mismatch = closer & ~F.col("grp.tok").eqNullSafe(pairs[tok])
@@ -114,7 +114,7 @@ def roles(rows: DataFrame) -> DataFrame:
 
     # --- imports (C4)
     from_line = is_("stmt.tok", "from")
-    py_item = IS_PY & in_import & is_("import_ctx.stmt_pos", F.col("stmt.pos")) & (
+    py_item = is_py() & in_import & is_("import_ctx.stmt_pos", F.col("stmt.pos")) & (
         ((kind == "n") & one_of("p1", "import", ",", "(")) | ((tok == "*") & is_("p1", "import"))
     )
     bound = F.when(is_("t1", "as"), F.col("t2")).when(from_line, tok).otherwise(first)
@@ -125,13 +125,13 @@ def roles(rows: DataFrame) -> DataFrame:
     ))
     java_path = F.when(is_("t1", "static"), F.col("t2")).otherwise(F.col("t1"))
     after_path = F.when(is_("t1", "static"), F.col("t3")).otherwise(F.col("t2"))
-    java_import = F.when(IS_JAVA & (tok == "import") & (F.col("level") == 0), F.struct(
+    java_import = F.when(is_java() & (tok == "import") & (F.col("level") == 0), F.struct(
         java_path.alias("path"), F.substring_index(java_path, ".", -1).alias("name"),
         after_path.eqNullSafe(".").alias("wildcard"), F.lit(False).alias("is_from"),
         F.col("line").alias("line"),
     ))
     module = F.when(
-        IS_PY & (tok == "import") & from_line, F.col("import_ctx.module")
+        is_py() & (tok == "import") & from_line, F.col("import_ctx.module")
     ).when(py_item & ~from_line, tok).when(java_import.isNotNull(), java_path)
 
     # --- names
@@ -142,12 +142,12 @@ def roles(rows: DataFrame) -> DataFrame:
         | (in_signature & one_of("p1", "(", ",", "*", "**"))
         | (one_of("p1", "lambda") | (F.col("in_lambda") & one_of("p1", ",", "*", "**")))
     )
-    py_name = IS_PY & name & ~F.coalesce(not_a_use, F.lit(False))
+    py_name = is_py() & name & ~F.coalesce(not_a_use, F.lit(False))
     fields = F.array_join(F.regexp_extract_all(
         F.regexp_replace(tok, r"\{\{|\}\}|![rsa]", ""), F.lit(r"\{([^}]*)"), F.lit(1)), "\n")
     field_names = F.regexp_extract_all(fields, F.lit(r"(^|[^\w.])([A-Za-z_]\w*)"), F.lit(2))
-    f_string = IS_PY & (kind == "s") & tok.rlike("^[rR]?[fF]")
-    attr = F.when(IS_PY & name & dotted & ~in_import & ~one_of("p1", "def", "class"), F.struct(
+    f_string = is_py() & (kind == "s") & tok.rlike("^[rR]?[fF]")
+    attr = F.when(is_py() & name & dotted & ~in_import & ~one_of("p1", "def", "class"), F.struct(
         first.alias("qualifier"), F.split("tok", "[.]")[1].alias("member")))
     indexed = is_("t1", "[") & ~F.col("next_starts")
     py_deref = attr.isNotNull() | (py_name & ~dotted & indexed)
@@ -155,16 +155,16 @@ def roles(rows: DataFrame) -> DataFrame:
     # --- calls (C8), stated by the closing bracket
     inside = F.when(is_("p1", "("), 0).otherwise(
         F.col("commas") - F.col("grp.commas") + F.when(is_("p1", ","), 0).otherwise(1))
-    n_args = inside - F.when(IS_JAVA, 0).otherwise(F.col("named") - F.col("grp.named"))
+    n_args = inside - F.when(is_java(), 0).otherwise(F.col("named") - F.col("grp.named"))
     callee = F.col("grp.p1")
     callable_name = (
         (tok == ")") & is_("grp.tok", "(") & (F.col("grp.pk1") == "n") & F.contains(callee, F.lit("."))
-        & ~one_of("grp.p2", ".") & ~F.col("grp.line_start") & ~(IS_JAVA & one_of("grp.p2", "new", "@"))
+        & ~one_of("grp.p2", ".") & ~F.col("grp.line_start") & ~(is_java() & one_of("grp.p2", "new", "@"))
     )
     member = F.substring_index(callee, ".", -1)
     java_qualifier = F.substring(callee, F.lit(1), F.length(callee) - F.length(member) - 1)
-    py_call = callable_name & IS_PY & (F.size(F.split(callee, "[.]")) == 2)
-    java_call = callable_name & IS_JAVA & ~callee.rlike(r"(^|\.)(class|this|super|new)(\.|$)")
+    py_call = callable_name & is_py() & (F.size(F.split(callee, "[.]")) == 2)
+    java_call = callable_name & is_java() & ~callee.rlike(r"(^|\.)(class|this|super|new)(\.|$)")
     call = F.when(py_call | java_call, F.struct(
         java_qualifier.alias("qualifier"), member.alias("member"), n_args.cast("int").alias("n_args"),
         (F.col("grp.pos") - 1).alias("pos"), F.col("grp.p1_line").alias("line"),
@@ -172,15 +172,15 @@ def roles(rows: DataFrame) -> DataFrame:
 
     # --- parameters
     py_param = (
-        IS_PY & in_signature & (tok == "None") & is_("p1", "=") & one_of("t1", ",", ")")
+        is_py() & in_signature & (tok == "None") & is_("p1", "=") & one_of("t1", ",", ")")
         & ~F.coalesce(F.col("star_pos") > F.col("grp.pos"), F.lit(False))
     )
     java_param = (
-        IS_JAVA & (kind == "n") & ~dotted & is_("grp.tok", "(") & F.col("grp.typed") & one_of("t1", ",", ")")
+        is_java() & (kind == "n") & ~dotted & is_("grp.tok", "(") & F.col("grp.typed") & one_of("t1", ",", ")")
         & ((_type_like("p1", "pk1") & ~is_("p1", "]")) | (is_("p1", ".") & is_("p2", ".")))
     )
     is_param = F.coalesce(py_param | java_param, F.lit(False))
-    param_name = F.when(IS_JAVA, tok).otherwise(F.col("arg_name"))
+    param_name = F.when(is_java(), tok).otherwise(F.col("arg_name"))
 
     # --- guards
     against_none = (
@@ -196,13 +196,13 @@ def roles(rows: DataFrame) -> DataFrame:
     py_guard = py_name & ~dotted & ((against_none & leading) | tested)
     java_side = (one_of("t1", "==", "!=") & ~one_of("p1", "+", "-", "*", "/", "%", ".")) | (
         one_of("p1", "==", "!=") & ~one_of("t1", "+", "-", "*", "/", "%", "(", "[", "."))
-    java_guard = IS_JAVA & (kind == "n") & java_side
+    java_guard = is_java() & (kind == "n") & java_side
     java_deref = (
-        IS_JAVA & name & (parts == 2) & is_("t1", "(") & ~one_of("p1", "new", "@")
+        is_java() & name & (parts == 2) & is_("t1", "(") & ~one_of("p1", "new", "@")
     )
 
     # --- decision points
-    decision = F.when(IS_PY, (
+    decision = F.when(is_py(), (
         F.when(F.col("line_start") & tok.isin("if", "elif", "for", "while", "try", "except", "with"), 1)
         .when((tok == "else") & ~F.col("line_start"), 1)
         .when(tok == "and", F.when(is_("chain_part", "and"), 1).otherwise(2))
@@ -217,32 +217,32 @@ def roles(rows: DataFrame) -> DataFrame:
 
     # --- handlers
     swallowed = (
-        IS_PY & (tok == "pass") & is_("p1", ":") & is_("above.tok", "except") & ~is_("above.t1", ":")
+        is_py() & (tok == "pass") & is_("p1", ":") & is_("above.tok", "except") & ~is_("above.t1", ":")
         & F.col("next_starts") & (F.col("next_indent") <= F.col("above.indent"))
     )
     caught = F.split(F.regexp_replace(tok, r"^catch[^(]*\(\s*(?:final\s+)?|\s*[\w$\x{80}-\x{10FFFF}]+\s*\)$", ""), r"\s*\|\s*")
     handler = (
-        F.when(IS_PY & F.col("line_start") & (tok == "except") & is_("t1", ":"),
+        F.when(is_py() & F.col("line_start") & (tok == "except") & is_("t1", ":"),
                F.struct(F.lit("bare").alias("body"), F.array().cast("array<string>").alias("types"), F.col("line").alias("line")))
         .when(swallowed, F.struct(F.lit("pass").alias("body"), F.array().cast("array<string>").alias("types"), F.col("above.line").alias("line")))
-        .when(IS_JAVA & tok.startswith("catch") & (kind == "k") & is_("t1", "{"),
+        .when(is_java() & tok.startswith("catch") & (kind == "k") & is_("t1", "{"),
               F.struct(F.when(is_("t2", "}"), "empty").otherwise("filled").alias("body"), caught.alias("types"),
                        F.when(is_("t2", "}"), F.col("try_line")).otherwise(F.col("t2_line")).alias("line")))
     )
 
     # --- functions
-    py_def = IS_PY & F.col("line_start") & (tok == "def")
+    py_def = is_py() & F.col("line_start") & (tok == "def")
     fkey = (
         F.when(py_def, F.col("pos"))
-        .when(is_param & IS_PY, F.col("grp.pos") - 2)
-        .when(is_param & IS_JAVA, F.col("grp.pos"))
+        .when(is_param & is_py(), F.col("grp.pos") - 2)
+        .when(is_param & is_java(), F.col("grp.pos"))
         .when(F.col("body").isNotNull(), F.col("body.fkey"))
         .when(F.col("closes_body").isNotNull(), F.col("closes_body"))
     )
     declared = (
-        F.when(IS_PY & (tok == "def") & ~is_("p1", "async"), F.struct(F.col("t1").alias("name"), F.col("pos").alias("pos"), F.col("line").alias("line")))
+        F.when(is_py() & (tok == "def") & ~is_("p1", "async"), F.struct(F.col("t1").alias("name"), F.col("pos").alias("pos"), F.col("line").alias("line")))
         .when(F.col("body").isNotNull(), F.struct(F.col("body.name").alias("name"), (F.col("body.fkey") - 1).alias("pos"), F.col("body.line").alias("line")))
-        .when(IS_JAVA & name & ~dotted & is_("t1", "(") & _type_like("p1", "pk1") & ~is_("p2", ".") & is_("grp.tok", "{") & is_("grp.opens_type", True),
+        .when(is_java() & name & ~dotted & is_("t1", "(") & _type_like("p1", "pk1") & ~is_("p2", ".") & is_("grp.tok", "{") & is_("grp.opens_type", True),
               F.struct(tok.alias("name"), F.col("pos").alias("pos"), F.col("line").alias("line")))
     )
     java_name = F.when(java_guard, F.substring_index("tok", ".", -1)).when(java_deref, first)
@@ -258,7 +258,7 @@ def roles(rows: DataFrame) -> DataFrame:
         .when(java_name.isNotNull(), F.array(java_name)),
         "is_param": is_param,
         "is_guard": F.coalesce(py_guard | java_guard, F.lit(False)),
-        "is_deref": F.coalesce(F.when(IS_JAVA, java_deref).otherwise(py_deref), F.lit(False)),
+        "is_deref": F.coalesce(F.when(is_java(), java_deref).otherwise(py_deref), F.lit(False)),
         "attr": attr, "call": call, "handler": handler, "decision": decision,
         "fkey": fkey, "declared": declared, "is_def": py_def, "stmt_line": F.col("stmt.line"),
     })

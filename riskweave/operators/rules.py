@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import text
 from riskweave.operators.scopes import unguarded
-from riskweave.operators.tokens import IS_JAVA, IS_PY
+from riskweave.operators.tokens import is_java, is_py
 from riskweave.sources import dims
 
 # Message texts, per rule and language where they differ.
@@ -102,13 +102,13 @@ def row_hits(thresholds: dict[str, int] | None = None) -> dict[str, list[Column]
         (call["n_args"] < ref["min_args"]) | F.coalesce(call["n_args"] > ref["max_args"], F.lit(False))
     )
     root = F.substring_index(call["qualifier"], ".", 1)
-    typo = F.when(IS_JAVA & call.isNotNull(), core_class_typo(root))
+    typo = F.when(is_java() & call.isNotNull(), core_class_typo(root))
     top = F.substring_index(F.col("module"), ".", 1)
     weak_spot = unguarded(None)
     broad = F.array_join(handler["types"], ", ")
     return {
         "UNUSED_IMPORT": [hit(
-            IS_PY & imp.isNotNull() & ~imp["wildcard"] & ~F.coalesce(F.col("used"), F.lit(False)),
+            is_py() & imp.isNotNull() & ~imp["wildcard"] & ~F.coalesce(F.col("used"), F.lit(False)),
             "python", "UNUSED_IMPORT", imp["line"], fmt(TEXTS["UNUSED_IMPORT"], name))],
         "BARE_EXCEPT": [hit(handler["body"] == "bare", "python", "BARE_EXCEPT", handler["line"], F.lit(TEXTS["BARE_EXCEPT"]))],
         "SWALLOWED_EXCEPTION": [
@@ -124,27 +124,27 @@ def row_hits(thresholds: dict[str, int] | None = None) -> dict[str, list[Column]
             hit(F.col("is_body") & (span["complexity"] > limits["java"]), "java", "HIGH_COMPLEXITY", span["line"],
                 fmt(TEXTS["HIGH_COMPLEXITY_JAVA"], span["name"], span["complexity"], F.lit(limits["java"])))],
         "MISSING_NONE_CHECK": [hit(
-            IS_PY & weak_spot, "python", "MISSING_NONE_CHECK", F.col("next_deref.line"),
+            is_py() & weak_spot, "python", "MISSING_NONE_CHECK", F.col("next_deref.line"),
             fmt(TEXTS["MISSING_NONE_CHECK"], name, span["name"]), F.col("next_deref.pos"))],
         "MISSING_NULL_CHECK": [hit(
-            IS_JAVA & weak_spot, "java", "MISSING_NULL_CHECK", F.col("next_deref.line"),
+            is_java() & weak_spot, "java", "MISSING_NULL_CHECK", F.col("next_deref.line"),
             fmt(TEXTS["MISSING_NULL_CHECK"], name, span["name"]), F.col("next_deref.pos"))],
         "HALLUCINATED_IMPORT": [
-            hit(IS_PY & top.isin(dims.PYTHON_FAKE_MODULES), "python", "HALLUCINATED_IMPORT", F.col("stmt_line"),
+            hit(is_py() & top.isin(dims.PYTHON_FAKE_MODULES), "python", "HALLUCINATED_IMPORT", F.col("stmt_line"),
                 fmt(TEXTS["HALLUCINATED_IMPORT"], top)),
-            hit(IS_JAVA & imp.isNotNull() & unknown_package(imp["path"]), "java", "HALLUCINATED_IMPORT", imp["line"],
+            hit(is_java() & imp.isNotNull() & unknown_package(imp["path"]), "java", "HALLUCINATED_IMPORT", imp["line"],
                 fmt(TEXTS["HALLUCINATED_IMPORT_JAVA"], imp["path"]))],
         "HALLUCINATED_ATTRIBUTE": [hit(
             attr.isNotNull() & ref["is_fake"], "python", "HALLUCINATED_ATTRIBUTE", F.col("line"),
             fmt(TEXTS["HALLUCINATED_ATTRIBUTE"], attr["qualifier"], attr["member"]))],
         "HALLUCINATED_METHOD": [hit(
-            IS_JAVA & call.isNotNull() & ref["is_fake"], "java", "HALLUCINATED_METHOD", call["line"],
+            is_java() & call.isNotNull() & ref["is_fake"], "java", "HALLUCINATED_METHOD", call["line"],
             fmt(TEXTS["HALLUCINATED_METHOD"], call["qualifier"], call["member"]), call["pos"])],
         "ARGUMENT_MISMATCH": [
             hit(language_is & arity_broken, language, "ARGUMENT_MISMATCH", call["line"],
                 fmt(TEXTS["ARGUMENT_MISMATCH"], call["qualifier"], call["member"], call["n_args"],
                     text.expected_text(ref["min_args"], ref["max_args"])), call["pos"])
-            for language, language_is in (("python", IS_PY), ("java", IS_JAVA))],
+            for language, language_is in (("python", is_py()), ("java", is_java()))],
         "HALLUCINATED_CLASS_NAME": [hit(
             typo.isNotNull(), "java", "HALLUCINATED_CLASS_NAME", call["line"],
             fmt(TEXTS["HALLUCINATED_CLASS_NAME"], root, typo), call["pos"])],

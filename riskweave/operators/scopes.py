@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from riskweave.operators.tokens import BEFORE, FILE_ORDER, IS_JAVA, IS_PY, SO_FAR, is_, last_where
+from riskweave.operators.tokens import before, file_order, is_java, is_py, so_far, is_, last_where
 
 
 def spanned(rows: DataFrame) -> DataFrame:
@@ -26,16 +26,16 @@ def spanned(rows: DataFrame) -> DataFrame:
         | F.col("module").isNotNull() | F.col("call").isNotNull() | F.col("handler").isNotNull()
         | F.col("declared").isNotNull()
     )
-    rows = rows.filter(keep).withColumn("upto", F.sum("decision").over(SO_FAR))
+    rows = rows.filter(keep).withColumn("upto", F.sum("decision").over(so_far()))
     # decorators belong to the function below them
     run_start = F.col("line_start") & (F.col("tok") == "@") & ~is_("above.tok", "@")
     start = F.struct("pos", (F.col("upto") - F.col("decision")).alias("upto"))
-    rows = rows.withColumn("run", last_where(run_start, start, BEFORE))
+    rows = rows.withColumn("run", last_where(run_start, start, before()))
     rows = rows.withColumn("start", F.when(is_("above.tok", "@"), F.col("run")).otherwise(start))
 
     margin_above = F.coalesce(F.col("above.indent"), F.lit(0))
     rows = rows.withColumn("margin", F.explode(F.when(
-        IS_PY & F.col("line_start"),
+        is_py() & F.col("line_start"),
         F.sequence(F.col("indent"), F.greatest(F.col("indent"), margin_above)),
     ).otherwise(F.array(F.lit(-1)))))
     same_margin = W.partitionBy("file_id", "margin").orderBy("pos")
@@ -64,7 +64,7 @@ def spanned(rows: DataFrame) -> DataFrame:
         F.col("fkey").alias("start"), pick(closes, F.col("pos")).alias("end"),
         (1 + pick(closes, F.col("upto")) - pick(opens_body, F.col("upto"))).alias("complexity"),
     )
-    span = F.when(IS_JAVA, java_span).otherwise(pick(F.col("is_def"), own_span))
+    span = F.when(is_java(), java_span).otherwise(pick(F.col("is_def"), own_span))
     rows = rows.withColumn("span", F.when(F.col("fkey").isNotNull(), span))
     return rows.select(
         "file_id", "language", "pos", "line", "fault", "import", "module", "stmt_line", "names", "is_use",

@@ -7,19 +7,42 @@ by ``file_id`` plus more, so no further exchange is needed.
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from riskweave.functions import lexing
 
-FILE_ORDER = W.partitionBy("file_id").orderBy("pos")
-SO_FAR = FILE_ORDER.rowsBetween(W.unboundedPreceding, 0)
-BEFORE = FILE_ORDER.rowsBetween(W.unboundedPreceding, -1)
-LEVEL_ORDER = W.partitionBy("file_id", "level").orderBy("pos")
-LEVEL_SO_FAR = LEVEL_ORDER.rowsBetween(W.unboundedPreceding, 0)
-LEVEL_BEFORE = LEVEL_ORDER.rowsBetween(W.unboundedPreceding, -1)
 
-IS_PY = F.col("language") != "java"
-IS_JAVA = F.col("language") == "java"
+def file_order() -> WindowSpec:
+    return W.partitionBy("file_id").orderBy("pos")
+
+
+def so_far() -> WindowSpec:
+    return file_order().rowsBetween(W.unboundedPreceding, 0)
+
+
+def before() -> WindowSpec:
+    return file_order().rowsBetween(W.unboundedPreceding, -1)
+
+
+def level_order() -> WindowSpec:
+    return W.partitionBy("file_id", "level").orderBy("pos")
+
+
+def level_so_far() -> WindowSpec:
+    return level_order().rowsBetween(W.unboundedPreceding, 0)
+
+
+def level_before() -> WindowSpec:
+    return level_order().rowsBetween(W.unboundedPreceding, -1)
+
+
+def is_py() -> Column:
+    return F.col("language") != "java"
+
+
+def is_java() -> Column:
+    return F.col("language") == "java"
 
 
 def one_of(column: str, *values: str) -> Column:
@@ -80,15 +103,15 @@ def tokens(files: DataFrame, head: Column | None = None, large: int = lexing.LAR
         F.contains(margin, F.lit("\t")), F.regexp_replace(margin, r" {8}| {0,7}\t", " " * 8)
     ).otherwise(margin))
     in_name = F.col("kind").isin("n", "k") & F.col("raw").rlike(r"[\s#/\\]") & ~F.col("raw").startswith("catch")
-    joined = F.when(IS_JAVA, F.regexp_replace("raw", "(?s)" + lexing.JAVA_TRIVIA, "")).otherwise(
+    joined = F.when(is_java(), F.regexp_replace("raw", "(?s)" + lexing.JAVA_TRIVIA, "")).otherwise(
         F.regexp_replace("raw", lexing.PY_TRIVIA, "")
     )
     return raw.select(
         "file_id", "language", "pos",
         F.when(in_name, joined).otherwise(F.col("raw")).alias("tok"),
         "kind", "nl", "nl_tok",
-        (IS_PY & ((F.col("pos") == 0) | broken)).alias("brk"),
-        F.when(IS_PY & ((F.col("pos") == 0) | broken), width).otherwise(0).alias("indent"),
+        (is_py() & ((F.col("pos") == 0) | broken)).alias("brk"),
+        F.when(is_py() & ((F.col("pos") == 0) | broken), width).otherwise(0).alias("indent"),
         *(["head"] if carried else []),
     )
 
@@ -104,37 +127,37 @@ def placed(token_rows: DataFrame) -> DataFrame:
         F.when(F.col("tok").isin(lexing.OPENERS), 1).when(F.col("tok").isin(lexing.CLOSERS), -1).otherwise(0),
     )
     rows = rows.withColumns({
-        "line": (1 + F.sum(F.col("nl") + F.col("nl_tok")).over(SO_FAR) - F.col("nl_tok")).cast("int"),
-        "depth": F.sum("delta").over(SO_FAR).cast("int"),
-        "p1": F.lag("tok", 1).over(FILE_ORDER), "p2": F.lag("tok", 2).over(FILE_ORDER),
-        "p3": F.lag("tok", 3).over(FILE_ORDER),
-        "t1": F.lead("tok", 1).over(FILE_ORDER), "t2": F.lead("tok", 2).over(FILE_ORDER),
-        "t3": F.lead("tok", 3).over(FILE_ORDER),
-        "pk1": F.lag("kind", 1).over(FILE_ORDER), "pk2": F.lag("kind", 2).over(FILE_ORDER),
-        "next_brk": F.lead("brk", 1).over(FILE_ORDER),
-        "next_indent": F.lead("indent", 1).over(FILE_ORDER),
+        "line": (1 + F.sum(F.col("nl") + F.col("nl_tok")).over(so_far()) - F.col("nl_tok")).cast("int"),
+        "depth": F.sum("delta").over(so_far()).cast("int"),
+        "p1": F.lag("tok", 1).over(file_order()), "p2": F.lag("tok", 2).over(file_order()),
+        "p3": F.lag("tok", 3).over(file_order()),
+        "t1": F.lead("tok", 1).over(file_order()), "t2": F.lead("tok", 2).over(file_order()),
+        "t3": F.lead("tok", 3).over(file_order()),
+        "pk1": F.lag("kind", 1).over(file_order()), "pk2": F.lag("kind", 2).over(file_order()),
+        "next_brk": F.lead("brk", 1).over(file_order()),
+        "next_indent": F.lead("indent", 1).over(file_order()),
     })
     outside = (F.col("depth") - F.col("delta")) == 0
     rows = rows.withColumns({
         "level": F.col("depth") + F.when(F.col("delta") < 0, 1).otherwise(0),
         "line_start": F.col("brk") & outside,
         "next_starts": F.coalesce(F.col("next_brk"), F.lit(False)) & (F.col("depth") == 0),
-        "begins": IS_PY & outside & (F.col("brk") | one_of("p1", ";", ":")),
+        "begins": is_py() & outside & (F.col("brk") | one_of("p1", ";", ":")),
     })
     line_head = F.struct("tok", "indent", "t1", "pos", "line")
     type_words = ["class", "interface", "enum"]
     rows = rows.withColumns({
-        "above": last_where(F.col("line_start"), line_head, BEFORE),
-        "stmt": last_where(F.col("begins"), F.struct("tok", "line", "pos"), SO_FAR),
-        "p1_line": F.lag("line", 1).over(FILE_ORDER),
-        "t2_line": F.lead("line", 2).over(FILE_ORDER),
-        "colon_pos": last_where((F.col("tok") == ":") & (F.col("depth") == 0), F.col("pos"), BEFORE),
-        "opens_type": IS_JAVA & (F.col("tok") == "{") & F.coalesce(last_where(
-            F.col("tok").isin(*type_words, "{", "}", ";"), F.col("tok").isin(type_words), BEFORE), F.lit(False)),
+        "above": last_where(F.col("line_start"), line_head, before()),
+        "stmt": last_where(F.col("begins"), F.struct("tok", "line", "pos"), so_far()),
+        "p1_line": F.lag("line", 1).over(file_order()),
+        "t2_line": F.lead("line", 2).over(file_order()),
+        "colon_pos": last_where((F.col("tok") == ":") & (F.col("depth") == 0), F.col("pos"), before()),
+        "opens_type": is_java() & (F.col("tok") == "{") & F.coalesce(last_where(
+            F.col("tok").isin(*type_words, "{", "}", ";"), F.col("tok").isin(type_words), before()), F.lit(False)),
     })
     module = F.when(is_("stmt.tok", "from") & is_("pk1", "n"), F.col("p1"))
     return rows.withColumn("import_ctx", last_where(
-        IS_PY & (F.col("tok") == "import"), F.struct(F.col("stmt.pos").alias("stmt_pos"), module.alias("module")), SO_FAR
+        is_py() & (F.col("tok") == "import"), F.struct(F.col("stmt.pos").alias("stmt_pos"), module.alias("module")), so_far()
     ))
 
 
@@ -169,7 +192,7 @@ def token_faults(rows: DataFrame) -> DataFrame:
         .when(side_by_side, F.lit("invalid syntax"))
     )
     java = F.when(at_end & F.col("p1").isNotNull() & ~one_of("p1", ";", "}"), F.lit("reached end of file"))
-    return rows.withColumn("fault", F.coalesce(shared, F.when(IS_JAVA, java).otherwise(py)))
+    return rows.withColumn("fault", F.coalesce(shared, F.when(is_java(), java).otherwise(py)))
 
 
 def structured(files: DataFrame, head: Column | None = None) -> DataFrame:

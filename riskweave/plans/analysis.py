@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import text
 from riskweave.operators import facts, rules, scopes
-from riskweave.operators.tokens import IS_JAVA
+from riskweave.operators.tokens import is_java
 from riskweave.sources import dims
 
 _JAVA_IMPORT = r"\bimport\s+(?:static\s+)?((?:[\w$\x{80}-\x{10FFFF}]+\s*\.\s*)*[\w$\x{80}-\x{10FFFF}]+)"
@@ -79,12 +79,12 @@ def _assembled(rows: DataFrame, wanted, weights) -> DataFrame:
         F.min(F.when(F.col("fault").isNotNull(), F.struct("pos", "line", "fault"))).alias("fault"),
         F.collect_list(F.when(F.col("module").isNotNull(), F.struct("pos", F.col("module").alias("name")))).alias("modules"),
         F.collect_set(F.col("declared")).alias("declared"),
-        F.collect_list(F.when(IS_JAVA & F.col("import").isNotNull(), F.struct("pos", "import"))).alias("imports"),
+        F.collect_list(F.when(is_java() & F.col("import").isNotNull(), F.struct("pos", "import"))).alias("imports"),
         F.flatten(F.collect_list("stated")).alias("stated"),
     )
     no_findings = F.array().cast("array<struct<rule_order:int,line:int,pos:bigint,rule_id:string,message:string>>")
     secrets = F.transform("head.secret_lines", lambda line: F.struct(
-        F.when(IS_JAVA, rules.ORDER[("java", "HARDCODED_SECRET")]).otherwise(rules.ORDER[("python", "HARDCODED_SECRET")]).alias("rule_order"),
+        F.when(is_java(), rules.ORDER[("java", "HARDCODED_SECRET")]).otherwise(rules.ORDER[("python", "HARDCODED_SECRET")]).alias("rule_order"),
         line.alias("line"), F.lit(0).cast("bigint").alias("pos"), F.lit("HARDCODED_SECRET").alias("rule_id"),
         F.lit(rules.TEXTS["HARDCODED_SECRET"]).alias("message"),
     ))
@@ -99,7 +99,7 @@ def _assembled(rows: DataFrame, wanted, weights) -> DataFrame:
     parse_error = F.array(F.struct(
         F.lit(0).alias("rule_order"), F.lit(0).alias("line"), F.lit(0).cast("bigint").alias("pos"),
         F.lit("PARSE_ERROR").alias("rule_id"),
-        F.when(IS_JAVA, F.format_string(rules.TEXTS["PARSE_ERROR_JAVA"], F.col("fault.fault"), F.col("fault.line")))
+        F.when(is_java(), F.format_string(rules.TEXTS["PARSE_ERROR_JAVA"], F.col("fault.fault"), F.col("fault.line")))
         .otherwise(F.format_string(rules.TEXTS["PARSE_ERROR"], F.col("fault.fault"), F.col("fault.line"))).alias("message"),
     )) if "PARSE_ERROR" in wanted else no_findings
     broken = F.col("fault").isNotNull()
@@ -107,7 +107,7 @@ def _assembled(rows: DataFrame, wanted, weights) -> DataFrame:
     if "HARDCODED_SECRET" in wanted:
         parts.append(F.coalesce(secrets, no_findings))
     if "UNUSED_IMPORT" in wanted:
-        parts.append(F.when(IS_JAVA & F.col("head.unreferenced").isNotNull(), unused).otherwise(no_findings))
+        parts.append(F.when(is_java() & F.col("head.unreferenced").isNotNull(), unused).otherwise(no_findings))
     per_file = per_file.withColumn("ordered", F.when(broken, parse_error).otherwise(F.array_sort(F.concat(*parts))))
     # a mistyped class is told once per line; equal lines are neighbours in the sorted array
     typo = "HALLUCINATED_CLASS_NAME"
@@ -118,7 +118,7 @@ def _assembled(rows: DataFrame, wanted, weights) -> DataFrame:
         )
     ))
     found = F.transform(told_once, lambda x: F.when(
-        IS_JAVA, _rule_struct("java", x, weights)).otherwise(_rule_struct("python", x, weights)))
+        is_java(), _rule_struct("java", x, weights)).otherwise(_rule_struct("python", x, weights)))
     empty = F.array().cast("array<string>")
     names = lambda column: F.when(broken, empty).otherwise(F.transform(F.array_sort(column), lambda x: x["name"]))
     declared = F.transform("declared", lambda x: F.struct(x["pos"].alias("pos"), x["name"].alias("name")))

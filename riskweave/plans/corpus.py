@@ -88,7 +88,11 @@ def _picks(fragments: list[str], first: int, count: Column) -> Column:
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Submissions derived from all documents of ``sf_dir``."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "n_chars")
+    return from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def from_documents(documents: DataFrame) -> DataFrame:
+    """The derivation itself; narrow, so it works on streams too."""
     n, doc = F.col("n_chars"), F.col("doc_id")
     broken = n % 40 == 0
     nothing = F.lit("")
