@@ -11,13 +11,13 @@ from riskweave.operators import groups, scopes, tokens
 KEY = ["file_id", "language"]
 
 
-def annotated(files: DataFrame, head=None) -> DataFrame:
-    return groups.roles(groups.grouped(tokens.structured(files, head)))
+def annotated(files: DataFrame, head=None, clustered: bool = False) -> DataFrame:
+    return groups.grouped(groups.local_roles(tokens.structured(files, head, clustered)))
 
 
 def faults(files: DataFrame) -> DataFrame:
     """First fault per malformed file."""
-    rows = scopes.spanned(annotated(files)).filter(F.col("fault").isNotNull())
+    rows = scopes.spanned(annotated(files).filter(scopes.scoping())).filter(F.col("fault").isNotNull())
     return rows.groupBy(*KEY).agg(F.min_by(F.struct("line", "fault"), "pos").alias("first")).select(
         *KEY, "first.line", "first.fault"
     )
@@ -39,7 +39,7 @@ def functions(rows: DataFrame) -> DataFrame:
 
 def spans(rows: DataFrame) -> DataFrame:
     """Functions with a body: span and complexity (C5, C13, C14, D5, E5 before the threshold)."""
-    return scopes.spanned(rows).filter(F.col("is_def") | F.col("is_body")).select(
+    return scopes.spanned(rows.filter(scopes.scoping())).filter(F.col("is_def") | F.col("is_body")).select(
         *KEY, "span.name", "span.line", "span.start", "span.end", "span.complexity"
     )
 
@@ -63,7 +63,7 @@ def calls(rows: DataFrame) -> DataFrame:
 
 def parameters(rows: DataFrame) -> DataFrame:
     """Checked parameters with the function that owns them."""
-    return scopes.spanned(rows).filter(F.col("is_param") & F.col("span.name").isNotNull()).select(
+    return scopes.spanned(rows.filter(scopes.scoping())).filter(F.col("is_param") & F.col("span.name").isNotNull()).select(
         *KEY, F.col("span.name").alias("function"), F.col("span.line").alias("line"),
         F.col("names")[0].alias("parameter"),
     )

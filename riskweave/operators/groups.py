@@ -1,270 +1,302 @@
-"""Facts that need the enclosing bracket group (C3 second part, C6, C8-C10, C14).
+"""Facts of single tokens, then facts that need the enclosing bracket group.
 
-All windows here run over ``(file_id, level)`` in token order.  Rows of one level follow
-each other group by group, so "last opening bracket so far" is the enclosing one, and counts
-inside a group are differences of running sums.  Nothing pairs rows with rows.
+``local_roles`` looks at a token and its neighbours only and drops the neighbours again, so the
+rows that are sorted by bracket level are narrow.  ``grouped`` adds the enclosing group: its
+windows run over ``(file_id, level)`` in token order.  Rows of one level follow each other group
+by group, so "last opening bracket so far" is the enclosing one, and counts inside a group are
+differences of running sums.  Nothing pairs rows with rows.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions import lexing
 from riskweave.operators.tokens import (
-    is_java, is_py, level_before, level_order, level_so_far, is_, last_where, one_of,
+    is_, is_java, is_py, last_where, level_before, level_order, level_so_far, one_of,
 )
 
 # Tokens that end an and/or chain, types without a name, operators that bind
-# tighter than a comparison, and comparisons.
+# tighter than a comparison, comparisons, and what stands before a constructor.
 _CHAIN_ENDS = [",", ":", "=", ":=", "if", "else", "lambda", "for"]
 _PRIMITIVES = ["void", "int", "long", "double", "float", "boolean", "char", "byte", "short"]
 _TIGHTER = ["+", "-", "*", "/", "//", "%", "**", "@", "|", "&", "^", "<<", ">>", "~", ".", "await"]
 _COMPARISONS = ["==", "!=", "<", ">", "<=", ">=", "is", "in"]
+_BEFORE_CONSTRUCTOR = ["public", "protected", "private", ";", "{", "}"]
+_STARS = ["*", "**"]
 
 
-def _type_like(token: str, kind: str):
+def _type_like(token: str, kind: str) -> Column:
     """The token can end a Java type."""
     return F.coalesce(F.col(kind).isin("n", "g"), F.lit(False)) | one_of(token, *_PRIMITIVES, "]")
 
 
-def _relevant():
+def _f_string() -> Column:
+    return is_py() & (F.col("kind") == "s") & F.col("tok").rlike("^[rR]?[fF]")
+
+
+def _relevant() -> Column:
     """Rows that can matter from here on; plain operators and literals are dropped."""
-    f_string = (F.col("kind") == "s") & F.col("tok").rlike("^[rR]?[fF]")
     plain_operator = ~F.col("tok").isin(
         *lexing.OPENERS, *lexing.CLOSERS, lexing.END, *_CHAIN_ENDS, "*", "**", "&&", "||", "?", "@"
     )
     dropped = (
         ((F.col("kind") == "o") & plain_operator) | F.col("kind").isin("d", "g")
-        | ((F.col("kind") == "s") & ~f_string)
+        | ((F.col("kind") == "s") & ~F.col("tok").rlike("^[rR]?[fF]"))
     )
     return F.col("line_start") | F.col("fault").isNotNull() | (F.col("pos") == 0) | ~dropped
 
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """Adds the enclosing group ``grp``, argument counts, header state and chain state."""
-    rows = rows.filter(_relevant())
-    tok = F.col("tok")
-    opener, closer = tok.isin(lexing.OPENERS), tok.isin(lexing.CLOSERS)
-    ends_chain = opener | F.col("line_start") | tok.isin(_CHAIN_ENDS)
-    header = F.when(is_py(), (
-        F.when(tok.isin("lambda", "for"), F.lit(True))
-        .when(opener | F.col("line_start") | tok.isin(":", "in"), F.lit(False))
-    ))
-    argument_name = F.col("kind").isin("n") & one_of("p1", "(", ",", "*", "**")
-    rows = rows.withColumns({
-        # between lambda and its colon, or for and its in: commas there separate no arguments
-        "in_header": F.coalesce(last_where(header.isNotNull(), header, level_before()), F.lit(False)),
-        "in_lambda": F.coalesce(
-            last_where(opener | F.col("line_start") | tok.isin("lambda", ":"), tok == "lambda", level_before()),
-            F.lit(False),
-        ),
-        "chain_part": last_where(ends_chain | tok.isin("and", "or"), F.when(tok.isin("and", "or"), tok).otherwise(""), level_before()),
-        "chain_or": last_where(ends_chain | (tok == "or"), F.when(tok == "or", tok).otherwise(""), level_before()),
-        "try_line": last_where(tok == "try", F.col("line"), level_before()),
-        "arg_name": last_where(argument_name, tok, level_so_far()),
-        "star_pos": last_where(tok.isin("*", "**") & one_of("p1", "(", ","), F.col("pos"), level_so_far()),
-    })
-    plain = ~F.col("in_header")
-    rows = rows.withColumns({
-        "commas": F.sum(F.when((tok == ",") & plain, 1).otherwise(0)).over(level_so_far()),
-        "named": F.sum(F.when(is_py() & (
-            ((tok == "=") & plain) | ((tok == "**") & one_of("p1", "(", ",") & plain)
-        ), 1).otherwise(0)).over(level_so_far()),
-    })
-    head = F.struct(
-        "tok", "pos", "p1", "p2", "p3", "pk1", "pk2", "p1_line", "commas", "named", "line_start",
-        "opens_type",
-        # a name after a type declares a method; after an annotation or a modifier, a constructor
-        (_type_like("p2", "pk2") & ~one_of("p2", "record")
-         & ~one_of("p3", ".", "@", "public", "protected", "private", ";", "{", "}")
-         | (_type_like("p2", "pk2") & (F.col("pk2") != "g") & ~one_of("p2", "record")
-            & one_of("p3", "public", "protected", "private", ";", "{", "}"))).alias("typed"),
-    )
-    rows = rows.withColumns({
-        "grp": last_where(opener, head, level_so_far()),
-        "before": F.lag(F.struct("tok", "t1", "p1", "p1_line"), 1).over(level_order()),
-    })
-    rows = rows.withColumn("before_grp", F.lag("grp", 1).over(level_order()))
-    # a brace that follows the parameter list of a method on the same level opens its body
-    method = F.when(
-        is_java() & (tok == "{") & is_("before.tok", ")") & one_of("before.t1", "{", "throws")
-        & F.coalesce(F.col("before_grp.typed") & (F.col("before_grp.pk1") == "n")
-                     & ~F.contains("before_grp.p1", F.lit(".")), F.lit(False)),
-        F.struct(F.col("before_grp.p1").alias("name"), F.col("before_grp.pos").alias("fkey"),
-                 F.col("before_grp.p1_line").alias("line")),
-    )
-    rows = rows.withColumn("body", method)
-    rows = rows.withColumn("closes_body", F.when(
-        is_java() & closer, last_where(opener, F.struct(F.col("body.fkey").alias("fkey")), level_before())
-    )["fkey"])
-    pairs = F.create_map(*[F.lit(x) for pair in zip(lexing.CLOSERS, lexing.OPENERS) for x in pair])
-    mismatch = closer & ~F.col("grp.tok").eqNullSafe(pairs[tok])
-    return rows.withColumn(
-        "fault", F.coalesce("fault", F.when(mismatch, F.lit("unbalanced bracket")))
+def _py_import_item() -> Column:
+    return is_py() & one_of("stmt.tok", "import", "from") & is_("import_ctx.stmt_pos", F.col("stmt.pos")) & (
+        ((F.col("kind") == "n") & one_of("p1", "import", ",", "(")) | ((F.col("tok") == "*") & is_("p1", "import"))
     )
 
 
-def roles(rows: DataFrame) -> DataFrame:
-    """Adds one column per fact a token can state; see the module of each language for the views."""
-    tok, kind = F.col("tok"), F.col("kind")
-    first, parts = F.substring_index("tok", ".", 1), F.size(F.split("tok", "[.]"))
-    dotted = F.contains(tok, F.lit("."))
-    name = (kind == "n") & ~is_("p1", ".")
-    in_import = one_of("stmt.tok", "import", "from")
-    in_signature = is_("grp.p2", "def") & is_("grp.tok", "(")
-
-    # --- imports (C4)
-    from_line = is_("stmt.tok", "from")
-    py_item = is_py() & in_import & is_("import_ctx.stmt_pos", F.col("stmt.pos")) & (
-        ((kind == "n") & one_of("p1", "import", ",", "(")) | ((tok == "*") & is_("p1", "import"))
-    )
-    bound = F.when(is_("t1", "as"), F.col("t2")).when(from_line, tok).otherwise(first)
-    py_import = F.when(py_item, F.struct(
+def _imports() -> dict[str, Column]:
+    """Imported names and modules (C4)."""
+    tok, from_line, item = F.col("tok"), is_("stmt.tok", "from"), _py_import_item()
+    bound = F.when(is_("t1", "as"), F.col("t2")).when(from_line, tok).otherwise(F.substring_index("tok", ".", 1))
+    py_import = F.when(item, F.struct(
         F.when(from_line, F.col("import_ctx.module")).otherwise(tok).alias("path"),
-        bound.alias("name"), (tok == "*").alias("wildcard"), from_line.alias("is_from"),
-        F.col("stmt.line").alias("line"),
+        bound.alias("name"), (tok == "*").alias("wildcard"), F.col("stmt.line").alias("line"),
     ))
-    java_path = F.when(is_("t1", "static"), F.col("t2")).otherwise(F.col("t1"))
-    after_path = F.when(is_("t1", "static"), F.col("t3")).otherwise(F.col("t2"))
+    static = is_("t1", "static")
+    path = F.when(static, F.col("t2")).otherwise(F.col("t1"))
+    after_path = F.when(static, F.col("t3")).otherwise(F.col("t2"))
     java_import = F.when(is_java() & (tok == "import") & (F.col("level") == 0), F.struct(
-        java_path.alias("path"), F.substring_index(java_path, ".", -1).alias("name"),
-        after_path.eqNullSafe(".").alias("wildcard"), F.lit(False).alias("is_from"),
-        F.col("line").alias("line"),
+        path.alias("path"), F.substring_index(path, ".", -1).alias("name"),
+        after_path.eqNullSafe(".").alias("wildcard"), F.col("line").alias("line"),
     ))
-    module = F.when(
-        is_py() & (tok == "import") & from_line, F.col("import_ctx.module")
-    ).when(py_item & ~from_line, tok).when(java_import.isNotNull(), java_path)
+    module = F.when(is_py(), F.when((tok == "import") & from_line, F.col("import_ctx.module")).when(item & ~from_line, tok))
+    return {"import": F.coalesce(py_import, java_import), "module": F.coalesce(module, java_import["path"])}
+
 
-    # --- names
-    not_a_use = (
-        in_import | one_of("stmt.tok", "global", "nonlocal") | one_of("p1", "def", "class")
+def _name_facts() -> dict[str, Column]:
+    """Names, attributes, guards and dereferences as far as the token alone decides."""
+    tok, kind = F.col("tok"), F.col("kind")
+    first, dotted = F.substring_index("tok", ".", 1), F.contains(F.col("tok"), F.lit("."))
+    name = (kind == "n") & ~is_("p1", ".")
+    in_import = one_of("stmt.tok", "import", "from")
+    no_use = (
+        in_import | one_of("stmt.tok", "global", "nonlocal") | one_of("p1", "def", "class", "lambda")
         | (is_("p1", "as") & is_("stmt.tok", "except"))
         | ((F.col("level") > 0) & is_("t1", "=") & one_of("p1", "(", ","))
-        | (in_signature & one_of("p1", "(", ",", "*", "**"))
-        | (one_of("p1", "lambda") | (F.col("in_lambda") & one_of("p1", ",", "*", "**")))
     )
-    py_name = is_py() & name & ~F.coalesce(not_a_use, F.lit(False))
+    py_name = is_py() & name & ~no_use
     fields = F.array_join(F.regexp_extract_all(
         F.regexp_replace(tok, r"\{\{|\}\}|![rsa]", ""), F.lit(r"\{([^}]*)"), F.lit(1)), "\n")
-    field_names = F.regexp_extract_all(fields, F.lit(r"(^|[^\w.])([A-Za-z_]\w*)"), F.lit(2))
-    f_string = is_py() & (kind == "s") & tok.rlike("^[rR]?[fF]")
-    attr = F.when(is_py() & name & dotted & ~in_import & ~one_of("p1", "def", "class"), F.struct(
-        first.alias("qualifier"), F.split("tok", "[.]")[1].alias("member")))
-    indexed = is_("t1", "[") & ~F.col("next_starts")
-    py_deref = attr.isNotNull() | (py_name & ~dotted & indexed)
-
-    # --- calls (C8), stated by the closing bracket
-    inside = F.when(is_("p1", "("), 0).otherwise(
-        F.col("commas") - F.col("grp.commas") + F.when(is_("p1", ","), 0).otherwise(1))
-    n_args = inside - F.when(is_java(), 0).otherwise(F.col("named") - F.col("grp.named"))
-    callee = F.col("grp.p1")
-    callable_name = (
-        (tok == ")") & is_("grp.tok", "(") & (F.col("grp.pk1") == "n") & F.contains(callee, F.lit("."))
-        & ~one_of("grp.p2", ".") & ~F.col("grp.line_start") & ~(is_java() & one_of("grp.p2", "new", "@"))
+    attr = F.when(
+        is_py() & name & dotted & ~in_import & ~one_of("p1", "def", "class"),
+        F.struct(first.alias("qualifier"), F.split("tok", "[.]")[1].alias("member")),
     )
-    member = F.substring_index(callee, ".", -1)
-    java_qualifier = F.substring(callee, F.lit(1), F.length(callee) - F.length(member) - 1)
-    py_call = callable_name & is_py() & (F.size(F.split(callee, "[.]")) == 2)
-    java_call = callable_name & is_java() & ~callee.rlike(r"(^|\.)(class|this|super|new)(\.|$)")
-    call = F.when(py_call | java_call, F.struct(
-        java_qualifier.alias("qualifier"), member.alias("member"), n_args.cast("int").alias("n_args"),
-        (F.col("grp.pos") - 1).alias("pos"), F.col("grp.p1_line").alias("line"),
-    ))
-
-    # --- parameters
-    py_param = (
-        is_py() & in_signature & (tok == "None") & is_("p1", "=") & one_of("t1", ",", ")")
-        & ~F.coalesce(F.col("star_pos") > F.col("grp.pos"), F.lit(False))
-    )
-    java_param = (
-        is_java() & (kind == "n") & ~dotted & is_("grp.tok", "(") & F.col("grp.typed") & one_of("t1", ",", ")")
-        & ((_type_like("p1", "pk1") & ~is_("p1", "]")) | (is_("p1", ".") & is_("p2", ".")))
-    )
-    is_param = F.coalesce(py_param | java_param, F.lit(False))
-    param_name = F.when(is_java(), tok).otherwise(F.col("arg_name"))
-
-    # --- guards
     against_none = (
         (is_("t1", "is") & (is_("t2", "None") | (is_("t2", "not") & is_("t3", "None"))))
         | (one_of("t1", *[c for c in _COMPARISONS if c != "is"]) & is_("t2", "None"))
     )
-    leading = ~one_of("p1", *_TIGHTER) & ~one_of("p1", *_COMPARISONS)
+    leading = ~one_of("p1", *_TIGHTER, *_COMPARISONS)
     tested = one_of("stmt.tok", "if", "elif") & (
         (is_("t1", ":") & (F.col("level") == 0) & (
             one_of("p1", "if", "elif") | (one_of("p1", "not", "-", "+", "~") & one_of("p2", "if", "elif"))))
         | (is_("p1", "(") & one_of("p2", "if", "elif") & is_("t1", ")") & is_("t2", ":"))
     )
-    py_guard = py_name & ~dotted & ((against_none & leading) | tested)
-    java_side = (one_of("t1", "==", "!=") & ~one_of("p1", "+", "-", "*", "/", "%", ".")) | (
+    compared = (one_of("t1", "==", "!=") & ~one_of("p1", "+", "-", "*", "/", "%", ".")) | (
         one_of("p1", "==", "!=") & ~one_of("t1", "+", "-", "*", "/", "%", "(", "[", "."))
-    java_guard = is_java() & (kind == "n") & java_side
-    java_deref = (
-        is_java() & name & (parts == 2) & is_("t1", "(") & ~one_of("p1", "new", "@")
-    )
+    java_guard = is_java() & (kind == "n") & compared
+    java_deref = is_java() & name & is_("t1", "(") & ~one_of("p1", "new", "@") & tok.rlike(r"^[^.]+\.[^.]+$")
+    indexed = is_("t1", "[") & ~F.col("next_starts")
+    f_names = F.when(_f_string(), F.array_distinct(
+        F.regexp_extract_all(fields, F.lit(r"(^|[^\w.])([A-Za-z_]\w*)"), F.lit(2))))
+    return {
+        "py_name": py_name,
+        "attr": attr,
+        "field_names": f_names,
+        "own_name": F.when(is_py() & (py_name | attr.isNotNull()), first)
+        .when(java_guard, F.substring_index("tok", ".", -1)).when(java_deref, first),
+        # true for guards that hold only where the name is a use
+        "guard": java_guard | (py_name & ~dotted & ((against_none & leading) | tested)),
+        "deref": java_deref | attr.isNotNull(),
+        "indexed": py_name & ~dotted & indexed,
+    }
+
 
-    # --- decision points
-    decision = F.when(is_py(), (
+def _decision() -> Column:
+    """Weight of a decision point; and / or are completed once the chain is known."""
+    tok = F.col("tok")
+    return F.when(is_py(), (
         F.when(F.col("line_start") & tok.isin("if", "elif", "for", "while", "try", "except", "with"), 1)
         .when((tok == "else") & ~F.col("line_start"), 1)
-        .when(tok == "and", F.when(is_("chain_part", "and"), 1).otherwise(2))
-        .when(tok == "or", F.when(is_("chain_or", "or"), 1).otherwise(2))
+        .when(tok.isin("and", "or"), 1)
         .otherwise(0)
     )).otherwise(
-        F.when(tok.isin("if", "for", "while", "&&", "||") | tok.startswith("catch ("), 1)
+        F.when(tok.isin("if", "for", "while", "&&", "||") | (tok.startswith("catch") & (F.col("kind") == "k") & (tok != "catch")), 1)
         .when((tok == "?") & ~one_of("p1", "<", ","), 1)
         .when(((tok == "case") | ((tok == "default") & is_("t1", ":"))) & ~is_("p1", ":"), 1)
         .otherwise(0)
     )
 
-    # --- handlers
+
+def _handler() -> Column:
+    """Exception handlers; the line of an empty Java one is that of its try, filled in later."""
+    tok = F.col("tok")
+    none = F.array().cast("array<string>")
+
+    def told(body, types, line):
+        return F.struct(body.alias("body"), types.alias("types"), line.alias("line"))
+
     swallowed = (
-        is_py() & (tok == "pass") & is_("p1", ":") & is_("above.tok", "except") & ~is_("above.t1", ":")
+        (tok == "pass") & is_("p1", ":") & is_("above.tok", "except") & ~is_("above.t1", ":")
         & F.col("next_starts") & (F.col("next_indent") <= F.col("above.indent"))
     )
-    caught = F.split(F.regexp_replace(tok, r"^catch[^(]*\(\s*(?:final\s+)?|\s*[\w$\x{80}-\x{10FFFF}]+\s*\)$", ""), r"\s*\|\s*")
-    handler = (
-        F.when(is_py() & F.col("line_start") & (tok == "except") & is_("t1", ":"),
-               F.struct(F.lit("bare").alias("body"), F.array().cast("array<string>").alias("types"), F.col("line").alias("line")))
-        .when(swallowed, F.struct(F.lit("pass").alias("body"), F.array().cast("array<string>").alias("types"), F.col("above.line").alias("line")))
-        .when(is_java() & tok.startswith("catch") & (kind == "k") & is_("t1", "{"),
-              F.struct(F.when(is_("t2", "}"), "empty").otherwise("filled").alias("body"), caught.alias("types"),
-                       F.when(is_("t2", "}"), F.col("try_line")).otherwise(F.col("t2_line")).alias("line")))
+    caught = F.split(F.regexp_replace(
+        tok, r"^catch[^(]*\(\s*(?:final\s+)?|\s*[\w$\x{80}-\x{10FFFF}]+\s*\)$", ""), r"\s*\|\s*")
+    return (
+        F.when(is_py() & F.col("line_start") & (tok == "except") & is_("t1", ":"), told(F.lit("bare"), none, F.col("line")))
+        .when(is_py() & swallowed, told(F.lit("pass"), none, F.col("above.line")))
+        .when(is_java() & tok.startswith("catch") & (F.col("kind") == "k") & is_("t1", "{"), told(
+            F.when(is_("t2", "}"), "empty").otherwise("filled"), caught, F.when(~is_("t2", "}"), F.col("t2_line"))))
     )
 
-    # --- functions
-    py_def = is_py() & F.col("line_start") & (tok == "def")
-    fkey = (
-        F.when(py_def, F.col("pos"))
-        .when(is_param & is_py(), F.col("grp.pos") - 2)
-        .when(is_param & is_java(), F.col("grp.pos"))
-        .when(F.col("body").isNotNull(), F.col("body.fkey"))
-        .when(F.col("closes_body").isNotNull(), F.col("closes_body"))
+
+def _opening() -> Column:
+    """What an opening bracket says about its group."""
+    callee = F.col("p1")
+    dotted = F.contains(callee, F.lit("."))
+    named = (F.col("tok") == "(") & is_("pk1", "n")
+    py_call = is_py() & named & callee.rlike(r"^[^.]+\.[^.]+$") & ~is_("p2", ".") & ~F.col("line_start")
+    java_call = (
+        is_java() & named & dotted & ~one_of("p2", ".", "new", "@")
+        & ~callee.rlike(r"(^|\.)(class|this|super|new)(\.|$)")
     )
-    declared = (
-        F.when(is_py() & (tok == "def") & ~is_("p1", "async"), F.struct(F.col("t1").alias("name"), F.col("pos").alias("pos"), F.col("line").alias("line")))
-        .when(F.col("body").isNotNull(), F.struct(F.col("body.name").alias("name"), (F.col("body.fkey") - 1).alias("pos"), F.col("body.line").alias("line")))
-        .when(is_java() & name & ~dotted & is_("t1", "(") & _type_like("p1", "pk1") & ~is_("p2", ".") & is_("grp.tok", "{") & is_("grp.opens_type", True),
-              F.struct(tok.alias("name"), F.col("pos").alias("pos"), F.col("line").alias("line")))
+    # a name after a type declares a method; after an annotation or a modifier, a constructor
+    typed = (
+        _type_like("p2", "pk2") & ~one_of("p2", "record") & ~one_of("p3", ".", "@")
+        & ~(is_("pk2", "g") & one_of("p3", *_BEFORE_CONSTRUCTOR))
     )
-    java_name = F.when(java_guard, F.substring_index("tok", ".", -1)).when(java_deref, first)
+    return F.when(F.col("tok").isin(lexing.OPENERS), F.struct(
+        F.col("tok").alias("tok"), F.col("pos").alias("pos"), callee.alias("callee"), F.col("p1_line").alias("line"),
+        F.coalesce(py_call | java_call, F.lit(False)).alias("calls"),
+        F.when(is_py() & (F.col("tok") == "(") & is_("p2", "def"), F.when(F.col("def_below_at"), F.col("run_pos"))
+               .otherwise(F.col("pos") - 2)).alias("def_start"),
+        F.coalesce(is_java() & named & ~dotted & typed, F.lit(False)).alias("declares"),
+        F.col("opens_type").alias("opens_type"),
+    ))
+
+
+def local_roles(rows: DataFrame) -> DataFrame:
+    """Everything a token and its neighbours say; the neighbours are dropped."""
+    tok, kind = F.col("tok"), F.col("kind")
+    columns = {
+        **_imports(), **_name_facts(),
+        "decision": _decision(), "handler": _handler(), "opening": _opening(),
+        "stmt_line": F.col("stmt.line"),
+        "margin_above": F.coalesce(F.col("above.indent"), F.lit(0)),
+        "below_at": is_("above.tok", "@"),
+        "is_def": is_py() & F.col("line_start") & (tok == "def"),
+        "def_name": F.when(is_py() & (tok == "def"), F.col("t1")),
+        "is_declaring": is_py() & (tok == "def") & ~is_("p1", "async"),
+        "may_declare": is_java() & (kind == "n") & ~F.contains(tok, F.lit(".")) & is_("t1", "(")
+        & _type_like("p1", "pk1") & ~one_of("p2", "."),
+        # neighbours in brackets
+        "after_open": is_("p1", "("), "after_comma": is_("p1", ","), "after_star": one_of("p1", *_STARS),
+        "ends_header": (tok == ")") & one_of("t1", "{", "throws"),
+        "is_default_none": is_py() & (tok == "None") & is_("p1", "=") & one_of("t1", ",", ")"),
+        "may_be_param": is_java() & (kind == "n") & ~F.contains(tok, F.lit(".")) & one_of("t1", ",", ")")
+        & ((_type_like("p1", "pk1") & ~is_("p1", "]")) | (is_("p1", ".") & is_("p2", "."))),
+    }
+    kept = ["file_id", "language", "pos", "line", "tok", "kind", "level", "line_start", "indent", "fault"]
+    kept += ["head"] if "head" in rows.columns else []
+    return rows.filter(_relevant()).select(*kept, *[c.alias(n) for n, c in columns.items()])
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """Completes the roles with the enclosing group of each token."""
+    tok = F.col("tok")
+    opener, closer = F.col("opening").isNotNull(), tok.isin(lexing.CLOSERS)
+    slot = F.col("after_open") | F.col("after_comma") | F.col("after_star")
+    word = F.when(tok.isin("and", "or"), tok).otherwise("")
+    ends_chain = opener | F.col("line_start") | tok.isin(_CHAIN_ENDS)
+    header = F.when(is_py(), (
+        F.when(tok.isin("lambda", "for"), F.lit(True))
+        .when(opener | F.col("line_start") | tok.isin(":", "in"), F.lit(False))
+    ))
     rows = rows.withColumns({
-        "import": F.coalesce(py_import, java_import),
-        "module": module,
-        "is_use": py_name | f_string,
-        "names": F.when(is_param, F.array(param_name))
-        .when(py_item, F.array(bound))
-        .when(py_name, F.array(first))
-        .when(f_string, F.array_distinct(field_names))
-        .when(attr.isNotNull(), F.array(first))
-        .when(java_name.isNotNull(), F.array(java_name)),
-        "is_param": is_param,
-        "is_guard": F.coalesce(py_guard | java_guard, F.lit(False)),
-        "is_deref": F.coalesce(F.when(is_java(), java_deref).otherwise(py_deref), F.lit(False)),
-        "attr": attr, "call": call, "handler": handler, "decision": decision,
-        "fkey": fkey, "declared": declared, "is_def": py_def, "stmt_line": F.col("stmt.line"),
+        # between lambda and its colon, or for and its in: commas there separate no arguments
+        "in_header": F.coalesce(last_where(header.isNotNull(), header, level_before()), F.lit(False)),
+        "in_lambda": F.coalesce(last_where(
+            opener | F.col("line_start") | tok.isin("lambda", ":"), tok == "lambda", level_before()), F.lit(False)),
+        "chain_part": last_where(ends_chain | tok.isin("and", "or"), word, level_before()),
+        "chain_or": last_where(ends_chain | (tok == "or"), word, level_before()),
+        "try_line": last_where(tok == "try", F.col("line"), level_before()),
+        "arg_name": last_where((F.col("kind") == "n") & slot, tok, level_so_far()),
+        "star_pos": last_where(tok.isin(_STARS) & (F.col("after_open") | F.col("after_comma")), F.col("pos"), level_so_far()),
+        "grp": last_where(opener, F.col("opening"), level_so_far()),
     })
+    plain = ~F.col("in_header")
+    rows = rows.withColumns({
+        "commas": F.sum(F.when((tok == ",") & plain, 1).otherwise(0)).over(level_so_far()),
+        "named": F.sum(F.when(is_py() & plain & (
+            (tok == "=") | ((tok == "**") & (F.col("after_open") | F.col("after_comma")))
+        ), 1).otherwise(0)).over(level_so_far()),
+        "prior_grp": F.lag("grp", 1).over(level_order()),
+        "prior_ends_header": F.lag("ends_header", 1).over(level_order()),
+    })
+    # a brace that follows the parameter list of a method on the same level opens its body
+    method = F.when(
+        is_java() & (tok == "{") & F.coalesce(F.col("prior_ends_header") & F.col("prior_grp.declares"), F.lit(False)),
+        F.struct(F.col("prior_grp.callee").alias("name"), F.col("prior_grp.pos").alias("fkey"), F.col("prior_grp.line").alias("line")),
+    )
+    rows = rows.withColumn("body", method)
+    counts = F.struct("commas", "named", F.col("body.fkey").alias("fkey"))
+    rows = rows.withColumn("at_open", last_where(opener, counts, level_so_far()))
+
+    pairs = F.create_map(*[F.lit(x) for pair in zip(lexing.CLOSERS, lexing.OPENERS) for x in pair])
+    mismatch = closer & ~F.col("grp.tok").eqNullSafe(pairs[tok])
+    in_signature = F.col("grp.def_start").isNotNull()
+    in_declared = F.coalesce(F.col("grp.declares"), F.lit(False))
+    use = F.col("py_name") & ~(in_signature & slot) & ~(F.col("in_lambda") & (F.col("after_comma") | F.col("after_star")))
+    py_param = F.col("is_default_none") & in_signature & ~F.coalesce(F.col("star_pos") > F.col("grp.pos"), F.lit(False))
+    java_param = F.col("may_be_param") & in_declared
+    args = F.when(F.col("after_open"), 0).otherwise(
+        F.col("commas") - F.col("at_open.commas") + F.when(F.col("after_comma"), 0).otherwise(1))
+    callee = F.col("grp.callee")
+    member = F.substring_index(callee, ".", -1)
+    call = F.when((tok == ")") & F.coalesce(F.col("grp.calls"), F.lit(False)), F.struct(
+        F.substring(callee, F.lit(1), F.length(callee) - F.length(member) - 1).alias("qualifier"),
+        member.alias("member"), (args - F.col("named") + F.col("at_open.named")).cast("int").alias("n_args"),
+        (F.col("grp.pos") - 1).alias("pos"), F.col("grp.line").alias("line"),
+    ))
+    closes_body = F.when(is_java() & closer, F.col("at_open.fkey"))
+    declared = (
+        F.when(F.col("is_declaring"), F.struct(F.col("def_name").alias("name"), F.col("pos").alias("pos"), F.col("line").alias("line")))
+        .when(F.col("body").isNotNull(), F.struct(
+            F.col("body.name").alias("name"), (F.col("body.fkey") - 1).alias("pos"), F.col("body.line").alias("line")))
+        .when(F.col("may_declare") & is_("grp.tok", "{") & is_("grp.opens_type", True),
+              F.struct(tok.alias("name"), F.col("pos").alias("pos"), F.col("line").alias("line")))
+    )
+    handler = F.col("handler")
     return rows.select(
-        "file_id", "language", "pos", "line", "tok", "t1", "line_start", "indent", "above", "fault",
-        "import", "module", "stmt_line", "names", "is_use", "is_param", "is_guard", "is_deref", "attr", "call",
-        "handler", "decision", "fkey", "declared", "is_def", "body", "closes_body",
+        "file_id", "language", "pos", "line", "line_start", "indent", "margin_above", "below_at",
+        (tok == "@").alias("is_at"),
+        F.coalesce("fault", F.when(mismatch, F.lit("unbalanced bracket"))).alias("fault"),
+        "import", "module", "stmt_line", "attr", call.alias("call"),
+        F.when(handler["body"] == "empty", F.struct(
+            handler["body"].alias("body"), handler["types"].alias("types"), F.col("try_line").alias("line")))
+        .otherwise(handler).alias("handler"),
+        # of a chain of and / or, the first operator also counts the chain
+        F.when(is_py() & (((tok == "and") & ~is_("chain_part", "and")) | ((tok == "or") & ~is_("chain_or", "or"))), 2)
+        .otherwise(F.col("decision")).alias("decision"),
+        (use | F.col("field_names").isNotNull()).alias("is_use"),
+        F.when(py_param, F.array("arg_name")).when(java_param, F.array(tok))
+        .when(F.col("import").isNotNull() & is_py(), F.array(F.col("import.name")))
+        .when(F.col("field_names").isNotNull(), F.col("field_names"))
+        .when(F.col("own_name").isNotNull() & (use | ~F.col("py_name") | F.col("attr").isNotNull()), F.array("own_name")).alias("names"),
+        (py_param | java_param).alias("is_param"),
+        (F.col("guard") & (is_java() | use)).alias("is_guard"),
+        (F.col("deref") | (F.col("indexed") & use)).alias("is_deref"),
+        F.when(F.col("is_def"), F.col("pos")).when(py_param, F.col("grp.pos") - 2).when(java_param, F.col("grp.pos"))
+        .when(F.col("body").isNotNull(), F.col("body.fkey")).when(closes_body.isNotNull(), closes_body).alias("fkey"),
+        # where the names of a function begin: its decorators, or the parameter list in Java
+        F.when(py_param, F.col("grp.def_start")).when(java_param, F.col("grp.pos")).alias("param_start"),
+        declared.alias("declared"), "is_def", "def_name", "body", closes_body.isNotNull().alias("closes_body"),
         *(["head"] if "head" in rows.columns else []),
     )

@@ -41,6 +41,7 @@ TEXTS = {
     "PARSE_ERROR": "SyntaxError: %s at line %d",
     "PARSE_ERROR_JAVA": "JavaSyntaxError: %s at line %d",
 }
+RAW_FINDINGS = "array<struct<rule_order:int,line:int,pos:bigint,rule_id:string,message:string>>"
 ORDER = {}
 for _language, _rule, *_ in dims.RULES:
     ORDER[(_language, _rule)] = sum(1 for lang, *_x in dims.RULES if lang == _language and (lang, _x[0]) in ORDER)
@@ -92,19 +93,35 @@ def with_reference(rows: DataFrame) -> DataFrame:
     ).drop("ref_language", "ref_qualifier", "ref_member")
 
 
-def row_hits(thresholds: dict[str, int] | None = None) -> dict[str, list[Column]]:
-    """Candidate findings per rule id, over rows of ``name_uses`` with the ``ref`` column."""
+def span_hits(thresholds: dict[str, int] | None = None) -> dict[str, list[Column]]:
+    """Candidate findings per rule id that need the span of a function."""
     limits = {**dims.COMPLEXITY_THRESHOLD, **(thresholds or {})}
+    name, span, weak_spot, fmt = F.col("name"), F.col("span"), unguarded(), F.format_string
+    return {
+        "HIGH_COMPLEXITY": [
+            hit(F.col("is_def") & (span["complexity"] > limits["python"]), "python", "HIGH_COMPLEXITY", span["line"],
+                fmt(TEXTS["HIGH_COMPLEXITY"], span["name"], span["complexity"], F.lit(limits["python"]))),
+            hit(F.col("is_body") & (span["complexity"] > limits["java"]), "java", "HIGH_COMPLEXITY", span["line"],
+                fmt(TEXTS["HIGH_COMPLEXITY_JAVA"], span["name"], span["complexity"], F.lit(limits["java"])))],
+        "MISSING_NONE_CHECK": [hit(
+            is_py() & weak_spot, "python", "MISSING_NONE_CHECK", F.col("next_deref.line"),
+            fmt(TEXTS["MISSING_NONE_CHECK"], name, span["name"]), F.col("next_deref.pos"))],
+        "MISSING_NULL_CHECK": [hit(
+            is_java() & weak_spot, "java", "MISSING_NULL_CHECK", F.col("next_deref.line"),
+            fmt(TEXTS["MISSING_NULL_CHECK"], name, span["name"]), F.col("next_deref.pos"))],
+    }
+
+
+def row_hits() -> dict[str, list[Column]]:
+    """Candidate findings per rule id, over rows of ``name_uses`` with the ``ref`` column."""
     name, imp, call, attr = F.col("name"), F.col("import"), F.col("call"), F.col("attr")
-    span, handler, ref = F.col("span"), F.col("handler"), F.col("ref")
-    fmt = F.format_string
+    handler, ref, fmt = F.col("handler"), F.col("ref"), F.format_string
     arity_broken = call.isNotNull() & ~ref["is_fake"] & (
         (call["n_args"] < ref["min_args"]) | F.coalesce(call["n_args"] > ref["max_args"], F.lit(False))
     )
     root = F.substring_index(call["qualifier"], ".", 1)
     typo = F.when(is_java() & call.isNotNull(), core_class_typo(root))
     top = F.substring_index(F.col("module"), ".", 1)
-    weak_spot = unguarded(None)
     broad = F.array_join(handler["types"], ", ")
     return {
         "UNUSED_IMPORT": [hit(
@@ -118,17 +135,6 @@ def row_hits(thresholds: dict[str, int] | None = None) -> dict[str, list[Column]
         "BROAD_CATCH": [hit(
             (handler["body"] == "filled") & broad.isin("Exception", "Throwable"),
             "java", "BROAD_CATCH", handler["line"], fmt(TEXTS["BROAD_CATCH"], broad))],
-        "HIGH_COMPLEXITY": [
-            hit(F.col("is_def") & (span["complexity"] > limits["python"]), "python", "HIGH_COMPLEXITY", span["line"],
-                fmt(TEXTS["HIGH_COMPLEXITY"], span["name"], span["complexity"], F.lit(limits["python"]))),
-            hit(F.col("is_body") & (span["complexity"] > limits["java"]), "java", "HIGH_COMPLEXITY", span["line"],
-                fmt(TEXTS["HIGH_COMPLEXITY_JAVA"], span["name"], span["complexity"], F.lit(limits["java"])))],
-        "MISSING_NONE_CHECK": [hit(
-            is_py() & weak_spot, "python", "MISSING_NONE_CHECK", F.col("next_deref.line"),
-            fmt(TEXTS["MISSING_NONE_CHECK"], name, span["name"]), F.col("next_deref.pos"))],
-        "MISSING_NULL_CHECK": [hit(
-            is_java() & weak_spot, "java", "MISSING_NULL_CHECK", F.col("next_deref.line"),
-            fmt(TEXTS["MISSING_NULL_CHECK"], name, span["name"]), F.col("next_deref.pos"))],
         "HALLUCINATED_IMPORT": [
             hit(is_py() & top.isin(dims.PYTHON_FAKE_MODULES), "python", "HALLUCINATED_IMPORT", F.col("stmt_line"),
                 fmt(TEXTS["HALLUCINATED_IMPORT"], top)),

@@ -5,11 +5,34 @@ its two ends; "is there a guard inside the span" is "does the next guard of that
 backwards through the file, lie before the end".
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from riskweave.operators.tokens import before, file_order, is_java, is_py, so_far, is_, last_where
+from riskweave.operators.tokens import before, is_py, last_where, so_far
+
+
+def name_uses(rows: DataFrame) -> DataFrame:
+    """Explodes ``names`` and adds per name: used anywhere, next guard, next dereference.
+
+    Parameters are placed at the start of their function, so that all rows after them and
+    before its end are inside it.
+    """
+    rows = rows.select("*", F.posexplode_outer("names").alias("nth", "name")).drop("names")
+    rows = rows.withColumns({
+        "first_name": F.coalesce(F.col("nth") == 0, F.lit(True)),
+        "at": F.coalesce("param_start", "pos"),
+    }).drop("nth", "param_start")
+    whole = W.partitionBy("file_id", "name")
+    backwards = whole.orderBy(F.desc("at"), F.desc("pos"))
+    later = backwards.rowsBetween(W.unboundedPreceding, -1)
+    everywhere = backwards.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = rows.withColumns({
+        "used": F.max(F.col("is_use") & F.col("import").isNull()).over(everywhere),
+        "next_guard": last_where(F.col("is_guard"), F.col("pos"), later),
+        "next_deref": last_where(F.col("is_deref"), F.struct("pos", "line"), later),
+    })
+    return rows.filter("first_name").drop("first_name", "at", "is_use", "is_guard", "is_deref")
 
 
 def spanned(rows: DataFrame) -> DataFrame:
@@ -20,82 +43,65 @@ def spanned(rows: DataFrame) -> DataFrame:
     margin closes the function; their number is bounded by the blanks the file itself holds.
     Java: the closing brace carries the key of the body it closes.
     """
-    keep = (
-        F.col("line_start") | F.col("fault").isNotNull() | (F.col("decision") > 0) | (F.col("pos") == 0)
-        | F.col("fkey").isNotNull() | F.col("names").isNotNull() | F.col("import").isNotNull()
-        | F.col("module").isNotNull() | F.col("call").isNotNull() | F.col("handler").isNotNull()
-        | F.col("declared").isNotNull()
-    )
-    rows = rows.filter(keep).withColumn("upto", F.sum("decision").over(so_far()))
+    used_here = [
+        "decision", "line_start", "is_at", "below_at", "is_def", "def_name", "indent", "margin_above", "body", "closes_body",
+        "fkey", "fault",
+    ]
+    passed = [c for c in rows.columns if c not in used_here]
+    rows = rows.withColumn("upto", F.sum("decision").over(so_far()))
     # decorators belong to the function below them
-    run_start = F.col("line_start") & (F.col("tok") == "@") & ~is_("above.tok", "@")
     start = F.struct("pos", (F.col("upto") - F.col("decision")).alias("upto"))
-    rows = rows.withColumn("run", last_where(run_start, start, before()))
-    rows = rows.withColumn("start", F.when(is_("above.tok", "@"), F.col("run")).otherwise(start))
+    rows = rows.withColumn("run", last_where(F.col("line_start") & F.col("is_at") & ~F.col("below_at"), start, before()))
+    rows = rows.withColumn("start", F.when(F.col("is_def"), F.when(F.col("below_at"), F.col("run")).otherwise(start)))
 
-    margin_above = F.coalesce(F.col("above.indent"), F.lit(0))
     rows = rows.withColumn("margin", F.explode(F.when(
         is_py() & F.col("line_start"),
-        F.sequence(F.col("indent"), F.greatest(F.col("indent"), margin_above)),
+        F.sequence(F.col("indent"), F.greatest("indent", "margin_above")),
     ).otherwise(F.array(F.lit(-1)))))
     same_margin = W.partitionBy("file_id", "margin").orderBy("pos")
     own = F.col("margin") == F.col("indent")
     rows = rows.withColumns({
-        "next_pos": F.lead("pos").over(same_margin),
-        "next_upto": F.lead(F.col("upto") - F.col("decision")).over(same_margin),
+        "next": F.lead(F.struct("pos", (F.col("upto") - F.col("decision")).alias("upto"))).over(same_margin),
         "prior_own": F.lag(own).over(same_margin),
     })
-    dedent = F.col("line_start") & (F.col("indent") < margin_above) & ~F.coalesce("prior_own", F.lit(False))
-    rows = rows.filter((F.col("margin") == -1) | own).withColumn(
-        "fault", F.coalesce("fault", F.when(dedent, F.lit("unindent does not match any outer indentation level")))
+    dedent = F.col("line_start") & (F.col("indent") < F.col("margin_above")) & ~F.coalesce("prior_own", F.lit(False))
+    opens_body, closes = F.col("body").isNotNull(), F.col("closes_body")
+    rows = rows.filter((F.col("margin") == -1) | own).select(
+        *passed, "fkey", "is_def", opens_body.alias("is_body"),
+        F.coalesce("fault", F.when(dedent, F.lit("unindent does not match any outer indentation level"))).alias("fault"),
+        F.when(F.col("is_def"), F.struct(
+            F.col("def_name").alias("name"), "line", F.col("start.pos").alias("start"), F.col("next.pos").alias("end"),
+            F.col("start.upto").alias("from_upto"), F.col("next.upto").alias("to_upto"),
+        )).when(opens_body, F.struct(
+            F.col("body.name").alias("name"), F.col("body.line").alias("line"), F.col("fkey").alias("start"),
+            F.lit(None).cast("bigint").alias("end"), F.col("upto").alias("from_upto"),
+            F.lit(None).cast("bigint").alias("to_upto"),
+        )).alias("opened"),
+        F.when(closes, F.struct(F.col("pos").alias("end"), F.col("upto").alias("to_upto"))).alias("closed"),
     )
-    by_function = W.partitionBy("file_id", F.coalesce("fkey", -F.col("pos") - 1))
-    opens_body, closes = F.col("body").isNotNull(), F.col("closes_body").isNotNull()
-
-    def pick(condition, value):
-        return F.max(F.when(condition, value)).over(by_function)
-
-    own_span = F.struct(
-        F.col("t1").alias("name"), "line", F.col("start.pos").alias("start"), F.col("next_pos").alias("end"),
-        (1 + F.col("next_upto") - F.col("start.upto")).alias("complexity"),
-    )
-    java_span = F.struct(
-        pick(opens_body, F.col("body.name")).alias("name"), pick(opens_body, F.col("body.line")).alias("line"),
-        F.col("fkey").alias("start"), pick(closes, F.col("pos")).alias("end"),
-        (1 + pick(closes, F.col("upto")) - pick(opens_body, F.col("upto"))).alias("complexity"),
-    )
-    span = F.when(is_java(), java_span).otherwise(pick(F.col("is_def"), own_span))
-    rows = rows.withColumn("span", F.when(F.col("fkey").isNotNull(), span))
-    return rows.select(
-        "file_id", "language", "pos", "line", "fault", "import", "module", "stmt_line", "names", "is_use",
-        "is_param", "is_guard", "is_deref", "attr", "call", "handler", "declared", "is_def",
-        opens_body.alias("is_body"), "span", *(["head"] if "head" in rows.columns else []),
+    # the rows of one function carry its key, all others share one
+    by_function = W.partitionBy("file_id", F.coalesce("fkey", F.lit(-1)))
+    rows = rows.withColumns({
+        "opened": F.first("opened", ignorenulls=True).over(by_function),
+        "closed": F.first("closed", ignorenulls=True).over(by_function),
+    })
+    span = F.struct(
+        F.col("opened.name").alias("name"), F.col("opened.line").alias("line"), F.col("opened.start").alias("start"),
+        F.coalesce("opened.end", "closed.end").alias("end"),
+        (1 + F.coalesce("opened.to_upto", "closed.to_upto") - F.col("opened.from_upto")).alias("complexity"),
     )
+    return rows.withColumn(
+        "span", F.when(F.col("fkey").isNotNull() & F.col("opened").isNotNull(), span)
+    ).drop("opened", "closed", "fkey")
 
 
-def name_uses(rows: DataFrame) -> DataFrame:
-    """Explodes ``names`` and adds per name: used anywhere, next guard, next dereference.
-
-    Parameters are placed at the start of their function, so that all rows after them and
-    before its end are inside it.
-    """
-    rows = rows.select("*", F.posexplode_outer("names").alias("nth", "name"))
-    rows = rows.withColumn("first_name", F.coalesce(F.col("nth") == 0, F.lit(True)))
-    rows = rows.withColumn("at", F.when(F.col("is_param"), F.col("span.start")).otherwise(F.col("pos")))
-    whole = W.partitionBy("file_id", "name")
-    backwards = whole.orderBy(F.desc("at"), F.desc("pos"))
-    later = backwards.rowsBetween(W.unboundedPreceding, -1)
-    everywhere = backwards.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    use = F.struct("pos", "line")
-    return rows.withColumns({
-        "used": F.max(F.col("is_use") & F.col("import").isNull()).over(everywhere),
-        "next_guard": last_where(F.col("is_guard"), F.col("pos"), later),
-        "next_deref": last_where(F.col("is_deref"), use, later),
-    })
+def scoping() -> Column:
+    """Rows that spans are made of, or that spans say something about."""
+    return F.col("line_start") | F.col("fault").isNotNull() | (F.col("decision") > 0) | F.col("fkey").isNotNull()
 
 
-def unguarded(rows_with_uses):
-    """Condition: the row is a parameter that is dereferenced in its span and never guarded there."""
+def unguarded() -> Column:
+    """The row is a parameter that is dereferenced in its span and never guarded there."""
     inside = F.col("next_deref.pos") < F.col("span.end")
     guarded = F.coalesce(F.col("next_guard") < F.col("span.end"), F.lit(False))
     return F.col("is_param") & F.coalesce(inside, F.lit(False)) & ~guarded

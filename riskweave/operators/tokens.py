@@ -58,19 +58,22 @@ def last_where(condition: Column, value: Column, window) -> Column:
     return F.last(F.when(condition, value), ignorenulls=True).over(window)
 
 
-def tokens(files: DataFrame, head: Column | None = None, large: int = lexing.LARGE_TEXT) -> DataFrame:
+def tokens(
+    files: DataFrame, head: Column | None = None, large: int = lexing.LARGE_TEXT, clustered: bool = False
+) -> DataFrame:
     """``(file_id, language, pos, tok, kind, nl, nl_tok, brk, indent[, head])``.
 
     ``nl`` counts newlines before the token and ``nl_tok`` those inside it, ``brk`` says that
-    a Python statement can begin here, ``indent`` is its column.  ``head`` is a per-file value
-    that rides on the first token only.
+    a Python statement can begin here, ``indent`` is its column.  ``head`` is a per-file
+    value that rides on the first token only.  ``clustered`` says that the input is a table bucketed
+    by ``file_id``, which needs no exchange.
     """
     carried = [] if head is None else [head.alias("head")]
-    clustered = files.repartition("file_id").select(
+    keep = ["file_id", "language"] + (["head"] if carried else [])
+    texts = (files if clustered else files.repartition("file_id")).select(
         "file_id", "language", lexing.normalized(F.col("code")).alias("code"), *carried
     )
-    keep = ["file_id", "language"] + (["head"] if carried else [])
-    runs = clustered.select(
+    runs = texts.select(
         *keep, F.posexplode(lexing.text_chunks(F.col("code"), F.col("language"), large)).alias("run", "run_text")
     )
     matches = runs.select(
@@ -117,7 +120,10 @@ def tokens(files: DataFrame, head: Column | None = None, large: int = lexing.LAR
 
 
 def placed(token_rows: DataFrame) -> DataFrame:
-    """Adds line, bracket level, neighbours and statement starts.
+    """Adds line, bracket level, neighbours, statement starts and faults.
+
+    Costly columns are made below a window and filtered on above it: a filter right above them
+    would be pushed down together with a copy of them.
 
     ``level`` is the number of open brackets; an opening and a closing bracket carry the level
     of what they enclose, so a bracket group is a run of rows of one level.
@@ -156,9 +162,15 @@ def placed(token_rows: DataFrame) -> DataFrame:
             F.col("tok").isin(*type_words, "{", "}", ";"), F.col("tok").isin(type_words), before()), F.lit(False)),
     })
     module = F.when(is_("stmt.tok", "from") & is_("pk1", "n"), F.col("p1"))
-    return rows.withColumn("import_ctx", last_where(
-        is_py() & (F.col("tok") == "import"), F.struct(F.col("stmt.pos").alias("stmt_pos"), module.alias("module")), so_far()
-    ))
+    below_at = is_("above.tok", "@")
+    return token_faults(rows).withColumns({
+        "import_ctx": last_where(
+            is_py() & (F.col("tok") == "import"),
+            F.struct(F.col("stmt.pos").alias("stmt_pos"), module.alias("module")), so_far()),
+        # where the latest run of decorators starts, and whether the def two tokens back is below one
+        "run_pos": last_where(F.col("line_start") & (F.col("tok") == "@") & ~below_at, F.col("pos"), so_far()),
+        "def_below_at": F.coalesce(F.lag(below_at & F.col("line_start"), 2).over(file_order()), F.lit(False)),
+    })
 
 
 # Words that open a block in Python, and words that are names in most places.
@@ -195,5 +207,5 @@ def token_faults(rows: DataFrame) -> DataFrame:
     return rows.withColumn("fault", F.coalesce(shared, F.when(is_java(), java).otherwise(py)))
 
 
-def structured(files: DataFrame, head: Column | None = None) -> DataFrame:
-    return token_faults(placed(tokens(files, head)))
+def structured(files: DataFrame, head: Column | None = None, clustered: bool = False) -> DataFrame:
+    return placed(tokens(files, head, clustered=clustered))

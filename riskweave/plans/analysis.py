@@ -49,40 +49,55 @@ def _rule_struct(language: str, found: Column, weights) -> Column:
 
 def reports(
     files: DataFrame, rule_ids=None, thresholds: dict[str, int] | None = None,
-    weights: dict[tuple[str, str], int] | None = None,
+    weights: dict[tuple[str, str], int] | None = None, clustered: bool = False,
 ) -> DataFrame:
     """One row per accepted file: score, level, facts and findings (D, E, G1-G8, H4).
 
     ``rule_ids`` limits the work to some rules; ``thresholds`` and ``weights`` override the
-    curated values (K4).
+    curated values (K4).  ``clustered`` says that ``files`` is a table bucketed by ``file_id``.
     """
     wanted = list(rules.ALL_RULES if rule_ids is None else rule_ids)
-    rows = scopes.name_uses(scopes.spanned(facts.annotated(files, _file_head())))
-    rows = rules.with_reference(rows)
-    candidates = [c for rule, columns in rules.row_hits(thresholds).items() if rule in wanted for c in columns]
-    stated = F.coalesce(*candidates) if candidates else rules.hit(F.lit(False), "python", "PARSE_ERROR", F.lit(0), F.lit(""))
-    # an attribute row can also be the closing bracket of nothing, so one token states one finding,
-    # except a Java call, which can be fake and mistyped at once
-    several = F.array_compact(F.array(*candidates)) if candidates else F.array(stated)
+    rows = scopes.name_uses(facts.annotated(files, _file_head(), clustered))
+
+    def chosen(hits):
+        columns = [column for rule, candidates in hits.items() if rule in wanted for column in candidates]
+        return F.array_compact(F.array(*columns)) if columns else F.array().cast(rules.RAW_FINDINGS)
+
+    # only calls and attributes of the curated tables, or of a name that may be a mistyped class
+    known = F.col("ref").isNotNull() | (is_java() & F.col("call.qualifier").rlike(r"^\p{Lu}"))
+    stating = (
+        F.coalesce(known, F.lit(False)) | F.col("handler").isNotNull() | F.col("import").isNotNull()
+        | F.col("module").isNotNull()
+    )
+    rows = rules.with_reference(rows).filter(
+        scopes.scoping() | stating | F.col("head").isNotNull() | F.col("declared").isNotNull()
+    )
+    # what a row says on its own is said here, so that the spans carry little
+    rows = rows.select(
+        "file_id", "language", "pos", "line", "head", "name", "import", "module", "declared", "is_param", "next_guard",
+        "next_deref", "decision", "line_start", "is_at", "below_at", "is_def", "def_name", "indent", "margin_above",
+        "body", "closes_body", "fkey", "fault", F.when(stating, chosen(rules.row_hits())).alias("stated"),
+    )
+    rows = scopes.spanned(rows)
+    tested = F.col("is_def") | F.col("is_body") | F.col("is_param")
     rows = rows.select(
-        "file_id", "language", "pos", "head", "fault", "line", "import",
-        F.when(F.col("first_name"), F.col("module")).alias("module"),
-        F.when(F.col("first_name"), F.col("declared")).alias("declared"),
-        F.when(stated.isNotNull(), several).alias("stated"),
+        "file_id", "language", "pos", "head", "fault", "line", "import", "module", "declared", "stated",
+        F.when(tested, chosen(rules.span_hits(thresholds))).alias("span_stated"),
     )
     return _assembled(rows, wanted, weights or {})
 
 
 def _assembled(rows: DataFrame, wanted, weights) -> DataFrame:
-    per_file = rows.groupBy("file_id", "language").agg(
+    per_file = rows.groupBy("file_id").agg(
+        F.first("language").alias("language"),
         F.first("head", ignorenulls=True).alias("head"),
         F.min(F.when(F.col("fault").isNotNull(), F.struct("pos", "line", "fault"))).alias("fault"),
         F.collect_list(F.when(F.col("module").isNotNull(), F.struct("pos", F.col("module").alias("name")))).alias("modules"),
         F.collect_set(F.col("declared")).alias("declared"),
         F.collect_list(F.when(is_java() & F.col("import").isNotNull(), F.struct("pos", "import"))).alias("imports"),
-        F.flatten(F.collect_list("stated")).alias("stated"),
+        F.concat(F.flatten(F.collect_list("stated")), F.flatten(F.collect_list("span_stated"))).alias("stated"),
     )
-    no_findings = F.array().cast("array<struct<rule_order:int,line:int,pos:bigint,rule_id:string,message:string>>")
+    no_findings = F.array().cast(rules.RAW_FINDINGS)
     secrets = F.transform("head.secret_lines", lambda line: F.struct(
         F.when(is_java(), rules.ORDER[("java", "HARDCODED_SECRET")]).otherwise(rules.ORDER[("python", "HARDCODED_SECRET")]).alias("rule_order"),
         line.alias("line"), F.lit(0).cast("bigint").alias("pos"), F.lit("HARDCODED_SECRET").alias("rule_id"),

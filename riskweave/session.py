@@ -8,7 +8,10 @@ SETTINGS = {
     # Long generated methods are not compiled by the JVM; below this limit Spark generates
     # one class per operator instead, which is compiled.
     "spark.sql.codegen.hugeMethodLimit": "8000",
-    # Text grows about tenfold in its token rows after the shuffle, so partitions are kept small.
+    # Rows arrive sorted by file, so reports are gathered without hashing or sorting again.
+    "spark.sql.execution.replaceHashWithSortAgg": "true",
+    # Text grows about tenfold in its token rows after the exchange, so partitions are merged
+    # up to a small size only.
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
 }

@@ -91,17 +91,26 @@ MEDIUM_WEIGHT = 3
 # --- End of fixed values ----------------------------------------------------
 
 
+def _values(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """An inline table; it is part of the plan, so using it starts no job."""
+    def cell(value):
+        if value is None:
+            return "CAST(NULL AS INT)"
+        if isinstance(value, bool):
+            return str(value).lower()
+        return str(value) if isinstance(value, int) else f"'{value}'"
+
+    text = ", ".join("(" + ", ".join(cell(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {text} AS t({columns})")
+
+
 def ref_member(spark: SparkSession) -> DataFrame:
     """One row per curated (language, qualifier, member): a known arity or a known fake."""
     rows = [("python", q, m, False, lo, hi) for q, m, lo, hi in PYTHON_ARITY]
     rows += [("java", q, m, False, lo, hi) for q, m, lo, hi in JAVA_ARITY]
     rows += [("python", q, m, True, None, None) for q, m in PYTHON_FAKE_MEMBERS]
     rows += [("java", q, m, True, None, None) for q, m in JAVA_FAKE_MEMBERS]
-    return spark.createDataFrame(
-        rows,
-        "language string, qualifier string, member string, is_fake boolean, "
-        "min_args int, max_args int",
-    )
+    return _values(spark, rows, "language, qualifier, member, is_fake, min_args, max_args")
 
 
 def ref_rule(spark: SparkSession) -> DataFrame:
@@ -111,8 +120,4 @@ def ref_rule(spark: SparkSession) -> DataFrame:
         order = seen.setdefault(language, 0)
         seen[language] = order + 1
         rows.append((language, rule_id, severity, weight, category, order))
-    return spark.createDataFrame(
-        rows,
-        "language string, rule_id string, severity string, weight int, "
-        "category string, rule_order int",
-    )
+    return _values(spark, rows, "language, rule_id, severity, weight, category, rule_order")
