@@ -1,6 +1,8 @@
 """The Python and Java rules as one emission over fully annotated rows.
 
-``findings_of`` gives every row the array of findings it states.  All lookups against curated
+``row_hits`` and ``span_hits`` give candidate findings per rule; a row states at most one of
+the rules in ``SECOND`` and one of the others (an import can be unused and unknown, a call broken and its class
+mistyped).  All lookups against curated
 lists are one broadcast join with a table whose size is fixed in ``sources.dims``.
 """
 
@@ -41,10 +43,11 @@ TEXTS = {
     "PARSE_ERROR": "SyntaxError: %s at line %d",
     "PARSE_ERROR_JAVA": "JavaSyntaxError: %s at line %d",
 }
-RAW_FINDINGS = "array<struct<rule_order:int,line:int,pos:bigint,rule_id:string,message:string>>"
+RAW_FINDING = "struct<rule_order:int,line:int,pos:bigint,rule_id:string,message:string>"
 ORDER = {}
 for _language, _rule, *_ in dims.RULES:
     ORDER[(_language, _rule)] = sum(1 for lang, *_x in dims.RULES if lang == _language and (lang, _x[0]) in ORDER)
+SECOND = ["HALLUCINATED_IMPORT", "HALLUCINATED_CLASS_NAME"]
 ALL_RULES = sorted({rule for _, rule, *_ in dims.RULES})
 
 
@@ -69,12 +72,10 @@ def unknown_package(path: Column) -> Column:
 
 def core_class_typo(root: Column) -> Column:
     """The first core class within two edits of a capitalised name, else null."""
-    close = F.filter(
-        F.array(*[F.lit(c) for c in dims.JAVA_CORE_CLASSES]),
-        lambda c: F.levenshtein(root, c, 2).between(1, 2),
-    )
+    # written out: a function over an array would leave generated code
+    close = F.coalesce(*[F.when(F.levenshtein(root, F.lit(c), 2).between(1, 2), F.lit(c)) for c in dims.JAVA_CORE_CLASSES])
     candidate = (F.length(root) >= 4) & root.rlike(r"^\p{Lu}") & ~root.isin(dims.JAVA_CORE_CLASSES)
-    return F.when(candidate, F.get(close, F.lit(0)))
+    return F.when(candidate, close)
 
 
 def with_reference(rows: DataFrame) -> DataFrame:

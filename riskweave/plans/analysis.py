@@ -59,9 +59,12 @@ def reports(
     wanted = list(rules.ALL_RULES if rule_ids is None else rule_ids)
     rows = scopes.name_uses(facts.annotated(files, _file_head(), clustered))
 
-    def chosen(hits):
-        columns = [column for rule, candidates in hits.items() if rule in wanted for column in candidates]
-        return F.array_compact(F.array(*columns)) if columns else F.array().cast(rules.RAW_FINDINGS)
+    def chosen(hits, second=False):
+        columns = [
+            column for rule, candidates in hits.items() if rule in wanted and (rule in rules.SECOND) == second
+            for column in candidates
+        ]
+        return F.coalesce(*columns) if columns else F.lit(None).cast(rules.RAW_FINDING)
 
     # only calls and attributes of the curated tables, or of a name that may be a mistyped class
     known = F.col("ref").isNotNull() | (is_java() & F.col("call.qualifier").rlike(r"^\p{Lu}"))
@@ -76,13 +79,14 @@ def reports(
     rows = rows.select(
         "file_id", "language", "pos", "line", "head", "name", "import", "module", "declared", "is_param", "next_guard",
         "next_deref", "decision", "line_start", "is_at", "below_at", "is_def", "def_name", "indent", "margin_above",
-        "body", "closes_body", "fkey", "fault", F.when(stating, chosen(rules.row_hits())).alias("stated"),
+        "body", "closes_body", "fkey", "fault", F.when(stating, chosen(rules.row_hits())).alias("said"),
+        F.when(stating, chosen(rules.row_hits(), second=True)).alias("also_said"),
     )
     rows = scopes.spanned(rows)
     tested = F.col("is_def") | F.col("is_body") | F.col("is_param")
     rows = rows.select(
-        "file_id", "language", "pos", "head", "fault", "line", "import", "module", "declared", "stated",
-        F.when(tested, chosen(rules.span_hits(thresholds))).alias("span_stated"),
+        "file_id", "language", "pos", "head", "fault", "line", "import", "module", "declared", "said",
+        "also_said", F.when(tested, chosen(rules.span_hits(thresholds))).alias("span_said"),
     )
     return _assembled(rows, wanted, weights or {})
 
@@ -95,9 +99,10 @@ def _assembled(rows: DataFrame, wanted, weights) -> DataFrame:
         F.collect_list(F.when(F.col("module").isNotNull(), F.struct("pos", F.col("module").alias("name")))).alias("modules"),
         F.collect_set(F.col("declared")).alias("declared"),
         F.collect_list(F.when(is_java() & F.col("import").isNotNull(), F.struct("pos", "import"))).alias("imports"),
-        F.concat(F.flatten(F.collect_list("stated")), F.flatten(F.collect_list("span_stated"))).alias("stated"),
+        F.collect_list("said").alias("said"), F.collect_list("also_said").alias("also_said"),
+        F.collect_list("span_said").alias("span_said"),
     )
-    no_findings = F.array().cast(rules.RAW_FINDINGS)
+    no_findings = F.array().cast(f"array<{rules.RAW_FINDING}>")
     secrets = F.transform("head.secret_lines", lambda line: F.struct(
         F.when(is_java(), rules.ORDER[("java", "HARDCODED_SECRET")]).otherwise(rules.ORDER[("python", "HARDCODED_SECRET")]).alias("rule_order"),
         line.alias("line"), F.lit(0).cast("bigint").alias("pos"), F.lit("HARDCODED_SECRET").alias("rule_id"),
@@ -118,7 +123,7 @@ def _assembled(rows: DataFrame, wanted, weights) -> DataFrame:
         .otherwise(F.format_string(rules.TEXTS["PARSE_ERROR"], F.col("fault.fault"), F.col("fault.line"))).alias("message"),
     )) if "PARSE_ERROR" in wanted else no_findings
     broken = F.col("fault").isNotNull()
-    parts = [F.col("stated")]
+    parts = [F.col("said"), F.col("also_said"), F.col("span_said")]
     if "HARDCODED_SECRET" in wanted:
         parts.append(F.coalesce(secrets, no_findings))
     if "UNUSED_IMPORT" in wanted:
