@@ -112,8 +112,8 @@ py_name AS (
 ),
 used_name AS (
   SELECT file_id, split_part(tok, '.', 1) AS name FROM py_name
-  UNION SELECT file_id, unnest(regexp_extract_all(array_to_string(regexp_extract_all(
-      regexp_replace(tok, '\\{\\{|\\}\\}|![rsa]', '', 'g'), '\\{([^}]*)', 1), chr(10)), '(^|[^\\w.])([A-Za-z_]\\w*)', 2))
+  UNION SELECT file_id, unnest(regexp_extract_all(regexp_replace(array_to_string(regexp_extract_all(
+      regexp_replace(tok, '\\{\\{|\\}\\}|![rsa]', '', 'g'), '\\{([^}]*)', 1), chr(10)), '''[^'']*''|"[^"]*"', '', 'g'), '(^|[^\\w.])([A-Za-z_]\\w*)', 2))
   FROM t WHERE language = 'python' AND kind = 's' AND regexp_matches(tok, '^[rR]?[fF]')
 ),
 attribute AS (

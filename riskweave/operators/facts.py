@@ -48,7 +48,7 @@ def name_refs(rows: DataFrame) -> DataFrame:
     """Distinct names a Python file uses."""
     return rows.filter(F.col("is_use") & F.col("names").isNotNull()).select(
         *KEY, F.explode("names").alias("name")
-    ).distinct()
+    ).withColumn("name", F.substring_index("name", ".", 1)).distinct()
 
 
 def attributes(rows: DataFrame) -> DataFrame:

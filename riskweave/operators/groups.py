@@ -83,8 +83,12 @@ def _name_facts() -> dict[str, Column]:
         | ((F.col("level") > 0) & is_("t1", "=") & one_of("p1", "(", ","))
     )
     py_name = is_py() & name & ~no_use
-    fields = F.array_join(F.regexp_extract_all(
-        F.regexp_replace(tok, r"\{\{|\}\}|![rsa]", ""), F.lit(r"\{([^}]*)"), F.lit(1)), "\n")
+    fields = F.regexp_replace(F.array_join(F.regexp_extract_all(
+        F.regexp_replace(tok, r"\{\{|\}\}|![rsa]", ""), F.lit(r"\{([^}]*)"), F.lit(1)), "\n"), r"'[^']*'|\"[^\"]*\"", "")
+
+    def in_fields(pattern):
+        return F.when(_f_string(), F.regexp_extract_all(fields, F.lit(r"(^|[^\w.])" + pattern), F.lit(2)))
+
     attr = F.when(
         is_py() & name & dotted & ~in_import & ~one_of("p1", "def", "class"),
         F.struct(first.alias("qualifier"), F.split("tok", "[.]")[1].alias("member")),
@@ -104,12 +108,13 @@ def _name_facts() -> dict[str, Column]:
     java_guard = is_java() & (kind == "n") & compared
     java_deref = is_java() & name & is_("t1", "(") & ~one_of("p1", "new", "@") & tok.rlike(r"^[^.]+\.[^.]+$")
     indexed = is_("t1", "[") & ~F.col("next_starts")
-    f_names = F.when(_f_string(), F.array_distinct(
-        F.regexp_extract_all(fields, F.lit(r"(^|[^\w.])([A-Za-z_]\w*)"), F.lit(2))))
     return {
         "py_name": py_name,
         "attr": attr,
-        "field_names": f_names,
+        # names of an f-string, with the attribute if there is one
+        "field_names": in_fields(r"([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)?)"),
+        "field_indexed": in_fields(r"([A-Za-z_]\w*)\s*\["),
+        "field_guarded": in_fields(r"([A-Za-z_]\w*)\s+(?:is|is\s+not|==|!=)\s+None\b"),
         "own_name": F.when(is_py() & (py_name | attr.isNotNull()), first)
         .when(java_guard, F.substring_index("tok", ".", -1)).when(java_deref, first),
         # true for guards that hold only where the name is a use
@@ -290,6 +295,7 @@ def grouped(rows: DataFrame) -> DataFrame:
         .when(F.col("import").isNotNull() & is_py(), F.array(F.col("import.name")))
         .when(F.col("field_names").isNotNull(), F.col("field_names"))
         .when(F.col("own_name").isNotNull() & (use | ~F.col("py_name") | F.col("attr").isNotNull()), F.array("own_name")).alias("names"),
+        "field_indexed", "field_guarded",
         (py_param | java_param).alias("is_param"),
         (F.col("guard") & (is_java() | use)).alias("is_guard"),
         (F.col("deref") | (F.col("indexed") & use)).alias("is_deref"),

@@ -18,11 +18,21 @@ def name_uses(rows: DataFrame) -> DataFrame:
     Parameters are placed at the start of their function, so that all rows after them and
     before its end are inside it.
     """
-    rows = rows.select("*", F.posexplode_outer("names").alias("nth", "name")).drop("names")
+    rows = rows.select("*", F.posexplode_outer("names").alias("nth", "element")).drop("names")
+    element, field = F.col("element"), F.col("field_indexed").isNotNull()
+    name, dotted = F.substring_index(element, ".", 1), F.contains(element, F.lit("."))
+    first, field_attr = F.coalesce(F.col("nth") == 0, F.lit(True)), F.when(
+        field & dotted, F.struct(name.alias("qualifier"), F.substring_index(element, ".", -1).alias("member")))
     rows = rows.withColumns({
-        "first_name": F.coalesce(F.col("nth") == 0, F.lit(True)),
-        "at": F.coalesce("param_start", "pos"),
-    }).drop("nth", "param_start")
+        "name": name, "first_name": first, "at": F.coalesce("param_start", "pos"),
+        "attr": F.coalesce("attr", field_attr),
+        "is_deref": F.col("is_deref") | (field & (dotted | F.array_contains("field_indexed", name))),
+        "is_guard": F.col("is_guard") | (field & F.array_contains("field_guarded", name)),
+        # the names of one f-string share its row; only the first of them speaks for the row
+        "line_start": F.col("line_start") & first, "decision": F.when(first, F.col("decision")).otherwise(0),
+        "fault": F.when(first, F.col("fault")),
+        **({"head": F.when(first, F.col("head"))} if "head" in rows.columns else {}),
+    }).drop("nth", "element", "param_start", "field_indexed", "field_guarded")
     whole = W.partitionBy("file_id", "name")
     backwards = whole.orderBy(F.desc("at"), F.desc("pos"))
     later = backwards.rowsBetween(W.unboundedPreceding, -1)
@@ -32,7 +42,7 @@ def name_uses(rows: DataFrame) -> DataFrame:
         "next_guard": last_where(F.col("is_guard"), F.col("pos"), later),
         "next_deref": last_where(F.col("is_deref"), F.struct("pos", "line"), later),
     })
-    return rows.filter("first_name").drop("first_name", "at", "is_use", "is_guard", "is_deref")
+    return rows.filter(F.col("first_name") | F.col("attr").isNotNull()).drop("first_name", "at", "is_use", "is_guard", "is_deref")
 
 
 def spanned(rows: DataFrame) -> DataFrame:

@@ -32,6 +32,9 @@ CASES = {
     "wildcard": ("python", "from os import *\n", []),
     "parentheses": ("python", "from os import (path,\n    sep as s)\nprint(path)\n", ["UNUSED_IMPORT@1"]),
     "f-string use": ("python", "import os\nprint(f'{os.sep} {{x}}')\n", []),
+    "f-string dereference": ("python", "def f(u=None, v=None, w=None):\n    if v is None:\n        return 1\n    return f'{u.x} {v.x} {w[0]}'\n", ["MISSING_NONE_CHECK@4", "MISSING_NONE_CHECK@4"]),
+    "f-string attributes": ("python", "import os, json\nf\"{os.path_exists(a)} {json.parse(b)} {d['re.matchAll']}\"\n", ["HALLUCINATED_ATTRIBUTE@2", "HALLUCINATED_ATTRIBUTE@2"]),
+    "f-string alone in a block": ("python", "def f(a):\n    f'{a.b} {a.c} {a}'\n", []),
     "keyword argument name": ("python", "import size\nf(size=1)\n", ["UNUSED_IMPORT@1"]),
     "parameter name": ("python", "import size\ndef f(size, *size2): return 1\n", ["UNUSED_IMPORT@1"]),
     "lambda parameter": ("python", "import b\nk = lambda a, b: 1\n", ["UNUSED_IMPORT@1"]),
