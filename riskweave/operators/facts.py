@@ -38,8 +38,10 @@ def functions(rows: DataFrame) -> DataFrame:
 
 
 def spans(rows: DataFrame) -> DataFrame:
-    """Functions with a body: span and complexity (C5, C13, C14, D5, E5 before the threshold)."""
-    return scopes.spanned(rows.filter(scopes.scoping())).filter(F.col("is_def") | F.col("is_body")).select(
+    """Functions that end: span and complexity (C5, C13, C14, D5, E5 before the threshold)."""
+    return scopes.spanned(rows.filter(scopes.scoping())).filter(
+        (F.col("is_def") | F.col("is_body")) & F.col("span.end").isNotNull()
+    ).select(
         *KEY, "span.name", "span.line", "span.start", "span.end", "span.complexity"
     )
 
