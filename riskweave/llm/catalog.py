@@ -1,4 +1,4 @@
-"""The operators as queries over their whole tables, and oracle SQL where SQL can express them."""
+"""The operators as queries over their whole tables."""
 
 from __future__ import annotations
 
@@ -64,7 +64,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_html_crf, op2_int8_neighbours, op3_language_id, op4_chat_trees, op5_line_templates, op6_pii_tagger,
         op7_histogram_packing, op8_benchmark_containment, op9_simhash_groups, op10_token_counts)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
