@@ -150,13 +150,13 @@ def plan(histogram: dict[int, int], size: int) -> dict[int, list[tuple[int, int,
     return slots
 
 
-def packed(cut: DataFrame, size: int = 2048, rows_per_share: int = 100_000) -> DataFrame:
+def packed(cut: DataFrame, size: int = 2048) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to a *written* table of pieces with a ``length`` column of 1 to ``size``.
 
-    Ranks are dealt in shares of each length (by hash), so a length that most rows have is ranked by many tasks; the driver
-    sees the histogram (``size`` counts at most) and the shares' counts stay in Spark.
+    Ranks are dealt in shares of each length (by hash, as many as there are shuffle partitions), so a length that most rows
+    have is ranked by all tasks; the driver sees the histogram (``size`` counts at most), the shares' counts stay in Spark.
     """
-    shares = max(1, -(-cut.count() // rows_per_share))
+    shares = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = F.pmod(F.xxhash64("doc_id", "row_hash", "piece"), F.lit(shares)).cast("int")
     rows = cut.withColumn("_share", share)
     counted = rows.groupBy("length", "_share").count()

@@ -147,7 +147,7 @@ def features(page: list[Block]) -> list[list[str]]:
     for i, block in enumerate(page):
         text, n = block.text, len(block.text)
         words = text.count(" ") + 1
-        own = ["bias", "leaf=" + (block.tags[-1] if block.tags else "none"), f"words={min(words.bit_length(), 8)}",
+        own = ["bias", "leaf=" + (block.tags[-1] if block.tags else "none"), f"words={min(words.bit_length(), 6)}",
                f"linked={min(4, 5 * block.linked // max(n, 1))}", f"depth={min(len(block.tags), 8)}"]
         own += ["in=" + t for t in sorted(set(block.tags)) if t not in ("html", "body")]
         own += ["hint=" + h for h in sorted(block.hints)]
@@ -284,7 +284,7 @@ def labelled_pages(count: int, seed: int = 3) -> list[tuple[str, list[str]]]:
 
     def prose() -> str:
         size = pick(["short", "long", "long", "tiny"])
-        low, high = {"tiny": (1, 5), "short": (4, 15), "long": (15, 60)}[size]
+        low, high = {"tiny": (1, 5), "short": (4, 15), "long": (15, 70)}[size]
         return words(low, high) + pick([".", ".", ".", ".", "", "!", "?", "###"])
 
     def named(names: list[str]) -> str:
@@ -361,8 +361,9 @@ def labelled_pages(count: int, seed: int = 3) -> list[tuple[str, list[str]]]:
             inner += side(pick(["comment", "comment", "form", "side", "foot"]))
         main = pick([f"<article>{inner}</article>", f"<article>{inner}</article>", f"<article {attribute(MAIN_NAMES)}>{inner}</article>",
                      f"<main>{inner}</main>", f"<main><article>{inner}</article></main>", f"<div {attribute(MAIN_NAMES)}>{inner}</div>"])
-        before = "".join(side(pick(kinds[:6])) for _ in range(draw.integers(0, 5)))
-        after = "".join(side(pick(kinds)) for _ in range(draw.integers(0, 6)))
+        alone = draw.random() < 0.1
+        before = "".join(side(pick(kinds[:6])) for _ in range(0 if alone else draw.integers(0, 5)))
+        after = "".join(side(pick(kinds)) for _ in range(0 if alone else draw.integers(0, 6)))
         made.append((f"<html><head><title>{title}</title><script>var x = '<p>';</script></head><body>{before}{main}{after}</body></html>",
                      wanted))
     return made

@@ -30,24 +30,30 @@ def _model(path: str) -> tuple[sentencepiece.SentencePieceProcessor, frozenset[s
 
 @lru_cache(maxsize=2)
 def _splittable(path: str) -> bool:
-    """Whether parts of a text are encoded as they are inside it: nothing is added in front, stripped or normalised."""
+    """Whether the model puts one blank before each text and keeps all others; then ``segments`` is exact."""
     model, _ = _model(path)
-    return model.encode(" a ") == model.encode(" ") + model.encode("a") + model.encode(" ") or (
-        "".join(model.id_to_piece(model.encode("  ab  "))).replace("▁", " ") == "  ab  ")
+
+    def shown(text: str) -> str:
+        return "".join(map(model.id_to_piece, model.encode(text)))
+
+    return shown("  ab  cd ") == "▁▁▁ab▁▁cd▁" and shown("ab") == "▁ab"
 
 
 def segments(text: str, size: int, pairs: frozenset[str]) -> list[str]:
-    """Cuts a text after every ``size`` characters or more, only between characters that no piece holds side by side.
+    """Cuts a text at blanks, after every ``size`` characters or more, where no piece holds the blank and what is before it.
 
-    No merge can cross such a cut, so the parts have as many tokens as the whole; a text without such a place is not cut.
+    No merge can cross such a place. The blank itself is left out, for the library puts one before each text; so the parts
+    have as many tokens as the whole. A text without such a place is not cut.
     """
     parts, begin, n = [], 0, len(text)
     while n - begin > size:
-        cut = begin + size
-        while cut < n and text[cut - 1:cut + 1].replace("▁", " ") in pairs:
-            cut += 1
+        cut = text.find(" ", begin + size)
+        while 0 <= cut < n - 1 and text[cut - 1:cut + 1].replace("▁", " ") in pairs:
+            cut = text.find(" ", cut + 1)
+        if not 0 <= cut < n - 1:
+            break
         parts.append(text[begin:cut])
-        begin = cut
+        begin = cut + 1
     parts.append(text[begin:])
     return parts
 
