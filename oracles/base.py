@@ -60,21 +60,22 @@ corpus_code AS (
   FROM (SELECT doc_id, text, n_chars AS n FROM documents)
 ),
 files AS (
-  SELECT id AS file_id,
+  SELECT CASE kind WHEN 0 THEN id WHEN 1 THEN -1 - id END AS file_id,
     CASE WHEN id % 70 = 0 THEN NULL
          WHEN id % 50 = 0 OR id % 30 = 15 THEN 'doc_' || id || '.txt'
          WHEN id % 2 = 1 AND id % 14 = 1 THEN 'doc_' || id || '.JAVA'
          WHEN id % 2 = 1 THEN 'doc_' || id || '.java'
          ELSE 'doc_' || id || '.py' END AS filename,
     CASE WHEN id % 30 = 0 THEN 'python' WHEN id % 30 = 15 THEN 'java' WHEN id % 30 = 7 THEN 'Java' END AS language_override,
-    CASE WHEN id % 90 = 4 THEN '' WHEN id % 90 = 8 THEN ' ' || chr(10) || chr(9) || ' ' WHEN id % 90 = 12 THEN NULL ELSE code END AS code
-  FROM corpus_code
+    CASE WHEN kind = 0 THEN code WHEN id % 90 = 4 THEN '' WHEN id % 90 = 8 THEN ' ' || chr(10) || chr(9) || ' '
+         WHEN id % 90 = 16 THEN 'pass' || chr(10) END AS code
+  FROM (SELECT *, unnest(CASE WHEN id % 90 IN (4, 8, 12) THEN [0, 1] WHEN id % 90 = 16 THEN [0, 2] ELSE [0] END) AS kind FROM corpus_code)
 ),
 good AS (
   SELECT file_id, coalesce(filename, 'pasted_snippet.py') AS filename,
     CASE WHEN language_override IN ('python', 'java') THEN language_override
          WHEN lower(coalesce(filename, '')) LIKE '%.java' THEN 'java' ELSE 'python' END AS language, code
-  FROM files WHERE code IS NOT NULL AND regexp_matches(code, '\\S')
+  FROM files WHERE code IS NOT NULL AND regexp_matches(code, '\\S') AND file_id IS NOT NULL
 )"""
 
 # chr(1) ends a file here; the count of matches up to a token is its position

@@ -33,7 +33,7 @@ _FUNCTION_FACT = """(SELECT file_id, string_agg(name, '|' ORDER BY pos) AS funct
 _LINE_FACT = """(SELECT g.file_id, CASE WHEN g.file_id IN (SELECT file_id FROM malformed) THEN 0 ELSE count(l.line) END AS n
   FROM good g LEFT JOIN line l ON l.file_id = g.file_id GROUP BY g.file_id)"""
 _STORED = "SELECT file_id AS report_id, filename, language, risk_level, risk_score, num_findings FROM report"
-_MOMENT = "strftime(TIMESTAMP '2023-11-14 22:13:20' + to_seconds(r.file_id), '%Y-%m-%dT%H:%M:%S.000000Z')"
+_MOMENT = "strftime(TIMESTAMP '2023-11-14 22:13:20' + to_seconds(r.file_id), '%Y-%m-%dT%H:%M:%S.000000+00:00')"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -61,7 +61,8 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN language_override = 'python' OR language_override = 'java' THEN language_override
               WHEN ends_with(lower(filename), '.java') THEN 'java' ELSE 'python' END AS language FROM files""", "files"),
         "b3_rejected": sql("""SELECT file_id, filename, 'No code provided.' AS reason FROM files
-            WHERE code IS NULL OR trim(replace(replace(code, chr(9), ''), chr(10), '')) = ''""", "files"),
+            WHERE code IS NULL OR trim(replace(replace(code, chr(9), ''), chr(10), '')) = ''
+            UNION ALL SELECT file_id, filename, 'No file id.' FROM files WHERE file_id IS NULL AND length(code) > 3""", "files"),
         "b6_line_counts": sql("""SELECT language, count(DISTINCT file_id) AS n_files, count(*) AS n_lines FROM line GROUP BY language""", "files", "lines"),
         "c1_tokens": sql("SELECT file_id, pos, line, tok FROM t WHERE n1 <> ''", "files", "tokens"),
         "c2_structure": sql("""SELECT file_id, pos, level, line_start, CASE WHEN line_start THEN margin END AS margin, stmt_pos

@@ -45,7 +45,7 @@ def has_code(code: Column) -> Column:
 def python_secret(text: Column) -> Column:
     test = F.lit(False)
     for pattern in dims.PYTHON_SECRET_PATTERNS:
-        test = test | text.rlike(pattern)
+        test = test | text.rlike("(?U)" + pattern.replace(r"\s", r"[\s\x1C-\x1F]"))
     return test
 
 

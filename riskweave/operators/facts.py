@@ -11,8 +11,8 @@ from riskweave.operators import groups, scopes, tokens
 KEY = ["file_id", "language"]
 
 
-def annotated(files: DataFrame, head=None, clustered: bool = False) -> DataFrame:
-    return groups.grouped(groups.local_roles(tokens.structured(files, head, clustered)))
+def annotated(files: DataFrame, head=None) -> DataFrame:
+    return groups.grouped(groups.local_roles(tokens.structured(files, head)))
 
 
 def faults(files: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from riskweave.functions import lexing
+from riskweave.sources import submissions
 
 
 def file_order() -> WindowSpec:
@@ -59,18 +60,18 @@ def last_where(condition: Column, value: Column, window) -> Column:
 
 
 def tokens(
-    files: DataFrame, head: Column | None = None, large: int = lexing.LARGE_TEXT, clustered: bool = False
+    files: DataFrame, head: Column | None = None, large: int = lexing.LARGE_TEXT
 ) -> DataFrame:
     """``(file_id, language, pos, tok, kind, nl, nl_tok, brk, indent[, head])``.
 
     ``nl`` counts newlines before the token and ``nl_tok`` those inside it, ``brk`` says that
     a Python statement can begin here, ``indent`` is its column.  ``head`` is a per-file
-    value that rides on the first token only.  ``clustered`` says that the input is a table bucketed
-    by ``file_id``, which needs no exchange.
+    value that rides on the first token only.  Files that share an id are left out (they are rejected); on a table
+    bucketed by ``file_id`` this needs no exchange.
     """
     carried = [] if head is None else [head.alias("head")]
     keep = ["file_id", "language"] + (["head"] if carried else [])
-    texts = (files if clustered else files.repartition("file_id")).select(
+    texts = submissions.unique(files).select(
         "file_id", "language", lexing.normalized(F.col("code")).alias("code"), *carried
     )
     runs = texts.select(
@@ -207,5 +208,5 @@ def token_faults(rows: DataFrame) -> DataFrame:
     return rows.withColumn("fault", F.coalesce(shared, F.when(is_java(), java).otherwise(py)))
 
 
-def structured(files: DataFrame, head: Column | None = None, clustered: bool = False) -> DataFrame:
-    return placed(tokens(files, head, clustered=clustered))
+def structured(files: DataFrame, head: Column | None = None) -> DataFrame:
+    return placed(tokens(files, head))

@@ -49,15 +49,15 @@ def _rule_struct(language: str, found: Column, weights) -> Column:
 
 def reports(
     files: DataFrame, rule_ids=None, thresholds: dict[str, int] | None = None,
-    weights: dict[tuple[str, str], int] | None = None, clustered: bool = False,
+    weights: dict[tuple[str, str], int] | None = None,
 ) -> DataFrame:
     """One row per accepted file: score, level, facts and findings (D, E, G1-G8, H4).
 
     ``rule_ids`` limits the work to some rules; ``thresholds`` and ``weights`` override the
-    curated values (K4).  ``clustered`` says that ``files`` is a table bucketed by ``file_id``.
+    curated values (K4).
     """
     wanted = list(rules.ALL_RULES if rule_ids is None else rule_ids)
-    rows = scopes.name_uses(facts.annotated(files, _file_head(), clustered))
+    rows = scopes.name_uses(facts.annotated(files, _file_head()))
 
     def chosen(hits, second=False):
         columns = [

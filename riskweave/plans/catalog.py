@@ -22,8 +22,12 @@ TUNED_THRESHOLDS = {"python": 10, "java": 8}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one the cluster names for checkpoints."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="riskweave-")
+    """A new folder below the one the cluster names for checkpoints; only a local master may go without."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="riskweave-")
     return f"{base}/{uuid.uuid4().hex}"
 
 
@@ -162,7 +166,7 @@ def _history(spark, sf_dir):
 
 def _stored_reports(spark, sf_dir):
     path = shared_folder(spark)
-    store.append(store.stored(_with_time(spark, sf_dir)), path, 0)
+    store.append(store.stored(_with_time(spark, sf_dir)), path)
     return store.read_store(spark, path).select("report_id", "filename", "language", "risk_level", "risk_score", "num_findings")
 
 
@@ -203,10 +207,6 @@ def _changed(spark, sf_dir):
         "file_id", "line", "rule_id", "message")
 
 
-def _entry(spark, sf_dir):
-    return _scores(spark, sf_dir)
-
-
 _QUERIES: dict[str, Query] = {
     "a1_submissions": _submissions,
     "a2_document_lines": _document_lines,

@@ -2,76 +2,77 @@
 
 The table holds prose.  Every document becomes one submission: code fragments picked by its
 length, followed by all of its lines as comments.  Documents with equal texts become equal code.
+Some documents are followed by another submission that must be rejected: no code, or no id.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PY_IMPORTS = [
-    "import os", "import os, sys", "import json as js", "import math", "from typing import (List,\n    Optional as Opt)",
-    "import stringutils", "from jsonutils.core import parse, dump", "import collections.abc", "from os.path import *",
-    "from . import sibling", "import re; import random", "from __future__ import annotations", "import json",
-    "try:\n    import fileutils as fu\nexcept ImportError:\n    fu = None", "import xml.etree.ElementTree as ET, textutils",
+    "import os", "import sys, shutil", "import json as codec", "import math", "from typing import (Iterable,\n    Mapping as Table)",
+    "import textutils", "from systools.core import read, scale", "import collections.abc", "from os.path import *",
+    "from . import stations", "import re; import random", "from __future__ import annotations", "import json",
+    "try:\n    import collections_extra as more\nexcept ImportError:\n    more = None", "import xml.etree.ElementTree as ET, os_utils",
 ]
 PY_BODY = [
-    "def add_@N@(a, b):\n    return a + b",
-    "def get_user_@N@(user=None):\n    return user.name",
-    "def guarded_@N@(user=None, other=None):\n    if user is None:\n        return other[0]\n    return user.name",
-    "def truthy_@N@(item: dict = None, *, flag=None):\n    if not item:\n        return flag.x\n    return item['k'].v",
-    "def risky_@N@():\n    try:\n        x = 1 / 0\n    except:\n        pass",
-    "def quiet_@N@():\n    try:\n        x = [1,\n             2]\n    except (ValueError, KeyError) as err:\n        pass\n    finally:\n        done = True",
-    "try:\n    value_@N@ = 3\nexcept KeyError: pass\nexcept ValueError:\n    print('no')",
-    'API_KEY = "not-a-real-key-@N@"',
-    "password = 'short'  # token = 'long enough @N@'",
-    "def compute_@N@(a, b, c, d):\n    total = 0\n    for i in range(a):\n        if i > b and i < c or i == d:\n            while i < d:\n                if i == c:\n                    total += 1 if i else 2\n                elif i:\n                    total -= 1\n                i += 1\n    return total",
-    "def nested_@N@(a, b):\n    def inner(x):\n        return x and (a or b and x) and [y for y in a if y]\n    with open(a) as fh, open(b) as gh:\n        if a or b:\n            return inner(fh) or gh\n    try:\n        return a if b else inner(a)\n    except OSError:\n        raise",
-    "result_@N@ = math.squareroot(16)\nitems = list.push(3)",
-    "data_@N@ = json.loads('{\"a\": [1, 2]}', True, False)",
-    "root_@N@ = math.pow(2) + math.sqrt(x=1) + os.getenv('A', 'B') + os.rename(*pair)",
-    "rand_@N@ = random.randint(1, *[2, 3], **kw) + random.random(0)",
-    "class Box_@N@(Base, metaclass=Meta):\n    size: int = 3\n\n    @staticmethod\n    def make(cls, parent=None, name='x'):\n        return parent.child(name, lambda a, b=2: (a, b))\n\n    async def later(self, job=None):\n        async with job.lock:\n            await job.run()",
-    "def shown_@N@(js):\n    return f\"{js.dumps(1)} and {os.getcwd()!r:>{width}}\" + f'{sys.path[0]}'",
-    "if __name__ == '__main__':\n    print(os.path.join('a', \"b's # not a comment\"), sys.argv)",
-    "text_@N@ = '''\nimport hidden_module\ndef not_code(:\n'''\nnumber = 0x1F + 1_000.5e3 - .5",
-    "long_@N@ = 1 + \\\n    2; other = 3; del other",
-    "re.match('a')\nre.sub(r'\\d+', '', 'a1', 1, 2, 3)\njson.stringify({})\nos.path_exists('x')",
-    "def late_@N@(cfg=None):\n    while cfg:\n        value = cfg['a']\n        if cfg == None:\n            break\n    return value",
-    "def only_read_@N@(cfg=None, opts=None):\n    return [cfg['a'] for _ in opts.values() if opts.get(1, 2)]",
-    "match_@N@ = [a for a, b in zip(x, y) if a if b]\nkeys = {k: v for k, v in pairs}\nprint(any(a for a, b in pairs))",
+    "def mean_@N@(low, high):\n    return (low + high) / 2",
+    "def label_@N@(station, unit=None):\n    head = unit.symbol\n    return f'{station}: {head}'",
+    "def depth_@N@(probe=None, backup=None):\n    if probe is None:\n        return backup[0]\n    return probe.reading",
+    "def level_@N@(row: dict = None, *, mark=None):\n    if not row:\n        return mark.height\n    return row['cm'].value",
+    "def reset_@N@(port):\n    for attempt in range(3):\n        try:\n            port.write(attempt)\n        except:\n            pass",
+    "def parse_@N@(line):\n    try:\n        cells = [float(c),\n                 0]\n    except (ValueError, IndexError) as bad:\n        pass\n    finally:\n        closed = True",
+    "try:\n    limit_@N@ = 40\nexcept LookupError: pass\nexcept ArithmeticError:\n    print('retry')",
+    'UPLOAD_TOKEN = "station-upload-@N@"',
+    "pwd = 'brief'  # secret = 'buoy channel @N@'",
+    "def flood_@N@(levels, banks, alarms):\n    worst = None\n    for name, cm in levels.items():\n        if cm > banks[name] and name in alarms or cm > 900:\n            for alarm in alarms[name]:\n                if alarm.armed:\n                    worst = name if worst is None else worst\n                elif alarm.test:\n                    alarm.reset()\n    while worst and not alarms:\n        break\n    return worst",
+    "def merged_@N@(left, right):\n    def nearer(point):\n        return point and (left or right and point) and [p for p in right if p]\n    with open(left) as near, open(right) as far:\n        if near or far:\n            return nearer(near) or far\n    try:\n        return left if right else nearer(left)\n    except OSError:\n        raise",
+    "wells_@N@ = re.matchAll(pattern, rows)\nnames = str.format_map_safe(wells_@N@)",
+    "folders_@N@ = os.listdir(base, 'deep', 'hidden')",
+    "area_@N@ = math.ceil(2, 3) + math.sqrt(x=1) + os.getenv('GAUGE', 'none') + os.rename(*pair)",
+    "draw_@N@ = random.randint(1, *[2, 3], **kw) + random.random(0)",
+    "class Gauge_@N@(Sensor, metaclass=Registry):\n    width: int = 3\n\n    @staticmethod\n    def build(cls, river=None, label='x'):\n        return river.branch(label, lambda a, b=2: (a, b))\n\n    async def poll(self, link=None):\n        async with link.lock:\n            await link.send()",
+    "def banner_@N@(codec):\n    return f\"{codec.dumps(1)} at {os.getcwd()!r:>{width}}\" + f'{sys.path[0]}'",
+    "if __name__ == '__main__':\n    print(os.path.join('log', \"tide's # no remark\"), sys.argv)",
+    "notes_@N@ = \'\'\'\nimport nothing_real\ndef half_open(:\n\'\'\'\nratio = 0x2A + 3_500.25e2 - .75",
+    "sum_@N@ = 7 + \\\n    8; rest = 3; del rest",
+    "re.search('cm')\nre.split(r'\\s+', 'a b', 1, 2, 3)\njson.parse('{}')\nos.read_file('x')",
+    "def drained_@N@(tank=None):\n    while tank:\n        inflow = tank['in']\n        if tank == None:\n            break\n    return inflow",
+    "def peeked_@N@(tank=None, valves=None):\n    return [tank['in'] for _ in valves.values() if valves.get(1, 2)]",
+    "wet_@N@ = [day for day, mm in zip(days, rain) if mm if day]\nby_day = {d: m for d, m in rows}\nprint(any(m for d, m in rows))",
 ]
 PY_BROKEN = [
-    "def broken_@N@(:\n    pass", "x = (1, 2]", "if True\n    y = 1", "def f():\nreturn 1", "name = 'open", "  indented = 1",
-    "print 'hello'", "if a:\n        b = 1\n    c = 2", "x = 1 $ 2", "y = [1, 2",
+    "def half_@N@(:\n    pass", "span = (3, 4]", "while wet\n    dry = 0", "class Empty:\nunit = 1", "name = 'buoy", "  shifted = 1",
+    "print 'level'", "if wet:\n        a = 1\n    b = 2", "cm = 4 $ 5", "rows = [8, 9",
 ]
 JAVA_IMPORTS = [
-    "import java.util.List;", "import java.util.*;", "import fakepkg.MadeUp;", "import static org.junit.Assert.assertEquals;",
-    "import java.io.IOException;\nimport java.util.Map;", "import com.acme.tools.Helper;", "import javax.swing.JFrame;",
-    "import Lonely;", "import java.util.ArrayList; // ArrayList is told here only", "import org.json.JSONObject;",
+    "import java.util.Deque;", "import java.util.*;", "import nowhere.Gauge;", "import static org.junit.Assert.assertTrue;",
+    "import java.io.Reader;\nimport java.util.Queue;", "import com.harbour.tools.Buoy;", "import javax.swing.JLabel;",
+    "import Single;", "import java.util.TreeMap; // TreeMap is told here only", "import org.json.JSONArray;",
 ]
 JAVA_BODY = [
-    "    public int add@N@(int a, int b) {\n        return a + b;\n    }",
-    "    public String user@N@(String user) {\n        return user.toUpperCase();\n    }",
-    "    public String safe@N@(String user, Map<String, List<String>> names) {\n        if (user != null) {\n            return user.trim();\n        }\n        return names.get(\"x\").toString();\n    }",
-    "    public void risky@N@() {\n        try {\n            int x = 1 / 0;\n        } catch (Exception e) {\n            // nothing\n        }\n    }",
-    "    void multi@N@() throws IOException {\n        try {\n            run();\n        } catch (final IllegalStateException | IOException e) {\n        } catch (Throwable t) {\n            log(t);\n        } finally {\n            done();\n        }\n    }",
-    "    private String apiKey@N@ = \"not-a-real-key-@N@\";",
-    "    private String token = \"abc\"; // password \"\"",
-    "    public int compute@N@(int a, int b, int c) {\n        int total = 0;\n        for (int i = 0; i < a && i > b || c == 3; i++) {\n            if (i > b) {\n                while (i < c) {\n                    total += i == c ? 1 : 2;\n                    i++;\n                }\n            }\n            do { i--; } while (i > 9);\n        }\n        return total;\n    }",
-    "    int pick@N@(int k, String[] names, String... more) {\n        switch (k) {\n            case 1:\n            case 2:\n                return names.length;\n            case 3: return more.size();\n            default: return 0;\n        }\n    }",
-    "    void fake@N@() {\n        double r = Math.squareroot(16);\n        String s = String.valueof(5);\n    }",
-    "    void arity@N@() {\n        double r = Math.sqrt(4, 5) + Math.pow(2, Math.max(1, 2));\n        String s = String.join(\",\");\n        Arrays.sort(a, new Cmp<String, Integer>(1, 2), 3, 4);\n    }",
-    "    void typo@N@() {\n        Systems.out.println(\"Hello, World!\");\n        Strin.valueOf(1); Maths.abs(2);\n        Lists.of(1, 2);\n    }",
-    "    void lower@N@() {\n        java.util.List<String> mList = new java.util.ArrayList<String>();\n        mList.add(\"x\");\n        int len = mList.size();\n    }",
-    "    interface Shape@N@ {\n        double area(double scale);\n        List<String> names();\n    }",
-    "    Runnable job@N@ = new Runnable() {\n        @Override\n        public void run() {\n            Objects.equals(1);\n        }\n    };",
-    "    public Holder@N@(String name) {\n        this.name = name.trim();\n    }",
-    "    boolean same@N@(Node left, Node right, int n) {\n        return left.id == right.id && n == 5 && right.next().same(left);\n    }",
-    "    void guard@N@(Node user, Node other) {\n        if (x.user == null) return;\n        user.run(); other.run();\n        other.run();\n    }",
-    "    char quote = '\"'; String esc = \"a\\\"b\"; /* import not.Code;\n       catch (Exception e) { } */ int big = 3;",
+    "    static long product@N@(long width, long depth) {\n        return width * depth;\n    }",
+    "    String shout@N@(String river) {\n        String upper = river.toUpperCase();\n        return upper + '!';\n    }",
+    "    public String first@N@(String river, Map<String, List<String>> gauges) {\n        if (river != null) {\n            return river.strip();\n        }\n        return gauges.get(\"x\").toString();\n    }",
+    "    void flush@N@(Channel out) throws Closed {\n        for (int turn = 0; turn < 3; turn++) {\n            try {\n                write(out, turn);\n            } catch (Exception refused) {\n                // tried again below\n            }\n        }\n    }",
+    "    void moor@N@() throws IOException {\n        try {\n            tie();\n        } catch (final IllegalStateException | IOException loose) {\n        } catch (Throwable storm) {\n            report(storm);\n        } finally {\n            settle();\n        }\n    }",
+    "    static final String UPLOAD_TOKEN@N@ = \"station-upload-@N@\";",
+    "    private String secret = \"abc\"; // token \"\"",
+    "    int alarms@N@(int[] levels, int bank, int margin) {\n        int raised = 0;\n        for (int cm : levels) {\n            if (cm > bank && cm < 900 || margin == 0) {\n                raised += cm - bank > margin ? 2 : 1;\n            } else if (cm < 0) {\n                break;\n            }\n        }\n        while (raised > 9) { raised--; }\n        do { margin--; } while (margin > 0);\n        if (raised == 1) { bank = 0; }\n        return raised;\n    }",
+    "    int unit@N@(int kind, String[] names, String... more) {\n        switch (kind) {\n            case 1:\n            case 2:\n                return names.length;\n            case 3: return more.size();\n            default: return 0;\n        }\n    }",
+    "    float tilt@N@(float rise) {\n        float slope = (float) Math.power(rise, 2);\n        return slope + Integer.parse(\"3\");\n    }",
+    "    void trim@N@() {\n        long far = Math.abs(4, 5) + Math.min(2, Math.max(1, 2), 7);\n        String shown = String.join(\",\");\n        Arrays.sort(cells, new Range<Long, Integer>(1, 2), 3, 4);\n    }",
+    "    void spell@N@() {\n        Sytem.gc(); Arays.sort(cells);\n        Integers.parseInt(\"7\");\n        Sets.of(1, 2);\n    }",
+    "    void buffer@N@() {\n        java.util.Deque<Long> queueOfLevels = new java.util.ArrayDeque<Long>();\n        queueOfLevels.push(7L);\n        boolean none = queueOfLevels.isEmpty();\n    }",
+    "    interface Bank@N@ {\n        double height(double tide);\n        List<String> gauges();\n    }",
+    "    Runnable watch@N@ = new Runnable() {\n        @Override\n        public void run() {\n            Objects.equals(1);\n        }\n    };",
+    "    public Buoy@N@(String label) {\n        this.label = label.strip();\n    }",
+    "    boolean meets@N@(Reach upper, Reach lower, int km) {\n        return upper.end == lower.start && km == 5 && lower.next().touches(upper);\n    }",
+    "    void lock@N@(Gate inner, Gate outer) {\n        if (harbour.inner == null) return;\n        inner.close(); outer.close();\n        outer.close();\n    }",
+    "    char mark = '\"'; String path = \"c\\\"d\"; /* import not.Code;\n       catch (Exception e) { } */ int width = 3;",
     "    List<Map<String, ? extends Number>> table@N@(Map<String, Integer> in) {\n        System.out.println(in.size() > 2 ? \"many\" : \"few\");\n        return in.isEmpty() ? null : make(in);\n    }",
 ]
 JAVA_BROKEN = [
-    "    public void bad@N@( { }", "    int x = (1 + 2];", "    String s = \"open;", "    }", "    void f() {",
+    "    private long open@N@( { }", "    int cm = (1 + 2];", "    String s = \"buoy;", "    }", "    void half() {",
 ]
 
 
@@ -114,6 +115,14 @@ def from_documents(documents: DataFrame) -> DataFrame:
         _picks(JAVA_IMPORTS, 0, import_count), F.lit("\n\npublic class Doc@N@ {\n"), _picks(JAVA_BODY, 1, body_count),
         F.lit("\n"), fault(JAVA_BROKEN), F.lit("}\n"), told("// "),
     )
+    def submitted(code, *more):
+        """The submission of a document, and another one without code or without an id after some of them."""
+        own = F.struct(code.alias("code"), F.lit(False).alias("extra"), F.lit(False).alias("no_id"))
+        if not more:
+            return F.array(own)
+        return F.array(own, F.struct(F.lit(more[0]).cast("string").alias("code"), F.lit(True).alias("extra"),
+                                     F.lit(len(more) > 1).alias("no_id")))
+
     is_java = doc % 2 == 1
     code = F.regexp_replace(F.when(is_java, java).otherwise(py), "@N@", n.cast("string"))
     return documents.select(
@@ -124,7 +133,11 @@ def from_documents(documents: DataFrame) -> DataFrame:
         .when(is_java, F.format_string("doc_%d.java", doc))
         .otherwise(F.format_string("doc_%d.py", doc)).alias("filename"),
         F.when(doc % 30 == 0, "python").when(doc % 30 == 15, "java").when(doc % 30 == 7, "Java").alias("language_override"),
-        F.when(doc % 90 == 4, "").when(doc % 90 == 8, " \n\t ").when(doc % 90 == 12, F.lit(None).cast("string"))
-        .otherwise(code).alias("code"),
+        F.explode(F.when(doc % 90 == 4, submitted(code, "")).when(doc % 90 == 8, submitted(code, " \n\t "))
+                  .when(doc % 90 == 12, submitted(code, None)).when(doc % 90 == 16, submitted(code, "pass\n", True))
+                  .otherwise(submitted(code))).alias("s"),
         F.timestamp_seconds(F.lit(1700000000) + doc).alias("submitted_at"),
+    ).select(
+        F.when(~F.col("s.no_id"), F.when(F.col("s.extra"), -1 - F.col("file_id")).otherwise(F.col("file_id"))).alias("file_id"),
+        "filename", "language_override", F.col("s.code").alias("code"), "submitted_at",
     )

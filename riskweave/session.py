@@ -18,7 +18,11 @@ SETTINGS = {
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Applies the settings to a running session."""
+    """A session of its own with the settings; ``spark`` and its settings stay as they are.
+
+    The copy shares the application, the catalog and the settings made so far.
+    """
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
     for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
-    return spark
+        own.conf.set(key, value)
+    return own

@@ -1,7 +1,10 @@
 """The report store: a parquet table, appended per batch."""
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from riskweave.schemas import REPORT, STORED_REPORT
 
@@ -9,7 +12,8 @@ HISTORY_SIZE = 50
 
 
 def iso(moment: Column) -> Column:
-    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    """ISO text in UTC, whatever the time zone of the session."""
+    return F.date_format(F.to_utc_timestamp(moment, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
 
 
 def report_json(created_at: Column) -> Column:
@@ -35,13 +39,21 @@ def ensure_table(spark: SparkSession, table: str) -> None:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet PARTITIONED BY (language)")
 
 
-def append(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Writes one batch; a replay of the batch replaces it, so it is counted once (A4)."""
-    rows.write.mode("overwrite").partitionBy("language").parquet(f"{path}/batch_id={batch_id}")
+def append(rows: DataFrame, path: str, run_id: str | None = None, batch_id: int = 0) -> str:
+    """Adds a batch to the store and returns its run id (A4).
+
+    Without a run id each call is a run of its own, so nothing that is stored is ever replaced. A stream names its run: a
+    batch that it repeats after a failure replaces itself, and is counted once.
+    """
+    run_id = run_id or uuid.uuid4().hex
+    rows.write.mode("overwrite").partitionBy("language").parquet(f"{path}/run_id={run_id}/batch_id={batch_id}")
+    return run_id
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STORED_REPORT).option("basePath", path).parquet(f"{path}/batch_id=*")
+    """All stored reports. ``(run_id, batch_id, report_id)`` identifies one, so repeated submissions of a file stay apart."""
+    columns = StructType([*STORED_REPORT.fields, StructField("run_id", StringType()), StructField("batch_id", LongType())])
+    return spark.read.schema(columns).option("basePath", path).parquet(f"{path}/run_id=*/batch_id=*")
 
 
 def history(rows: DataFrame, size: int = HISTORY_SIZE) -> DataFrame:

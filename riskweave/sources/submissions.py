@@ -1,12 +1,15 @@
 """Reading submissions and preparing them for analysis."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskweave.functions import text
 from riskweave.schemas import SUBMISSION
 
 NO_CODE = "No code provided."
+NO_ID = "No file id."
+SHARED_ID = "File id is not unique."
 
 
 def read_submissions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -15,7 +18,10 @@ def read_submissions(spark: SparkSession, path: str, fmt: str = "parquet") -> Da
 
 
 def read_source_tree(spark: SparkSession, path: str, glob: str = "*.{py,java}") -> DataFrame:
-    """Every file below ``path`` as one submission; the id is a hash of its path."""
+    """Every file below ``path`` as one submission; the id is a hash of its path.
+
+    Should two paths have one hash, both files are rejected by :func:`rejected` and none is merged into another.
+    """
     files = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
         .text(path, wholetext=True)
@@ -50,12 +56,29 @@ def routed(files: DataFrame) -> DataFrame:
 
 
 def accepted(files: DataFrame) -> DataFrame:
-    """Routed submissions that hold code."""
-    return routed(files.filter(text.has_code(F.col("code"))))
+    """Routed submissions that hold code and have an id.
+
+    Ids that several of them share are set aside where the plan clusters files by id (:func:`unique`), so
+    that this costs no exchange of its own.
+    """
+    return routed(files.filter(text.has_code(F.col("code")) & F.col("file_id").isNotNull()))
+
+
+def _copies() -> Column:
+    return F.count(F.lit(1)).over(W.partitionBy("file_id"))
+
+
+def unique(files: DataFrame) -> DataFrame:
+    """Files whose id no other file has; clustered by ``file_id`` from here on."""
+    return files.withColumn("_copies", _copies()).filter(F.col("_copies") == 1).drop("_copies")
 
 
 def rejected(files: DataFrame) -> DataFrame:
-    """The complement of :func:`accepted`, with the reason."""
-    return files.filter(~text.has_code(F.col("code"))).select(
-        "file_id", "filename", F.lit(NO_CODE).alias("reason")
-    )
+    """Every submission that gets no report, with the reason."""
+    coded = text.has_code(F.col("code"))
+    named = files.select("file_id", "filename", coded.alias("coded"))
+    reason = F.when(~F.col("coded"), NO_CODE).when(F.col("file_id").isNull(), NO_ID)
+    plain = named.filter(~F.col("coded") | F.col("file_id").isNull()).select("file_id", "filename", reason.alias("reason"))
+    shared = named.filter(F.col("coded") & F.col("file_id").isNotNull()).withColumn("_copies", _copies()).filter(
+        F.col("_copies") > 1).select("file_id", "filename", F.lit(SHARED_ID).alias("reason"))
+    return plain.union(shared)

@@ -17,18 +17,21 @@ def submission_stream(spark: SparkSession, path: str, fmt: str = "parquet", glob
     )
 
 
-def start(stream: DataFrame, path: str, checkpoint: str, created_at: Column | None = None) -> StreamingQuery:
-    """Analyses all available submissions and appends their reports below ``path``.
+def start(
+    stream: DataFrame, path: str, checkpoint: str, created_at: Column | None = None, interval: str | None = None
+) -> StreamingQuery:
+    """Analyses submissions as they come and appends their reports below ``path``.
 
     The plan orders tokens by position, which streaming frames do not allow, so each
-    micro-batch runs the batch plan.  Batches are written under their id: a batch that is
-    repeated after a failure replaces itself.
+    micro-batch runs the batch plan.  Batches are written under the id that the checkpoint gives the
+    query and their own: a batch that is repeated after a failure replaces itself, and a stream with a
+    new checkpoint is a run of its own.  ``interval``, such as ``10 seconds``, keeps the stream running;
+    without it the stream ends when all that is there has been read.
     """
     def analyse(batch: DataFrame, batch_id: int) -> None:
         rows = store.stored(analysis.reports(submissions.accepted(batch)), created_at)
-        store.append(rows, path, batch_id)
+        run_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        store.append(rows, path, run_id, batch_id)
 
-    return (
-        stream.writeStream.foreachBatch(analyse).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    writer = stream.writeStream.foreachBatch(analyse).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

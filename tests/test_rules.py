@@ -4,12 +4,14 @@ JAVA = "public class Case {{\n{}\n}}\n".format
 
 CASES = {
     # whole reports
-    "mixed python": ("python", "import os\n\ndef owner(who=None):\n    return who.name\n\ndef shaky():\n    try:\n        x = 1 / 0\n    except:\n        pass\n\nAPI_KEY = \"invented-value-1\"\n",
-                     ["UNUSED_IMPORT@1", "BARE_EXCEPT@9", "HARDCODED_SECRET@12", "MISSING_NONE_CHECK@4"]),
-    "invented python": ("python", "import stringutils\n\nr = math.squareroot(9)\nd = json.loads('{}', 1, 2)\n",
-                        ["UNUSED_IMPORT@1", "HALLUCINATED_IMPORT@1", "HALLUCINATED_ATTRIBUTE@3", "ARGUMENT_MISMATCH@4"]),
-    "mixed java": ("java", "import java.util.List;\n\npublic class Svc {\n    private String apiKey = \"invented-value-1\";\n\n    public String of(Owner o) {\n        return o.name;\n    }\n\n    public void shaky() {\n        try {\n            int x = 1 / 0;\n        } catch (Exception e) {\n        }\n    }\n}\n",
-                   ["UNUSED_IMPORT@1", "SWALLOWED_EXCEPTION@11", "HARDCODED_SECRET@4"]),
+    "station python": ("python", 'from json import load\nimport textutils\n\nclass Station:\n    secret = "harbour wall 7"\n\n    def read(self, probe=None):\n        while self.open:\n            try:\n                return probe.level\n            except (OSError, ValueError):\n                pass\n        try:\n            self.open = probe.close()\n        except:\n            raise\n',
+                       ["UNUSED_IMPORT@1", "UNUSED_IMPORT@2", "BARE_EXCEPT@15", "SWALLOWED_EXCEPTION@11", "HARDCODED_SECRET@5",
+                        "MISSING_NONE_CHECK@10", "HALLUCINATED_IMPORT@2"]),
+    "tally python": ("python", "import os, re\n\ndef tally(rows):\n    return {re.matchAll(r): os.remove(r, 1) for r in rows}\n",
+                     ["HALLUCINATED_ATTRIBUTE@4", "ARGUMENT_MISMATCH@4"]),
+    "harbour java": ("java", 'import java.util.Deque;\nimport nowhere.Gauge;\n\npublic class Harbour {\n    static final String PWD = "tide-gate-77";\n\n    boolean shut(Gate gate, int n) {\n        for (int i = 0; i < n; i++) {\n            try { gate.close(); } catch (Throwable t) { log(t); }\n        }\n        return Math.abs(n, 1) > 0;\n    }\n}\n',
+                     ["UNUSED_IMPORT@1", "UNUSED_IMPORT@2", "BROAD_CATCH@9", "HARDCODED_SECRET@5", "MISSING_NULL_CHECK@9",
+                      "HALLUCINATED_IMPORT@2", "ARGUMENT_MISMATCH@11"]),
     "clean python": ("python", "def add(a, b):\n    return a + b\n", []),
     "clean java": ("java", JAVA("    int add(int a, int b) {\n        return a + b;\n    }"), []),
     # python, one rule each
@@ -38,6 +40,7 @@ CASES = {
     "keyword argument name": ("python", "import size\nf(size=1)\n", ["UNUSED_IMPORT@1"]),
     "parameter name": ("python", "import size\ndef f(size, *size2): return 1\n", ["UNUSED_IMPORT@1"]),
     "lambda parameter": ("python", "import b\nk = lambda a, b: 1\n", ["UNUSED_IMPORT@1"]),
+    "secret with a blank of another kind": ("python", "# token\u00a0=\u2003'long enough value'\n", ["HARDCODED_SECRET@1"]),
     "secret in comment": ("python", "# token = 'long enough value'\n", ["HARDCODED_SECRET@1"]),
     "two secrets in a line": ("python", "pwd = 'abcdefgh'; secret = 'abcdefgh'\n", ["HARDCODED_SECRET@1"]),
     "short secret": ("python", "pwd = 'abc'\n", []),
@@ -86,6 +89,10 @@ CASES = {
 }
 
 
+# (weight, score, level, findings) of the first three cases
+WHOLE = [(25, 62, "High", 7), (11, 28, "High", 2), (27, 68, "High", 7)]
+
+
 def test_cases(told):
     got = told([(language, code) for language, code, _ in CASES.values()])
     wrong = {name: (mine, case[2]) for (name, case), mine in zip(CASES.items(), got) if mine != case[2]}
@@ -95,11 +102,10 @@ def test_cases(told):
 def test_report_fields(sources):
     from riskweave.plans import analysis
     rows = analysis.reports(sources([(l, c) for l, c, _ in list(CASES.values())[:3]])).orderBy("file_id").collect()
-    assert [(r.total_weight, r.risk_score, r.risk_level, r.num_findings) for r in rows] == [
-        (15, 38, "High", 4), (18, 45, "High", 4), (12, 30, "High", 3)]
-    assert rows[0].facts.asDict() == {"imports": ["os"], "functions": ["owner", "shaky"], "num_lines": 12}
-    assert rows[2].findings[1].message == "Catch block for Exception is empty; the exception is silently swallowed."
-    assert rows[0].findings[3].message.startswith("Parameter 'who' in function 'owner' defaults to None")
+    assert [(r.total_weight, r.risk_score, r.risk_level, r.num_findings) for r in rows] == WHOLE
+    assert rows[0].facts.asDict() == {"imports": ["json", "textutils"], "functions": ["read"], "num_lines": 16}
+    assert rows[2].findings[2].message.startswith("Catch block")
+    assert rows[0].findings[5].message.startswith("Parameter 'probe' in function 'read' defaults to None")
 
 
 def test_scores_round_half_even(spark):

@@ -34,7 +34,7 @@ def test_bucketed_table_needs_no_exchange(spark, files, tmp_path):
         (files.repartition(4, "file_id").write.option("path", str(tmp_path / "t")).bucketBy(4, "file_id")
          .saveAsTable("bucketed_files"))
         table = spark.table("bucketed_files")
-        mine = analysis.reports(table, clustered=True)
+        mine = analysis.reports(table)
         assert "Exchange hashpartitioning" not in plan(mine)
         keys = ["file_id", "total_weight", "num_findings"]
         assert mine.select(keys).exceptAll(analysis.reports(files).select(keys)).count() == 0
@@ -96,10 +96,66 @@ def test_stream_equals_batch_and_replays_once(spark, tmp_path):
     newest = store.history(store.read_store(spark, out)).collect()
     assert len(newest) == 50 and "report_json" not in newest[0].asDict()
     one = store.report_detail(store.read_store(spark, out), newest[0].id).collect()
-    assert len(one) == 1 and one[0].risk_score == newest[0].risk_score and one[0].analyzed_at.endswith("Z")
+    assert len(one) == 1 and one[0].risk_score == newest[0].risk_score and one[0].analyzed_at.endswith("+00:00")
     assert store.report_detail(store.read_store(spark, out), -5).count() == 0
 
 
+def test_no_submission_vanishes(spark):
+    rows = [(None, "a.py", None, "x = 1"), (None, "b.py", None, "y = 2"), (7, "c.py", None, "import os"), (7, "d.py", None, "z = 3"),
+            (8, "e.py", None, " "), (None, "f.py", None, ""), (9, "g.py", None, "pass")]
+    files = spark.createDataFrame(rows, "file_id long, filename string, language_override string, code string")
+    told = analysis.reports(submissions.accepted(files)).select("filename").collect()
+    reasons = {r.filename: r.reason for r in submissions.rejected(files).collect()}
+    assert [r.filename for r in told] == ["g.py"]
+    assert reasons == {"a.py": submissions.NO_ID, "b.py": submissions.NO_ID, "c.py": submissions.SHARED_ID, "d.py": submissions.SHARED_ID,
+                       "e.py": submissions.NO_CODE, "f.py": submissions.NO_CODE}
+
+
+def test_the_store_only_grows(spark, sources, tmp_path):
+    rows = store.stored(analysis.reports(sources([("python", "import os\n")])))
+    path, landing = str(tmp_path / "store"), str(tmp_path / "in")
+    first, second = store.append(rows, path), store.append(rows, path)
+    assert first != second and store.read_store(spark, path).count() == 2
+    store.append(rows, path, first)  # a replay
+    kept = store.read_store(spark, path)
+    assert kept.count() == 2 and kept.select("run_id", "batch_id", "report_id").distinct().count() == 2
+    sources([("python", "import os\n")]).selectExpr(
+        "file_id", "filename", "'python' as language_override", "code", "current_timestamp() as submitted_at").write.parquet(landing)
+    for checkpoint in ("one", "one", "two"):  # the new checkpoint begins at batch 0 again
+        ingest.start(ingest.submission_stream(spark, landing, glob="*.parquet"), path, str(tmp_path / checkpoint)).awaitTermination()
+    assert store.read_store(spark, path).count() == 4
+
+
+def test_a_stream_that_keeps_running(spark, sources, tmp_path):
+    landing, path = str(tmp_path / "in"), str(tmp_path / "store")
+    rows = sources([("python", "import os\n"), ("java", "class A { }")]).selectExpr(
+        "file_id", "filename", "language as language_override", "code", "current_timestamp() as submitted_at")
+    rows.limit(1).write.parquet(landing)
+    query = ingest.start(ingest.submission_stream(spark, landing, glob="*.parquet"), path, str(tmp_path / "cp"), interval="1 second")
+    try:
+        query.processAllAvailable()
+        assert query.isActive
+        rows.write.mode("append").parquet(landing)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert store.read_store(spark, path).count() == 3
+
+
+def test_times_are_utc_in_any_session(spark):
+    other = spark.newSession()
+    other.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    assert other.range(1).select(store.iso(F.timestamp_seconds(F.lit(0)))).first()[0] == "1970-01-01T00:00:00.000000+00:00"
+
+
+def test_the_callers_session_stays_as_it_is(spark):
+    from riskweave.session import tuned
+    other = spark.newSession()
+    other.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "77m")
+    tuned(other)
+    assert other.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "77m"
+
+
 def test_store_table(spark):
     spark.sql("DROP TABLE IF EXISTS risk_reports")
     try:
