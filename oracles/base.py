@@ -83,7 +83,7 @@ TOKENS = f"""
 matches AS (
   SELECT file_id, language, unnest(ms) AS m, generate_subscripts(ms, 1) - 1 AS pos FROM (
     SELECT file_id, language, CASE WHEN language = 'java'
-      THEN regexp_extract_all(code || chr(10) || chr(1), {_pattern(lexing.JAVA_TOKEN)}, 0)
+      THEN regexp_extract_all(code || chr(10) || chr(1), {_pattern(lexing.java_token(2))}, 0)
       ELSE regexp_extract_all(code || chr(10) || chr(1), {_pattern(lexing.PY_TOKEN)}, 0) END AS ms
     FROM good)
 ),
@@ -121,7 +121,7 @@ t0 AS (
 t1 AS (
   SELECT *, sum(delta) OVER w AS depth,
     lag(tok, 1, '') OVER w AS p1, lag(tok, 2, '') OVER w AS p2, lag(tok, 3, '') OVER w AS p3,
-    lead(tok, 1, '') OVER w AS n1, lead(tok, 2, '') OVER w AS n2, lead(tok, 3, '') OVER w AS n3,
+    lead(tok, 1, '') OVER w AS n1, lead(tok, 2, '') OVER w AS n2, lead(tok, 3, '') OVER w AS n3, lead(tok, 4, '') OVER w AS n4,
     lag(kind, 1, '') OVER w AS pk1, lag(kind, 2, '') OVER w AS pk2, lag(line) OVER w AS p1_line,
     lead(line, 2) OVER w AS n2_line, lead(brk, 1, false) OVER w AS n_brk
   FROM t0 WINDOW w AS (PARTITION BY file_id ORDER BY pos)

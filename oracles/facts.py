@@ -162,6 +162,9 @@ py_guard AS (
   SELECT file_id, pos, line, tok AS name FROM py_name WHERE NOT contains(tok, '.') AND (
     (((n1 = 'is' AND (n2 = 'None' OR (n2 = 'not' AND n3 = 'None'))) OR (n1 IN ('==', '!=', '<', '>', '<=', '>=', 'in') AND n2 = 'None'))
       AND p1 NOT IN {_TIGHT} AND p1 NOT IN {_COMPARE})
+    OR (p1 = '(' AND n1 = ')' AND pk2 NOT IN ('n', 's') AND p2 NOT IN (')', ']', '}}') AND p2 NOT IN {_TIGHT} AND p2 NOT IN {_COMPARE}
+      AND ((n2 = 'is' AND (n3 = 'None' OR (n3 = 'not' AND n4 = 'None'))) OR (n2 IN ('==', '!=', '<', '>', '<=', '>=', 'in') AND n3 = 'None')))
+    OR (stmt_tok IN ('if', 'elif') AND p1 = '(' AND p2 = 'not' AND p3 IN ('if', 'elif') AND n1 = ')' AND n2 = ':')
     OR (stmt_tok IN ('if', 'elif') AND (
       (n1 = ':' AND level = 0 AND (p1 IN ('if', 'elif') OR (p1 IN ('not', '-', '+', '~') AND p2 IN ('if', 'elif'))))
       OR (p1 = '(' AND p2 IN ('if', 'elif') AND n1 = ')' AND n2 = ':'))))
@@ -169,7 +172,10 @@ py_guard AS (
 java_guard AS (
   SELECT file_id, pos, line, regexp_extract(tok, '[^.]*$') AS name FROM t WHERE language = 'java' AND kind = 'n' AND (
     (n1 IN ('==', '!=') AND p1 NOT IN ('+', '-', '*', '/', '%', '.'))
-    OR (p1 IN ('==', '!=') AND n1 NOT IN ('+', '-', '*', '/', '%', '(', '[', '.')))
+    OR (p1 IN ('==', '!=') AND n1 NOT IN ('+', '-', '*', '/', '%', '(', '[', '.'))
+    OR (p1 = '(' AND n1 = ')' AND pk2 NOT IN ('n', 's', 'g') AND p2 NOT IN (')', ']', '}}') AND (
+      (n2 IN ('==', '!=') AND p2 NOT IN ('+', '-', '*', '/', '%', '.'))
+      OR (p2 IN ('==', '!=') AND n2 NOT IN ('+', '-', '*', '/', '%', '(', '[', '.')))))
 ),
 py_deref AS (
   SELECT file_id, pos, line, qualifier AS name FROM attribute
@@ -225,6 +231,25 @@ fault AS (
       SELECT 1 FROM t c WHERE c.file_id = l.file_id AND c.pos > l.prev_pos AND c.pos < l.pos AND c.tok = ':' AND c.depth = 0)
   UNION ALL SELECT file_id, language, pos, line, 7, 'invalid syntax' FROM t WHERE language = 'python' AND kind IN ('n', 'd', 's') AND NOT begins
     AND (pk1 IN ('n', 'd', 's') OR p1 IN (')', ']', '}')) AND NOT (kind = 's' AND pk1 = 's') AND p1 NOT IN ('match', 'case', 'type', '_')
+  UNION ALL SELECT file_id, language, pos, line, 7, 'invalid syntax' FROM t WHERE language = 'python' AND (
+    (regexp_matches(tok, '^([-+*/%|^&@<>=!:]?=|[-+*/%|^&@<>~]|//|//=|\\*\\*|\\*\\*=|<<|>>|<<=|>>=|->|and|or|not|in|is|import)$')
+      AND n_brk AND depth = 0 AND NOT (tok = '*' AND p1 = 'import'))
+    OR (tok = ',' AND p1 IN ('(', '[', '{', ','))
+    OR (regexp_matches(tok, '^([-+*/%|^&@<>=!:]?=|[/%|^&<>]|//|//=|\\*\\*=|<<|>>|<<=|>>=)$')
+      AND regexp_matches(p1, '^([-+*/%|^&@<>=!:]?=|[-+*/%|^&@<>~]|//|//=|\\*\\*|\\*\\*=|<<|>>|<<=|>>=|->|and|or|not|in|is|import)$'))
+    OR (tok IN ('return', 'raise', 'pass', 'break', 'continue', 'del', 'global', 'nonlocal', 'assert', 'while', 'try', 'elif', 'except',
+      'finally', 'class') AND NOT begins)
+    OR (tok = 'import' AND NOT begins AND (SELECT h.tok FROM head h WHERE h.file_id = t.file_id AND h.pos = t.stmt_pos) IS DISTINCT FROM 'from')
+    OR (tok = 'in' AND p1 = 'for'))
+  UNION ALL SELECT file_id, language, pos, line, 11, 'illegal start of expression' FROM t WHERE language = 'java' AND (
+    (tok IN ('=', '==', '!=', '+', '-', '*', '/', '%', '&&', '||', '&', '|', '^', ',') AND n1 IN (';', ')', ']')
+      AND NOT (tok = '*' AND p1 = '.') AND NOT (tok IN ('+', '-') AND p1 = tok))
+    OR (pk1 IN ('d', 's') AND (kind IN ('n', 'd', 's') OR tok IN ('int', 'long', 'double', 'float', 'boolean', 'char', 'byte', 'short')))
+    OR (kind = 'n' AND pk1 = 'n' AND pk2 = 'n' AND p3 <> '@' AND len(list_filter([tok, p1, p2], lambda x: x IN ('record', 'sealed',
+      'permits', 'yield', 'var', 'when', 'module', 'open', 'exports', 'opens', 'requires', 'to', 'uses', 'provides', 'non'))) = 0))
+  UNION ALL SELECT file_id, language, max(pos), max_by(line, pos), 10, 'class, interface, enum, or record expected' FROM t WHERE language = 'java'
+    GROUP BY file_id, language HAVING count(*) FILTER (tok IN ('class', 'interface', 'enum', 'record', 'module')) = 0
+      AND count(*) FILTER (tok IN ('{', ';')) > count(*) FILTER (tok IN ('import', 'package'))
   UNION ALL SELECT file_id, language, pos, line, 8, 'reached end of file' FROM t WHERE language = 'java' AND n1 = '' AND p1 NOT IN (';', '}', '')
   UNION ALL SELECT c.file_id, c.language, c.pos, c.line, 9, 'unbalanced bracket' FROM t c
     LEFT JOIN opener o ON o.file_id = c.file_id AND o.pos = c.open_pos

@@ -47,11 +47,15 @@ def _dotted(name: str, trivia: str) -> str:
 
 
 # Type arguments such as <String, List<? extends T>> are one token, so that their
-# commas and question marks are not taken for arguments and conditionals.
+# commas and question marks are not taken for arguments and conditionals.  Each begins like a type
+# (a capital after package names, an array of a primitive, a wildcard), so comparisons are none.
+TYPE_DEPTH = 12
+
+
 def _type_args(depth: int) -> str:
-    inner = r"[\w$.\[\]\s]" if depth == 0 else rf"(?:[\w$.\[\]\s]|{_type_args(depth - 1)})"
-    item = rf"(?:\s*+\?)?+{inner}*+"
-    return f"<{item}(?:,{item})*+>"
+    soup = r"[\w$.\[\]\s&?]" if depth == 0 else rf"(?:[\w$.\[\]\s&?]|{_type_args(depth - 1)})"
+    item = rf"\s*+(?:\?|(?:[a-z_$][\w$]*+\.)*+[A-Z]|(?:byte|short|int|long|float|double|boolean|char)\s*+\[){soup}*+"
+    return f"<(?:\\s*+|{item}(?:,{item})*+)>"
 
 
 PY_TOKEN = PY_TRIVIA + "(?:" + "|".join([
@@ -62,15 +66,21 @@ PY_TOKEN = PY_TRIVIA + "(?:" + "|".join([
     r"\*\*=?|//=?|<<=?|>>=?|->|[=!<>:+*/%&|^@-]=",
     r"[^\s]",
 ]) + ")"
-JAVA_TOKEN = JAVA_TRIVIA + "(?:" + "|".join([
-    *_JAVA_STRINGS,
-    _NUMBER,
-    rf"catch{JAVA_TRIVIA}\([^()]*+\)",
-    _dotted(_JAVA_NAME, JAVA_TRIVIA),
-    _type_args(2),
-    r"&&|\|\||->|::|[=!<>]=",
-    r"[^\s]",
-]) + ")"
+
+
+def java_token(type_depth: int) -> str:
+    return JAVA_TRIVIA + "(?:" + "|".join([
+        *_JAVA_STRINGS,
+        _NUMBER,
+        rf"catch{JAVA_TRIVIA}\((?:[^()]++|\([^()]*+\))*+\)",
+        _dotted(_JAVA_NAME, JAVA_TRIVIA),
+        _type_args(type_depth),
+        r"&&|\|\||->|::|[=!<>]=",
+        r"[^\s]",
+    ]) + ")"
+
+
+JAVA_TOKEN = java_token(TYPE_DEPTH)
 
 # Reserved words of both languages.
 PY_KEYWORDS = [

@@ -98,13 +98,22 @@ def _name_facts() -> dict[str, Column]:
         | (one_of("t1", *[c for c in _COMPARISONS if c != "is"]) & is_("t2", "None"))
     )
     leading = ~one_of("p1", *_TIGHTER, *_COMPARISONS)
+    # the name stands in brackets of its own, which are not those of a call
+    alone = is_("p1", "(") & is_("t1", ")") & ~F.coalesce(F.col("pk2").isin("n", "s", "g"), F.lit(False)) & ~one_of("p2", *lexing.CLOSERS)
+    alone_against_none = alone & ~one_of("p2", *_TIGHTER, *_COMPARISONS) & (
+        (is_("t2", "is") & (is_("t3", "None") | (is_("t3", "not") & is_("t4", "None"))))
+        | (one_of("t2", *[c for c in _COMPARISONS if c != "is"]) & is_("t3", "None"))
+    )
     tested = one_of("stmt.tok", "if", "elif") & (
         (is_("t1", ":") & (F.col("level") == 0) & (
             one_of("p1", "if", "elif") | (one_of("p1", "not", "-", "+", "~") & one_of("p2", "if", "elif"))))
         | (is_("p1", "(") & one_of("p2", "if", "elif") & is_("t1", ")") & is_("t2", ":"))
+        | (alone & is_("p2", "not") & one_of("p3", "if", "elif") & is_("t2", ":"))
     )
     compared = (one_of("t1", "==", "!=") & ~one_of("p1", "+", "-", "*", "/", "%", ".")) | (
-        one_of("p1", "==", "!=") & ~one_of("t1", "+", "-", "*", "/", "%", "(", "[", "."))
+        one_of("p1", "==", "!=") & ~one_of("t1", "+", "-", "*", "/", "%", "(", "[", ".")) | (
+        alone & ((one_of("t2", "==", "!=") & ~one_of("p2", "+", "-", "*", "/", "%", ".")) | (
+            one_of("p2", "==", "!=") & ~one_of("t2", "+", "-", "*", "/", "%", "(", "[", "."))))
     java_guard = is_java() & (kind == "n") & compared
     java_deref = is_java() & name & is_("t1", "(") & ~one_of("p1", "new", "@") & tok.rlike(r"^[^.]+\.[^.]+$")
     indexed = is_("t1", "[") & ~F.col("next_starts")
@@ -118,7 +127,7 @@ def _name_facts() -> dict[str, Column]:
         "own_name": F.when(is_py() & (py_name | attr.isNotNull()), first)
         .when(java_guard, F.substring_index("tok", ".", -1)).when(java_deref, first),
         # true for guards that hold only where the name is a use
-        "guard": java_guard | (py_name & ~dotted & ((against_none & leading) | tested)),
+        "guard": java_guard | (py_name & ~dotted & ((against_none & leading) | alone_against_none | tested)),
         "deref": java_deref | attr.isNotNull(),
         "indexed": py_name & ~dotted & indexed,
     }
@@ -153,7 +162,7 @@ def _handler() -> Column:
         & F.col("next_starts") & (F.col("next_indent") <= F.col("above.indent"))
     )
     caught = F.split(F.regexp_replace(
-        tok, r"^catch[^(]*\(\s*(?:final\s+)?|\s*[\w$\x{80}-\x{10FFFF}]+\s*\)$", ""), r"\s*\|\s*")
+        tok, r"^catch[^(]*\(\s*(?:final\s+|@[\w$.]+\s*(?:\([^()]*\)\s*)?)*|\s*[\w$\x{80}-\x{10FFFF}]+\s*\)$", ""), r"\s*\|\s*")
     return (
         F.when(is_py() & F.col("line_start") & (tok == "except") & is_("t1", ":"), told(F.lit("bare"), none, F.col("line")))
         .when(is_py() & swallowed, told(F.lit("pass"), none, F.col("above.line")))

@@ -139,7 +139,9 @@ def placed(token_rows: DataFrame) -> DataFrame:
         "p1": F.lag("tok", 1).over(file_order()), "p2": F.lag("tok", 2).over(file_order()),
         "p3": F.lag("tok", 3).over(file_order()),
         "t1": F.lead("tok", 1).over(file_order()), "t2": F.lead("tok", 2).over(file_order()),
-        "t3": F.lead("tok", 3).over(file_order()),
+        "t3": F.lead("tok", 3).over(file_order()), "t4": F.lead("tok", 4).over(file_order()),
+        "n_types": F.sum(F.when(F.col("tok").isin(_TYPE_WORDS), 1).otherwise(0)).over(so_far()),
+        "n_stray": F.sum(F.when(F.col("tok").isin("{", ";"), 1).when(F.col("tok").isin("import", "package"), -1).otherwise(0)).over(so_far()),
         "pk1": F.lag("kind", 1).over(file_order()), "pk2": F.lag("kind", 2).over(file_order()),
         "next_brk": F.lead("brk", 1).over(file_order()),
         "next_indent": F.lead("indent", 1).over(file_order()),
@@ -177,6 +179,23 @@ def placed(token_rows: DataFrame) -> DataFrame:
 # Words that open a block in Python, and words that are names in most places.
 _BLOCK_WORDS = ["if", "elif", "else", "for", "while", "try", "except", "finally", "with", "def", "class"]
 _SOFT_WORDS = ["match", "case", "type", "_"]
+# Python words that only begin a statement, and operators of both languages.
+_STATEMENT_WORDS = [
+    "return", "raise", "pass", "break", "continue", "del", "global", "nonlocal", "assert", "while", "try", "elif", "except",
+    "finally", "class",
+]
+_PY_BINARY = [
+    "=", "==", "!=", "<", ">", "<=", ">=", "/", "//", "%", "|", "^", "&", "+=", "-=", "*=", "/=", "//=", "%=", "|=", "^=",
+    "&=", "@=", ":=", "<<", ">>", "<<=", ">>=", "**=",
+]
+_PY_OPEN_ENDED = [*_PY_BINARY, "+", "-", "*", "**", "~", "@", "->", "and", "or", "not", "in", "is", "import"]
+_JAVA_OPEN_ENDED = ["=", "==", "!=", "+", "-", "*", "/", "%", "&&", "||", "&", "|", "^", ","]
+_JAVA_PRIMITIVES = ["int", "long", "double", "float", "boolean", "char", "byte", "short"]
+_JAVA_SOFT_WORDS = [
+    "record", "sealed", "permits", "yield", "var", "when", "module", "open", "exports", "opens", "requires", "to", "uses", "provides",
+    "non",
+]
+_TYPE_WORDS = ["class", "interface", "enum", "record", "module"]
 
 
 def token_faults(rows: DataFrame) -> DataFrame:
@@ -189,6 +208,15 @@ def token_faults(rows: DataFrame) -> DataFrame:
         F.col("kind").isin(operand) & F.coalesce(after_operand, F.lit(False)) & ~F.col("begins")
         & ~((F.col("kind") == "s") & is_("pk1", "s")) & ~one_of("p1", *_SOFT_WORDS)
     )
+    # an operator without its right side, an empty item, two operators in a row, a statement inside another one
+    stray = (
+        (tok.isin(_PY_OPEN_ENDED) & F.col("next_starts") & ~((tok == "*") & is_("p1", "import")))
+        | ((tok == ",") & one_of("p1", *lexing.OPENERS, ","))
+        | (tok.isin(_PY_BINARY) & one_of("p1", *_PY_OPEN_ENDED))
+        | (tok.isin(_STATEMENT_WORDS) & (F.col("kind") == "k") & ~F.col("begins"))
+        | ((tok == "import") & ~F.col("begins") & ~is_("stmt.tok", "from"))
+        | ((tok == "in") & is_("p1", "for"))
+    )
     no_colon = above["tok"].isin(_BLOCK_WORDS) & ~F.coalesce(F.col("colon_pos") > above["pos"], F.lit(False))
     over = F.col("indent") > F.coalesce(above["indent"], F.lit(0))
     opens = is_("p1", ":")
@@ -202,9 +230,20 @@ def token_faults(rows: DataFrame) -> DataFrame:
         .when(F.col("line_start") & over & ~opens, F.lit("unexpected indent"))
         .when(F.col("line_start") & ~over & opens, F.lit("expected an indented block"))
         .when(F.col("line_start") & F.coalesce(no_colon, F.lit(False)), F.lit("expected ':'"))
-        .when(side_by_side, F.lit("invalid syntax"))
+        .when(side_by_side | stray, F.lit("invalid syntax"))
+    )
+    literals = ["d", "s"]
+    java = (
+        F.when(at_end & F.col("p1").isNotNull() & ~one_of("p1", ";", "}"), F.lit("reached end of file"))
+        .when(at_end & (F.col("n_types") == 0) & (F.col("n_stray") > 0), F.lit("class, interface, enum, or record expected"))
+        .when(
+            (tok.isin(_JAVA_OPEN_ENDED) & one_of("t1", ";", ")", "]") & ~((tok == "*") & is_("p1", "."))
+             & ~(tok.isin("+", "-") & F.coalesce(F.col("p1") == tok, F.lit(False))))
+            | (F.coalesce(F.col("pk1").isin(literals), F.lit(False)) & (F.col("kind").isin("n", *literals) | tok.isin(_JAVA_PRIMITIVES)))
+            | ((F.col("kind") == "n") & is_("pk1", "n") & is_("pk2", "n") & ~is_("p3", "@")
+               & ~tok.isin(_JAVA_SOFT_WORDS) & ~one_of("p1", *_JAVA_SOFT_WORDS) & ~one_of("p2", *_JAVA_SOFT_WORDS)),
+            F.lit("illegal start of expression"))
     )
-    java = F.when(at_end & F.col("p1").isNotNull() & ~one_of("p1", ";", "}"), F.lit("reached end of file"))
     return rows.withColumn("fault", F.coalesce(shared, F.when(is_java(), java).otherwise(py)))
 
 

@@ -60,6 +60,13 @@ CASES = {
     "no block": ("python", "def f():\nreturn 1\n", ["PARSE_ERROR@0"]),
     "open string": ("python", "a = 'x\nimport os\n", ["PARSE_ERROR@0"]),
     "prose": ("python", "this is no code\n", ["PARSE_ERROR@0"]),
+    **{f"syntax {code!r}": ("python", code + "\n", ["PARSE_ERROR@0"]) for code in (
+        "x = ", "f(a,,b)", "x = = 3", "return return", "for in x:\n    pass", "import", "x = a +", "f(, a)", "x = y import z", "a = not")},
+    **{f"no syntax error {code!r}": ("python", code + "\n", []) for code in (
+        "x = [\n    a + b,\n]", "def f(a, /, *, b): return a", "x = not a", "x[1, ...] = -a", "y = a if b else -c", "f(*a, **b)", "x = (a +\n     b)",
+        "@f\ndef g(): pass", "x = a \\\n    + b", "if a: pass\nelse: pass", "def f() -> int: return 1", "lambda *a: a", "a = b = c", "x @ y", "print(a, end='')")},
+    "guard in brackets": ("python", "def f(u=None, v=None, w=None):\n    if not (u):\n        return\n    if (v) is None or (w) is not None:\n        return\n    return u.x + v.x + w.x\n", []),
+    "call is no guard": ("python", "def f(u=None):\n    if g(u) is None:\n        return\n    return u.x\n", ["MISSING_NONE_CHECK@4"]),
     "crlf and tabs": ("python", "if a:\r\n\tb = 1\r\n\tif b:\r\n\t\tc = 1\r\nd = 1\r\n", []),
     "comment ends with backslash": ("python", "a = 1 # x \\\nb = 2\n", []),
     # java
@@ -84,6 +91,15 @@ CASES = {
     "secret with escaped quotes": ("java", JAVA('  String password = "ab";\n  String token = "abcdef";'), ["HARDCODED_SECRET@3"]),
     "switch groups": ("java", JAVA("  int f(int a) {\n    switch (a) {\n      case 1: case 2: return 1;\n      case 3: return a > 1 && a < 5 ? 1 : 2;\n      default: return 3;\n    }\n  }"), []),
     "do while": ("java", JAVA("  void f(int a) {\n    do { if (a > 1 || a < 0) { a--; } } while (a > 2);\n    for (int b : c) { while (b > 1) { b--; } if (b < 1) { return; } }\n  }"), ["HIGH_COMPLEXITY@2"]),
+    "null check in brackets": ("java", JAVA("  void f(Node p, Node q) {\n    if ((p) == null || null != (q)) return;\n    p.run(); q.run();\n  }"), []),
+    "deep generics": ("java", JAVA("  boolean a = Objects.isNull(new HashMap<A, Map<B, Map<C, Map<D, Map<E, List<F>>>>>>());\n  void f(Map<A, Map<B, Map<C, Map<D, E>>>> p) { p.go(); }"), ["MISSING_NULL_CHECK@3"]),
+    "comparisons are no generics": ("java", JAVA("  int a = Math.max(a < b, 1, c > d);\n  double b = Math.sqrt(a < b, c > d);"), ["ARGUMENT_MISMATCH@2", "ARGUMENT_MISMATCH@3"]),
+    "annotated catch": ("java", JAVA('  void f() {\n    try { a(); } catch (@Ann("x") Exception e) { }\n  }'), ["SWALLOWED_EXCEPTION@3"]),
+    **{f"java syntax {code!r}": ("java", code, ["PARSE_ERROR@0"]) for code in (
+        JAVA("  int x = 5 int y = 6;"), JAVA("  int x = ;"), "int x = 5;", "This text says something;", "def f(a):\n    return a\n", JAVA("  int x = f(1,);"))},
+    **{f"no java syntax error {code!r}": ("java", code, []) for code in (
+        "package a.b;\nimport java.util.*;\n" + JAVA("  int x = i++; @Ann Foo y; @A(\"b\") List<int[]> z; int w = (int) 3;"), "record Point(int x, int y) { }", "package a.b;",
+        JAVA("  Map<String, ? extends Number> m = new HashMap<>(); boolean b = c < d && e > f; String s = \"a\" + 'b';"))},
     "java bracket": ("java", "public class A { public void f( { } }", ["PARSE_ERROR@0"]),
     "java open string": ("java", JAVA('  String s = "abc;'), ["PARSE_ERROR@0"]),
 }
