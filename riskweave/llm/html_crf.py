@@ -205,7 +205,7 @@ class Model:
         return labels[::-1]
 
     def train(self, pages: list[tuple[list[list[str]], list[int]]], rounds: int = 30, rate: float = 0.1,
-              decay: float = 1e-3) -> None:
+              decay: float = 1e-4) -> None:
         """Adam on the mean log likelihood of all pages at once, by forward and backward sums, pages side by side."""
         longest = max(len(y) for _, y in pages)
         own = [self.rows(x) for x, _ in pages]
@@ -225,9 +225,7 @@ class Model:
         square = {k: np.zeros_like(v) for k, v in params.items()}
         for step in range(1, rounds + 1):
             scores = np.zeros((longest, len(own), 2))
-            each = np.zeros((total, 2))
-            np.add.at(each, block, self.weights[flat])
-            scores[place, page] = each
+            scores[place, page] = np.stack([np.bincount(block, self.weights[flat, y], total) for y in (0, 1)], axis=1)
             ahead, behind = np.zeros_like(scores), np.zeros_like(scores)
             ahead[0] = scores[0]
             for t in range(1, longest):
@@ -239,8 +237,9 @@ class Model:
             whole = np.logaddexp(*ahead[ends, np.arange(len(own))].T)
             chance = np.exp(ahead + behind - whole[None, :, None])
             chance[place, page, gold] -= 1
-            found = {"weights": np.zeros_like(self.weights), "moves": np.zeros((2, 2))}
-            np.add.at(found["weights"], flat, chance[place, page][block])
+            off = chance[place, page]
+            found = {"weights": np.stack([np.bincount(flat, off[block, y], len(self.place)) for y in (0, 1)], axis=1),
+                     "moves": np.zeros((2, 2))}
             for t in range(1, longest):
                 on = mask[t]
                 pair = (ahead[t - 1][on][:, :, None] + self.moves + (scores[t] + behind[t])[on][:, None, :]
@@ -258,6 +257,7 @@ class Model:
 
 #: Names that sites give to parts of a page; beside the main text each line is one part.
 MAIN_NAMES = "article content main post entry story body text page single blog news".split()
+WRAPPERS = "wrapper container wrap site page area app root outer layout".split()
 SIDE_NAMES = {
     "menu": "nav menu navbar navigation breadcrumb breadcrumbs topbar tabs pagination pager toc skip".split(),
     "head": "header masthead banner logo site brand hero search".split(),
@@ -357,19 +357,24 @@ def labelled_pages(count: int, seed: int = 3) -> list[tuple[str, list[str]]]:
             if draw.random() < 0.06:
                 body.append(side(pick(["advert", "notice", "form", "side"])))
         inner += "".join(body)
-        if draw.random() < 0.15:
-            inner += side(pick(["comment", "comment", "form", "side", "foot"]))
+        if draw.random() < 0.25:
+            inner += side(pick(["comment", "comment", "form", "side", "foot", "foot"]))
+        below = side(pick(["comment", "comment", "comment", "form", "side", "advert"])) if draw.random() < 0.5 else ""
         main = pick([f"<article>{inner}</article>", f"<article>{inner}</article>", f"<article {attribute(MAIN_NAMES)}>{inner}</article>",
-                     f"<main>{inner}</main>", f"<main><article>{inner}</article></main>", f"<div {attribute(MAIN_NAMES)}>{inner}</div>"])
+                     f"<main>{inner}{below}</main>", f"<main><article>{inner}</article>{below}</main>", f"<div {attribute(MAIN_NAMES)}>{inner}</div>",
+                     f"<main {attribute(MAIN_NAMES)}><article {attribute(MAIN_NAMES)}>{inner}</article>{below}</main>",
+                     pick([inner, f"<section>{inner}</section>", f"<div>{inner}</div>"])])
         alone = draw.random() < 0.1
         before = "".join(side(pick(kinds[:6])) for _ in range(0 if alone else draw.integers(0, 5)))
         after = "".join(side(pick(kinds)) for _ in range(0 if alone else draw.integers(0, 6)))
-        made.append((f"<html><head><title>{title}</title><script>var x = '<p>';</script></head><body>{before}{main}{after}</body></html>",
-                     wanted))
+        whole = before + main + after
+        for _ in range(int(draw.integers(0, 4)) if draw.random() < 0.5 else 0):  # wrappers say nothing about a part
+            whole = f"<div {attribute(MAIN_NAMES + WRAPPERS)}>{whole}</div>"
+        made.append((f"<html><head><title>{title}</title><script>var x = '<p>';</script></head><body>{whole}</body></html>", wanted))
     return made
 
 
-def trained(pages: int = 800, seed: int = 3) -> Model:
+def trained(pages: int = 1000, seed: int = 3) -> Model:
     """The model, trained here on ``pages`` labelled pages."""
     learned = []
     for page, wanted in labelled_pages(pages, seed):
@@ -388,7 +393,7 @@ def trained(pages: int = 800, seed: int = 3) -> Model:
             for x in row:
                 names[x] = names.get(x, 0) + 1
     model = Model(sorted(x for x, n in names.items() if n > 1))
-    model.train(learned, rounds=100)
+    model.train(learned, rounds=200)
     return model
 
 
