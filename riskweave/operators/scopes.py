@@ -33,7 +33,8 @@ def name_uses(rows: DataFrame) -> DataFrame:
         "fault": F.when(first, F.col("fault")),
         **({"head": F.when(first, F.col("head"))} if "head" in rows.columns else {}),
     }).drop("nth", "element", "param_start", "field_indexed", "field_guarded")
-    whole = W.partitionBy("file_id", "name")
+    # rows without a name have nothing to share: each is a group of its own
+    whole = W.partitionBy("file_id", "name", F.when(F.col("name").isNull(), F.col("pos")))
     backwards = whole.orderBy(F.desc("at"), F.desc("pos"))
     later = backwards.rowsBetween(W.unboundedPreceding, -1)
     everywhere = backwards.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -89,8 +90,8 @@ def spanned(rows: DataFrame) -> DataFrame:
         )).alias("opened"),
         F.when(closes, F.struct(F.col("pos").alias("end"), F.col("upto").alias("to_upto"))).alias("closed"),
     )
-    # the rows of one function carry its key, all others share one
-    by_function = W.partitionBy("file_id", F.coalesce("fkey", F.lit(-1)))
+    # the rows of one function carry its key, every other row is a group of its own
+    by_function = W.partitionBy("file_id", F.coalesce("fkey", -1 - F.col("pos")))
     rows = rows.withColumns({
         "opened": F.first("opened", ignorenulls=True).over(by_function),
         "closed": F.first("closed", ignorenulls=True).over(by_function),

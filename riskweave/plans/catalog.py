@@ -203,7 +203,7 @@ def _changed(spark, sf_dir):
     # the version before a submission is the one handed in two ids earlier
     new = lines.lines(_files(spark, sf_dir))
     old = new.select((F.col("file_id") + 2).alias("file_id"), "text")
-    return corpus_wide.on_changed_lines(_findings(spark, sf_dir), corpus_wide.changed_lines(new, old)).select(
+    return corpus_wide.on_changed_lines(_findings(spark, sf_dir), new, old).select(
         "file_id", "line", "rule_id", "message")
 
 
