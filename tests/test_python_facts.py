@@ -23,10 +23,13 @@ def found(trees, kind):
     return [(i, node) for i, tree in trees.items() for node in ast.walk(tree) if isinstance(node, kind)]
 
 
+# Kinds of syntax that add to the complexity of a function.
+DECISIONS = (ast.If, ast.For, ast.While, ast.Try, ast.ExceptHandler, ast.With, ast.BoolOp, ast.IfExp)
+
+
 def complexity(function):
-    kinds = (ast.If, ast.For, ast.While, ast.Try, ast.ExceptHandler, ast.With, ast.BoolOp, ast.IfExp)
     nodes = list(ast.walk(function))
-    return 1 + sum(isinstance(n, kinds) for n in nodes) + sum(len(n.values) - 1 for n in nodes if isinstance(n, ast.BoolOp))
+    return 1 + sum(isinstance(n, DECISIONS) for n in nodes) + sum(len(n.values) - 1 for n in nodes if isinstance(n, ast.BoolOp))
 
 
 def test_facts(library):
@@ -53,3 +56,30 @@ def test_facts(library):
     bound = [(i, a.asname or a.name.split(".")[0]) for i, n in found(trees, ast.Import) for a in n.names]
     bound += [(i, a.asname or a.name) for i, n in found(trees, ast.ImportFrom) for a in n.names]
     assert unused == sorted((i, name) for i, name in bound if name not in used[i] and name != "*")
+
+
+def test_hand_counted_complexity(sources):
+    code = """def plain(a):
+    return a
+
+def loop(a):
+    for x in a:
+        pass
+
+def both(a, b):
+    if a and b:
+        return a
+
+def tried(a):
+    try:
+        a()
+    except OSError:
+        raise
+
+def opened(a, b):
+    with a:
+        while b:
+            b = 0 if a or b or a() else 1
+"""
+    rows = facts.spans(facts.annotated(sources([("python", code)]))).collect()
+    assert {r.name: r.complexity for r in rows} == {"plain": 1, "loop": 2, "both": 4, "tried": 3, "opened": 7}
