@@ -41,6 +41,17 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(lp.Pieces(pieces, rows).logs(["x" * 20000])).all()
 
 
+def test_a_small_cache_changes_nothing(monkeypatch):
+    pieces = lp.vocabulary(PATH)
+    rows = np.random.default_rng(1).dirichlet(np.ones(len(pieces)), 2).T
+    texts = ["the and of", "of the of this", "", "der die das the and", "and " * 9 + "und nicht"]
+    want = lp.Model(PATH, ["a", "b"], rows).predict(texts)
+    for limit in (1, 3, 5):
+        monkeypatch.setattr(lp, "HELD_WORDS", limit)
+        assert [x for x, _ in lp.Model(PATH, ["a", "b"], rows).predict(texts)] == [x for x, _ in want]
+        assert np.allclose([y for _, y in lp.Model(PATH, ["a", "b"], rows).predict(texts)], [y for _, y in want])
+
+
 def test_em_raises_the_likelihood():
     counts = {("a", "theth"): 5, ("a", "thand"): 3, ("b", "dieund"): 4, ("b", "und"): 9}
     pieces = lp.vocabulary(PATH)
