@@ -12,14 +12,17 @@ FIELD = "<*>"
 DIGITS = r"\S*[0-9]\S*"
 #: Stretches into which the tokens behind the leading ones are cut; one of them may vary in a template.
 STRETCHES = 5
+#: Documents from which on the template of a long line recurs, where a caller says what is long.
+LONG_DOCS = 2
 
 
-def _keys(line: Column, leading: int) -> Column:
+def _keys(line: Column, leading: int, long_from: int | None) -> Column:
     """Keys of the templates that a line belongs to; none for a blank line.
 
     Path in the tree: token count, then ``leading`` tokens with digit fields masked. In the leaf, each template has one of
     ``STRETCHES`` equal stretches of the other tokens as a variable field beside the masked ones, so lines that share one
     agree on four fifths of these tokens. Lines with fewer tokens behind the leading ones have one template, themselves.
+    With ``long_from``, keys of lines of so many tokens are odd and all others even, so that a key tells it without a column.
     """
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, DIGITS, FIELD)).otherwise(line)
     tokens = F.split(F.trim(masked), r"\s+")
@@ -38,46 +41,54 @@ def _keys(line: Column, leading: int) -> Column:
             F.xxhash64(F.slice(t, leading + 1 + end(i), end(i + 1) - end(i))) for i in range(STRETCHES)])
         varied = let(parts, lambda p: F.array(*[
             F.xxhash64(F.lit(i), *[p[j] for j in range(STRETCHES + 1) if j != i + 1]) for i in range(STRETCHES)]))
-        return F.when(rest >= STRETCHES, varied).otherwise(F.array(F.xxhash64(n, t)))
+        keys = F.when(rest >= STRETCHES, varied).otherwise(F.array(F.xxhash64(n, t)))
+        if long_from is None:
+            return keys
+        return F.transform(keys, lambda key: F.when(n >= long_from, key.bitwiseOR(F.lit(1))).otherwise(key.bitwiseAND(F.lit(-2))))
 
     return F.when(F.length(F.trim(line)) == 0, F.array().cast("array<bigint>")).otherwise(let(tokens, of))
 
 
-def _keyed(documents: DataFrame, leading: int) -> DataFrame:
+def _keyed(documents: DataFrame, leading: int, long_from: int | None) -> DataFrame:
     """``doc_id``, ``row_hash`` and ``keys``: the template keys of each line, in order."""
     return documents.where(F.col("text").isNotNull()).select(
-        "doc_id", text_hash().alias("row_hash"), F.transform(F.split("text", "\n"), lambda x: _keys(x, leading)).alias("keys"))
+        "doc_id", text_hash().alias("row_hash"), F.transform(F.split("text", "\n"), lambda x: _keys(x, leading, long_from)).alias("keys"))
 
 
-def recurring(documents: DataFrame, min_docs: int = 3, leading: int = 3) -> DataFrame:
+def recurring(documents: DataFrame, min_docs: int = 3, leading: int = 3, long_from: int | None = None) -> DataFrame:
     """Templates that lines of ``min_docs`` documents or more share: ``key``, ``n_docs``, and the first document that has it.
 
+    For lines of ``long_from`` tokens or more, if it is given, ``LONG_DOCS`` documents are enough.
+
     First is the smallest doc_id (rows without one come last), then the smallest text hash. A document has one row per
     template, and these are summed before the shuffle, so a line that most documents have is one row per task.
     """
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")
-    once = _keyed(documents, leading).select("doc_id", "row_hash", F.explode(F.array_distinct(F.flatten("keys"))).alias("key"))
-    return once.groupBy("key").agg(F.count("*").alias("n_docs"), F.min(first).alias("first")).where(F.col("n_docs") >= min_docs)
+    once = _keyed(documents, leading, long_from).select("doc_id", "row_hash", F.explode(F.array_distinct(F.flatten("keys"))).alias("key"))
+    least = F.lit(min_docs)
+    if long_from is not None:
+        least = F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, F.least(F.lit(LONG_DOCS), least)).otherwise(least)
+    return once.groupBy("key").agg(F.count("*").alias("n_docs"), F.min(first).alias("first")).where(F.col("n_docs") >= least)
 
 
-def repeated_lines(documents: DataFrame, min_docs: int = 3, leading: int = 3) -> DataFrame:
+def repeated_lines(documents: DataFrame, min_docs: int = 3, leading: int = 3, long_from: int | None = None) -> DataFrame:
     """``doc_id``, ``row_hash``, ``dropped`` (line numbers from 0): lines of recurring templates outside their first document."""
-    lines = _keyed(documents, leading).select("doc_id", "row_hash", F.posexplode("keys").alias("at", "of"))
+    lines = _keyed(documents, leading, long_from).select("doc_id", "row_hash", F.posexplode("keys").alias("at", "of"))
     rows = lines.select("doc_id", "row_hash", "at", F.explode("of").alias("key")).join(
-        recurring(documents, min_docs, leading), "key")
+        recurring(documents, min_docs, leading, long_from), "key")
     own = rows["doc_id"].eqNullSafe(rows["first"]["doc_id"]) & (rows["row_hash"] == rows["first"]["row_hash"])
     return rows.where(~own).groupBy("doc_id", "row_hash").agg(F.collect_set("at").alias("dropped"))
 
 
-def deduplicated(documents: DataFrame, min_docs: int = 3, leading: int = 3) -> DataFrame:
+def deduplicated(documents: DataFrame, min_docs: int = 3, leading: int = 3, long_from: int | None = None) -> DataFrame:
     """All rows of ``documents`` with the columns they had and ``n_lines``, ``n_dropped``: ``text`` without repeated lines.
 
-    A line goes if one of its templates recurs in ``min_docs`` documents or more and another document is the first to have
-    it, so that no text vanishes from the corpus. Null texts stay null (0 lines), blank lines stay; rows that repeat an id
+    A line goes if one of its templates recurs in ``min_docs`` documents or more (two for lines of ``long_from`` tokens or
+    more, if given) and another document is the first to have it, so that no text vanishes from the corpus. Null texts stay null (0 lines), blank lines stay; rows that repeat an id
     and text count as copies and share their lines' fate; an empty table gives an empty result. A text may become empty. If ``documents`` has a column
     ``n_chars``, it is set to the new length where a line went.
     """
-    gone = repeated_lines(documents, min_docs, leading).select(
+    gone = repeated_lines(documents, min_docs, leading, long_from).select(
         F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "dropped")
     rows = documents.withColumn("_row_hash", text_hash())
     both = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["_row_hash"] == gone["_hash"]), "left")

@@ -4,6 +4,7 @@ from llm.conftest import LONG
 from oracle_check import compare, oracle
 import pytest
 
+import corpus_pipeline
 from riskweave.llm import containment as cm
 from riskweave.llm import line_templates as lt
 from riskweave.llm import oracles
@@ -58,6 +59,20 @@ def test_two_documents_are_not_enough(documents, prose):
     assert cleaned(documents, [(1, prose(1)), (2, prose(1))], min_docs=2)[2] == ("", 1)
 
 
+def test_the_pipeline_drops_long_lines_shared_by_two_documents(spark, documents, prose):
+    passage = prose(50, corpus_pipeline.LONG_LINE)
+    near = passage.split()
+    near[5] = "other"
+    short = prose(51, corpus_pipeline.LONG_LINE - 1)
+    rows = [(1, f"{prose(1)}\n{passage}\n{short}"), (2, f"{prose(2)}\n{passage}\n{short}"), (3, prose(3)),
+            (4, f"{prose(4)}\n{' '.join(near)}")]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, documents(rows), "").collect()}
+    assert got == {1: rows[0][1], 2: f"{prose(2)}\n{short}", 3: rows[2][1], 4: prose(4)}
+    rows = [(1, f"{prose(1)}\n{passage}"), (2, f"{prose(2)}\n{' '.join(near)}")]  # the template, not only the exact line
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, documents(rows), "").collect()}
+    assert got == {1: rows[0][1], 2: prose(2)}
+
+
 def pairs(documents, items):
     out = set()
     for d, text in documents:
