@@ -12,6 +12,10 @@ FIELD = "<*>"
 DIGITS = r"\S*[0-9]\S*"
 #: Stretches into which the tokens behind the leading ones are cut; one of them may vary in a template.
 STRETCHES = 5
+#: Lines whose first three tokens have a letter each, so that all of their templates have three words.
+WORDY = r"^\s*+(?:[^\s\p{L}]*+\p{L}\S*+(?:\s++|$)){3}"
+#: Constant tokens with a letter that a template needs, and no fewer than the line has digit fields.
+LEAST_WORDS = 3
 #: Documents from which on the template of a long line recurs, where a caller says what is long.
 LONG_DOCS = 2
 
@@ -22,15 +26,17 @@ def _keys(line: Column, leading: int, long_from: int | None) -> Column:
     Path in the tree: token count, then ``leading`` tokens with digit fields masked. In the leaf, each template has one of
     ``STRETCHES`` equal stretches of the other tokens as a variable field beside the masked ones, so lines that share one
     agree on four fifths of these tokens. Lines with fewer tokens behind the leading ones have one template, themselves.
+    A template with fewer constant words than ``LEAST_WORDS`` or than the line has digit fields is replaced by the line as it
+    is, so lines of numbers or separators share a key only when their tokens are equal.
     With ``long_from``, keys of lines of so many tokens are odd and all others even, so that a key tells it without a column.
     """
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, DIGITS, FIELD)).otherwise(line)
-    tokens = F.split(F.trim(masked), r"\s+")
+    def tokens(of: Column) -> Column:
+        return F.split(F.trim(of), r"\s+")
 
     def let(value: Column, function) -> Column:  # evaluates a shared part once
         return F.transform(F.array(value), function)[0]
 
-    def of(t: Column) -> Column:
+    def of(t: Column, digits: bool) -> Column:
         n = F.size(t)
         rest = n - leading
 
@@ -42,11 +48,29 @@ def _keys(line: Column, leading: int, long_from: int | None) -> Column:
         varied = let(parts, lambda p: F.array(*[
             F.xxhash64(F.lit(i), *[p[j] for j in range(STRETCHES + 1) if j != i + 1]) for i in range(STRETCHES)]))
         keys = F.when(rest >= STRETCHES, varied).otherwise(F.array(F.xxhash64(n, t)))
+
+        def words(of: Column) -> Column:
+            return F.size(F.filter(of, lambda x: x.rlike(r"\p{L}")))
+
+        def cut(i: Column) -> Column:  # words in the stretch that varies
+            begin, stop = (F.floor(rest * x / STRETCHES).cast("int") for x in (i, i + 1))
+            return F.when(rest >= STRETCHES, words(F.slice(t, leading + 1 + begin, stop - begin))).otherwise(0)
+
+        counts = F.array(words(t), F.greatest(F.lit(LEAST_WORDS), F.size(F.filter(t, lambda x: x == FIELD))))
+        whole = F.xxhash64(F.lit("line"), tokens(line))
+        told = let(counts, lambda c: F.transform(keys, lambda key, i: F.when(c[0] - cut(i) >= c[1], key).otherwise(whole)))
+        if digits:
+            keys = told
+        else:  # a short line without digits has one key, itself, in any case
+            safe = line.rlike(WORDY) if leading >= LEAST_WORDS else F.lit(False)
+            keys = F.when((rest >= STRETCHES) & ~safe, told).otherwise(keys)
         if long_from is None:
             return keys
         return F.transform(keys, lambda key: F.when(n >= long_from, key.bitwiseOR(F.lit(1))).otherwise(key.bitwiseAND(F.lit(-2))))
 
-    return F.when(F.length(F.trim(line)) == 0, F.array().cast("array<bigint>")).otherwise(let(tokens, of))
+    return F.when(F.length(F.trim(line)) == 0, F.array().cast("array<bigint>")).when(
+        line.rlike("[0-9]"), let(tokens(F.regexp_replace(line, DIGITS, FIELD)), lambda t: of(t, True))).otherwise(
+        let(tokens(line), lambda t: of(t, False)))
 
 
 def _keyed(documents: DataFrame, leading: int, long_from: int | None) -> DataFrame:

@@ -59,6 +59,19 @@ def test_two_documents_are_not_enough(documents, prose):
     assert cleaned(documents, [(1, prose(1)), (2, prose(1))], min_docs=2)[2] == ("", 1)
 
 
+def test_lines_of_numbers_and_separators_recur_only_as_they_are(documents):
+    def told(*lines):
+        return [d for _, (_, d) in sorted(cleaned(documents, enumerate(lines)).items())]
+
+    for line in ("{0}", "{0}.", "12.{0} 3 4{0}", "| {0} | 8 | {0} |", "- {0}", "Total {0} {0} 4 | {0}", "a {0} b 1 c 2 d {0} 5 6 7",
+                 "| {0} | 2 | 3 | 4 | {0} | 6 | 7 | 8 | {0} |", "{0} 1 2 3 4 5 6 7 one two three"):
+        assert told(*[line.format(i) for i in (31, 52, 73, 94)]) == [0, 0, 0, 0], line
+        assert told(*[line.format(31)] * 3) == [0, 1, 1], line
+    assert told(*[f"| | | | - - - | | {x} |" for x in "abcd"]) == [0, 0, 0, 0]  # a stretch may not vary either
+    assert told("***", "***", "***") == [0, 1, 1]
+    assert told(*[f"Posted on {2000 + i} by the people" for i in range(4)]) == [0, 1, 1, 1]
+
+
 def test_the_pipeline_drops_long_lines_shared_by_two_documents(spark, documents, prose):
     passage = prose(50, corpus_pipeline.LONG_LINE)
     near = passage.split()
