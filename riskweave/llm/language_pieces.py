@@ -25,6 +25,8 @@ HELD_WORDS = 400_000
 GROUP_CHARS = 1 << 20
 #: Above this many characters the forward sums are rescaled as they go.
 LONG_WORD = 30
+#: Words times languages that are learned from together.
+LEARNED_SUMS = 80_000
 
 
 @lru_cache(maxsize=2)
@@ -160,30 +162,35 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
+def stretches(word: str) -> list[str]:
+    """The marked word in stretches of at most ``LONG_WORD`` characters, whose sums need no rescaling."""
+    marked = "▁" + word
+    return [marked[i:i + LONG_WORD] for i in range(0, len(marked), LONG_WORD)]
+
+
 def learned(counts: dict[tuple[str, str], int], languages: list[str], path: str, rounds: int = 3,
             smoothing: float = 0.05) -> np.ndarray:
     """Piece probabilities (pieces x languages) by EM: expected counts of pieces over all segmentations of the words.
 
-    Words of more than ``LONG_WORD`` characters are not learned from; they are scored like others.
+    Words of ``LONG_WORD`` characters or more are learned from in stretches; they are scored whole, like others.
     """
     pieces = vocabulary(path)
     column = {x: i for i, x in enumerate(languages)}
-    words = sorted({w for _, w in counts if len(w) < LONG_WORD})
+    words = sorted({x for _, w in counts for x in stretches(w)})
     place = {w: i for i, w in enumerate(words)}
     many = np.zeros((len(words), len(languages)))
     for (language, word), n in counts.items():
-        if word in place:
-            many[place[word], column[language]] += n
+        for x in stretches(word):
+            many[place[x], column[language]] += n
     rows = np.full((len(pieces) + 1, len(languages)), 1.0 / len(pieces))
     rows[-1] = UNSEEN
     lattice = Lattice(pieces)
-    blocks = []
-    for at in range(0, len(words), 20_000):
-        of = ["▁" + w for w in words[at:at + 20_000]]
-        blocks.append((at, np.array([len(w) for w in of]), lattice.edges(of)))
+    block = max(1, LEARNED_SUMS // len(languages))
     for _ in range(rounds):
         expected = np.full(rows.shape, smoothing)
-        for at, ends, edges in blocks:
+        for at in range(0, len(words), block):  # edges are found anew, so that memory does not grow with the words
+            of = words[at:at + block]
+            ends, edges = np.array([len(w) for w in of]), lattice.edges(of)
             own = np.arange(len(ends))
             ahead = sums(edges, len(ends), int(ends.max()), rows)
             turned = edges.copy()  # places counted from each word's end, so that all ends are place 0
@@ -202,8 +209,8 @@ def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sampled_words(labelled: DataFrame, sample: int, types: int) -> tuple[dict[tuple[str, str], int], list[str]]:
-    """Word counts by language of about ``sample`` rows per language, the ``types`` most frequent (language, word) of them."""
+def sampled_words(labelled: DataFrame, sample: int) -> tuple[dict[tuple[str, str], int], list[str]]:
+    """Word counts by language of about ``sample`` rows per language; all words of these rows."""
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return {}, []
@@ -211,7 +218,7 @@ def sampled_words(labelled: DataFrame, sample: int, types: int) -> tuple[dict[tu
     below = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(int(min(1.0, sample / n) * (1 << 30))))])
     chosen = labelled.where(part < below[F.col("lang")])
     words = chosen.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word != ''")
-    rows = words.groupBy("lang", "word").count().orderBy(F.desc("count"), "lang", "word").limit(types).collect()
+    rows = words.groupBy("lang", "word").count().collect()
     return {(r["lang"], r["word"]): r["count"] for r in rows}, sorted(sizes)
 
 
@@ -264,13 +271,13 @@ class Model:
         return found
 
 
-def fit(documents: DataFrame, path: str | None = None, sample: int = 200, types: int = 60_000) -> Model:
-    """Learns from the text and non-null lang of rows that ``held_out`` leaves. Bounds: ``sample`` rows per language (about,
-    chosen by a hash of the id) and ``types`` counted words."""
+def fit(documents: DataFrame, path: str | None = None, sample: int = 200) -> Model:
+    """Learns from the text and non-null lang of rows that ``held_out`` leaves. Bound: ``sample`` rows per language (about,
+    chosen by a hash of the id), with all of their words."""
     path = path or public_tokenizers.path("piece_bpe_32k.model")
     labelled = documents.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()
                                & ~held_out()).select("doc_id", "lang", "text")
-    counts, languages = sampled_words(labelled, sample, types)
+    counts, languages = sampled_words(labelled, sample)
     return Model(path, languages, learned(counts, languages, path) if languages else np.empty((0, 0)))
 
 

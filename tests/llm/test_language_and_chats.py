@@ -64,6 +64,24 @@ def test_em_raises_the_likelihood():
     assert found == sorted(found)
 
 
+def test_all_words_of_the_sample_are_counted(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(700)), "de", 1, "x") for i in range(100)]
+    rows += [(1000 + i, f"le mot{i}", "fr", 1, "x") for i in range(100)]
+    counts, languages = lp.sampled_words(labelled(spark, rows), 10_000)
+    assert languages == ["de", "fr"] and sum(lang == "de" for lang, _ in counts) == 70_000
+    assert {w: n for (lang, w), n in counts.items() if lang == "fr"} == {"le": 100} | {f"mot{i}": 1 for i in range(100)}
+
+
+def test_long_words_are_learned_from(monkeypatch):
+    counts = {("a", "ab" * 40): 5, ("b", "xy" * 40): 5}
+    assert "".join(lp.stretches("ab" * 40)) == "▁" + "ab" * 40 and max(map(len, lp.stretches("ab" * 40))) == lp.LONG_WORD
+    rows = lp.learned(counts, ["a", "b"], PATH)
+    model = lp.Model(PATH, ["a", "b"], rows)
+    assert [x for x, _ in model.predict(["ab" * 50, "xy" * 50, "abab", "xyxy"])] == ["a", "b", "a", "b"]
+    monkeypatch.setattr(lp, "LEARNED_SUMS", 2)  # word by word
+    assert np.allclose(lp.learned(counts, ["a", "b"], PATH), rows)
+
+
 def test_held_out_accuracy(spark):
     documents = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = lp.predictions(documents).join(documents.select("doc_id", "lang"), "doc_id").collect()
