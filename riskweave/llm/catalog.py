@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import (
-    bk_simhash, chat_tree, containment, histogram_packing, html_crf, int8_join, language_pieces, line_templates, pii_tagger,
-    token_counts,
+    bk_simhash, chat_tree, containment, histogram_packing, html_crf, int8_join, language_pieces, line_templates,
+    permuterm, pii_tagger, token_counts,
 )
 from riskweave.llm.common import table
 
@@ -60,7 +60,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permuterm.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_html_crf, op2_int8_neighbours, op3_language_id, op4_chat_trees, op5_line_templates, op6_pii_tagger,
-        op7_histogram_packing, op8_benchmark_containment, op9_simhash_groups, op10_token_counts)}
+        op7_histogram_packing, op8_benchmark_containment, op9_simhash_groups, op10_token_counts, op11_spelling_variants)}

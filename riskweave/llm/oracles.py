@@ -63,7 +63,45 @@ FROM grams d JOIN grams i ON d.gram = i.gram AND d.side = 0 AND i.side = 1 JOIN
 GROUP BY d.id, i.id, n HAVING count(*) >= 0.8 * n
 """
 
+VARIANTS = r"""
+WITH RECURSIVE bits AS MATERIALIZED (
+    SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)
+                ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)),
+runs AS (
+    SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+counted AS (SELECT id, run, count(*) AS n FROM runs GROUP BY ALL),
+told AS (
+    SELECT run, n, xor(4294967295, list_reduce(
+        list_prepend(4294967295, flatten([CASE WHEN ord(x) < 128 THEN [ord(x)] ELSE [192 + (ord(x) >> 6), 128 + (ord(x) & 63)] END
+            for x in string_split(id || ':' || run, '')])),
+        lambda c, b: xor(t[(xor(c, b::BIGINT) & 255) + 1], c >> 8))) AS h
+    FROM counted, bits),
+vocabulary AS MATERIALIZED (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+        sum(n)::BIGINT AS n FROM told GROUP BY word HAVING length(word) >= 7 AND sum(n) >= 2),
+places AS MATERIALIZED (
+    SELECT word, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail
+    FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)),
+shorter AS (SELECT DISTINCT p.word, v.word AS other FROM places p JOIN vocabulary v ON v.word = p.head || p.tail),
+near AS (
+    SELECT a.word, b.word AS other FROM places a JOIN places b ON a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+    UNION SELECT word, other FROM shorter UNION SELECT other, word FROM shorter),
+best AS (
+    SELECT near.word, count(*) AS n_near, (array_agg(other ORDER BY v.n DESC, other))[1] AS other, max(v.n) AS best_n
+    FROM near JOIN vocabulary v ON v.word = near.other GROUP BY near.word),
+formed AS MATERIALIZED (
+    SELECT word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * v.n THEN other END AS form,
+        CASE WHEN best_n >= 10 * v.n THEN best_n END AS form_n
+    FROM vocabulary v LEFT JOIN best USING (word)),
+chain AS (
+    SELECT word, word AS at FROM formed
+    UNION ALL SELECT chain.word, formed.form FROM chain JOIN formed ON formed.word = chain.at WHERE formed.form IS NOT NULL)
+SELECT f.word, f.form, chain.at AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN chain USING (word) JOIN formed e ON e.word = chain.at AND e.form IS NULL
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_int8_neighbours": NEIGHBOURS, "op4_chat_trees": CHATS, "op5_line_templates": LINES,
-            "op8_benchmark_containment": LEAKS}
+            "op8_benchmark_containment": LEAKS, "op11_spelling_variants": VARIANTS}
