@@ -39,6 +39,11 @@ def _splittable(path: str) -> bool:
     return shown("  ab  cd ") == "▁▁▁ab▁▁cd▁" and shown("ab") == "▁ab"
 
 
+def sentence_model(path: str) -> tuple[sentencepiece.SentencePieceProcessor, frozenset[str], bool]:
+    """The model, the pairs of characters within its pieces, and whether ``segments`` is exact for it."""
+    return *_model(path), _splittable(path)
+
+
 def segments(text: str, size: int, pairs: frozenset[str]) -> list[str]:
     """Cuts a text at blanks, after every ``size`` characters or more, where no piece holds the blank and what is before it.
 
