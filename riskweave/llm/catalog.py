@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskweave.llm import (
     bk_simhash, chat_tree, containment, cross_alignment, histogram_packing, html_crf, int8_join, language_pieces, line_templates,
-    permuterm, pii_tagger, token_counts,
+    permuterm, pii_tagger, token_counts, toxic_lexicon,
 )
 from riskweave.llm.common import table
 
@@ -64,6 +64,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permuterm.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_lexicon.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
 def op13_cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_alignment.aligned(table(spark, sf_dir, "documents"))
 
@@ -72,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_html_crf, op2_int8_neighbours, op3_language_id, op4_chat_trees, op5_line_templates, op6_pii_tagger,
         op7_histogram_packing, op8_benchmark_containment, op9_simhash_groups, op10_token_counts, op11_spelling_variants,
-        op13_cross_alignment)}
+        op12_toxicity, op13_cross_alignment)}
