@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import map_batches, removed, text_hash, texts_of, written
+from riskweave.llm.common import map_batches, removed, row_column, split_join, text_hash, texts_of, whole_row, written
 
 SEED = 42
 CHUNK = 1 << 16
@@ -209,17 +209,21 @@ def components(pairs: DataFrame, rounds: int = 60) -> tuple[DataFrame, str]:
     spark = pairs.sparkSession
     edges, path = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before: tuple | None = None
+
+    def with_least(links: DataFrame) -> DataFrame:  # a node may have a third of all links
+        low, _ = written(links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+        return split_join(links, low, "a")
+
     for _ in range(rounds):
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.join(low, "a").where(F.col("b") > F.col("a")).select(
-            F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(
+        large, between = written(with_least(both).where(F.col("b") > F.col("a")).select(
+            F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct(), "large-stars")
+        small = with_least(large).select(F.explode(F.array(
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select(
             "e.a", "e.b").where(F.col("a") != F.col("b")).distinct()
         edges, newer = written(small, "stars")
         removed(spark, path)
+        removed(spark, between)
         path = newer
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
@@ -235,12 +239,15 @@ def hex_digits(column: str) -> Column:
 def grouped(documents: DataFrame, shingle: int = 3, radius: int = 3, shard: int = 8192) -> DataFrame:
     """``doc_id``, ``row_hash``, ``fp``, the group's ``root`` (a fingerprint) and its smallest doc_id, per row."""
     prints, _ = written(fingerprints(documents, shingle), "fingerprints")
-    values = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    values, _ = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "values")
     stars, _ = components(links(values.select("fp"), radius, shard))
     of = values.join(stars, values.fp == stars.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(of.join(named, "root").select("fp", "root", "component_id"), "fp")
+        "fp", "n", "least", F.coalesce("root", "fp").alias("root"))
+    of, _ = written(of, "roots")
+    named, _ = written(of.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "groups")
+    told, _ = written(split_join(of.drop("n"), named, "root").drop("n").join(values.select("fp", "n"), "fp").select(
+        "fp", "n", "root", "component_id"), "told")
+    return split_join(prints, told, "fp").drop("n")  # all empty texts, or all copies of one, share a fingerprint
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 3, radius: int = 3, shard: int = 8192) -> DataFrame:
@@ -259,10 +266,10 @@ def one_of_each(documents: DataFrame, shingle: int = 3, radius: int = 3) -> Data
 
     Of rows that repeat this id, the one with the smallest text hash stays, once; a group in which no row has an id keeps one.
     """
-    key = ["_none", "_id", "_row_hash"]
-    parts = [F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id")]
-    groups = grouped(documents, shingle, radius).select("root", *parts, F.col("row_hash").alias("_row_hash"))
+    key = ["none", "id", "text_hash"]
+    parts = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id")]
+    groups = grouped(documents, shingle, radius).select("root", *parts, F.col("row_hash").alias("text_hash"))
     keep = groups.groupBy("root").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
-    columns = documents.columns
-    rows = documents.select("*", *parts, text_hash().alias("_row_hash"))
-    return rows.join(keep, key, "left_semi").dropDuplicates(key).select(*columns)
+    rows = documents.select(whole_row(documents).alias("row"), *parts, text_hash().alias("text_hash"))
+    once = rows.dropDuplicates(key)  # before the join: repeated rows of one key are summed where they are read
+    return once.join(keep, key, "left_semi").select(*[row_column(c).alias(c) for c in documents.columns])

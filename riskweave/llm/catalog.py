@@ -35,7 +35,8 @@ def op4_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_templates.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.deduplicated(documents, long_from=line_templates.LONG_LINE).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def op6_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:

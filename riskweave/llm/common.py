@@ -64,6 +64,56 @@ def removed(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, or with as many underscores behind it as no column of ``taken`` has (names differ by more than case)."""
+    used = {x.lower() for x in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def whole_row(frame: DataFrame) -> Column:
+    """All columns as one struct, so that an operator's own columns beside it can clash with none of them."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in frame.columns])
+
+
+def row_column(name: str, of: str = "row") -> Column:
+    return F.col(of).getField(name)
+
+
+#: Keys with one in so many of the rows to be joined count as hot; there are at most so many of them.
+HOT_KEYS = 20_000
+
+
+def split_join(rows: DataFrame, values: DataFrame, key: str, n: str = "n", hot: int = HOT_KEYS) -> DataFrame:
+    """``rows`` with the columns of ``values`` (one row per key, ``n`` rows to be joined with it), without a hot key in a shuffle.
+
+    The values of keys with one in ``hot`` of all those rows, at most ``hot`` keys, are broadcast; the others are joined by a
+    shuffle. Both frames are read twice: hand over written tables, or what is cheap to make from them.
+    """
+    total = values.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    is_hot = F.col(n) * hot >= total
+    common = F.broadcast(values.where(is_hot))
+    return rows.join(common, key).unionByName(
+        rows.join(common.select(key), key, "left_anti").join(values.where(~is_hot), key))
+
+
+def salted_join(rows: DataFrame, values: DataFrame, key: str, spread: Column, hot: int = HOT_KEYS, chunk: int = 1 << 16) -> DataFrame:
+    """``rows`` joined with ``values``, which may have many rows per key and of any size, without a hot key in the shuffle.
+
+    Keys with more than ``chunk`` rows and more than one in ``hot`` of all, at most ``hot`` keys, are dealt into parts by the hash
+    of ``spread``; the values of such a key go to each of its parts. ``rows`` is read twice.
+    """
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n"))
+    many = max(chunk, rows.count() // hot)
+    parts = F.broadcast(sizes.where(F.col("n") > many).select(key, F.ceil(F.col("n") / many).cast("int").alias("parts")))
+    dealt = rows.join(parts, key, "left").withColumn(
+        "part", F.pmod(F.xxhash64(spread), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copied = values.join(parts, key, "left").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copied, [key, "part"]).drop("part")
+
+
 def text_hash(column: str = "text") -> Column:
     """Tells rows of one doc_id apart; equal rows share it."""
     return F.xxhash64(F.col(column).isNull(), F.col(column))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import Held, map_batches, text_hash, texts_of, written
+from riskweave.llm.common import Held, map_batches, row_column, salted_join, text_hash, texts_of, whole_row, written
 
 WORDS = re.compile(r"\w+").findall
 #: Runs between blanks held by a worker, twice over at most (bounds memory, never changes a result).
@@ -43,24 +43,29 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """64-bit hashes of the shingles of a text, in order."""
+    """64-bit hashes of the words and shingles of a text, in order."""
 
     def __init__(self, shingle: int):
         self.shingle = shingle
         self.runs = Held(lambda run: b"".join([xxhash.xxh3_64_digest(w.encode()) for w in words_of(run)]), HELD_WORDS)
 
-    def __call__(self, text: str) -> np.ndarray:
-        words = np.frombuffer(b"".join(map(self.runs.__getitem__, text.split())), ">u8").astype(np.uint64)
-        if not len(words):
-            return words
-        if len(words) < self.shingle:
-            words = np.r_[words, np.zeros(self.shingle - len(words), np.uint64)]
-        total = len(words) - self.shingle + 1
+    def words(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.runs.__getitem__, text.split())), ">u8").astype(np.uint64)
+
+    def grams(self, words: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of all runs of ``size`` words, filled up to a shingle."""
+        total = max(len(words) - size + 1, 0)
         out = np.zeros(total, np.uint64)
         for i in range(self.shingle):
-            out = out * np.uint64(0xD6E8FEB86659FD93) + words[i:i + total]
+            out = out * np.uint64(0xD6E8FEB86659FD93)
+            if i < size:
+                out += words[i:i + total]
         return _mixed(out)
 
+    def __call__(self, text: str) -> np.ndarray:
+        words = self.words(text)
+        return self.grams(words, min(len(words), self.shingle))
+
 
 def signature(kind: int, which: int | np.ndarray, values: np.ndarray) -> np.ndarray:
     """One number for (size class, permutation, minimum)."""
@@ -80,10 +85,12 @@ def item_signatures(hashes: np.ndarray, permutations: int) -> tuple[int, np.ndar
     return kind, signature(kind, np.arange(permutations), np.array(least, np.uint64))
 
 
-def window_signatures(texts: list[np.ndarray], kinds: list[int], permutations: int,
+def window_signatures(texts: list[np.ndarray], short: list[list[np.ndarray]], kinds: list[int], permutations: int,
                       known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, signature) for the signatures of the texts' shingle hashes that the filter ``known`` lets through.
 
+    ``short``: for each length of an item shorter than a shingle, the hashes of the texts' runs of so many words.
+
     For class e a text is cut into blocks of 2**e shingles, and each three neighbouring blocks are a window: an occurrence
     of an item of the class lies inside one of them, and makes up a third of it or more. Blocks of a class are pairs of
     those of the class below, so only the smallest class reads the shingles. All texts of a call are one array, each filled
@@ -102,6 +109,9 @@ def window_signatures(texts: list[np.ndarray], kinds: list[int], permutations: i
             more = many > 1
             hit, begin, many = hit[more], begin[more] + 1, many[more] - 1
 
+    for runs in short:
+        each = np.repeat(np.arange(len(runs)), [len(x) for x in runs])
+        passed(signature(0, 0, np.concatenate(runs)), each, each)
     sized = sorted(k for k in kinds if k)
     low = sized[0] if sized else 0
     own = [i for i, x in enumerate(texts) if len(x)]
@@ -135,12 +145,14 @@ def window_signatures(texts: list[np.ndarray], kinds: list[int], permutations: i
 
 
 def contaminated(documents: DataFrame, items: DataFrame, shingle: int = 5, least: float = 0.8,
-                 permutations: int = 32) -> DataFrame:
+                 permutations: int = 32, least_words: int = 3) -> DataFrame:
     """(document, item) pairs with at least ``least`` of the item's distinct shingles in the whole document.
 
     Columns ``doc_id``, ``row_hash``, ``item_id``, ``n_shared``, ``n_shingles``, ``containment``. The MinHash windows only
     propose pairs; all of their shingles are then compared as words. An item that stands in a document in one stretch is
-    missed with a chance of at most (2/3)**permutations; items of fewer than ``DIRECT`` shingles never. Null texts, texts and
+    missed with a chance of at most (2/3)**permutations as a whole, (3/4)**permutations (1e-4) at four fifths of its shingles; items of
+    fewer than ``DIRECT`` shingles never. An item of fewer words than a shingle is one shingle, itself: from ``least_words`` on it
+    is found inside any text, below that only as a whole text, for one or two words are no passage. Null texts, texts and
     items without a word and items without an id take no part; repeated rows give equal rows once; an empty table on
     either side gives an empty result.
     """
@@ -153,12 +165,16 @@ def contaminated(documents: DataFrame, items: DataFrame, shingle: int = 5, least
             for item, text in zip(batch.column("item_id").to_pylist(), texts_of(batch.column("text")), strict=True):
                 if len(hashes := hasher(text)):
                     kind, values = item_signatures(hashes, permutations)
+                    n = min(len(hasher.words(text)), shingle)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([item] * len(values), pa.int64()), pa.array([kind] * len(values), pa.int32()),
-                         pa.array(values.view(np.int64))], names=["item_id", "kind", "signature"])
+                         pa.array([n] * len(values), pa.int32()), pa.array(values.view(np.int64))],
+                        names=["item_id", "kind", "n_words", "signature"])
 
-    wanted, _ = written(map_batches(listed, signed, "item_id long, kind int, signature long"), "item-signatures")
+    wanted, _ = written(map_batches(listed, signed, "item_id long, kind int, n_words int, signature long"), "item-signatures")
     kinds = sorted(r["kind"] for r in wanted.select("kind").distinct().collect())  # 64 at most
+    lengths = sorted(r["n_words"] for r in wanted.select("n_words").where(
+        F.col("n_words").between(least_words, shingle - 1)).distinct().collect())
     place = F.shiftrightunsigned("signature", 64 - FILTER_BITS)
     bits = wanted.groupBy(F.shiftright(place, 6).alias("word")).agg(
         F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(signature, {64 - FILTER_BITS}) & 63 as int)))").alias("bits")).collect()
@@ -176,7 +192,10 @@ def contaminated(documents: DataFrame, items: DataFrame, shingle: int = 5, least
                 while end < len(texts) and weight < GROUP_CHARS:
                     weight += len(texts[end])
                     end += 1
-                rows, values = window_signatures([hasher(t) for t in texts[begin:end]], kinds, permutations, lookup)
+                words = [hasher.words(t) for t in texts[begin:end]]
+                rows, values = window_signatures(
+                    [hasher.grams(w, min(len(w), shingle)) for w in words],
+                    [[hasher.grams(w, n) for w in words] for n in lengths], kinds, permutations, lookup)
                 at = pa.array(rows + begin)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(at), batch.column("row_hash").take(at), pa.array(values.view(np.int64))],
@@ -184,38 +203,47 @@ def contaminated(documents: DataFrame, items: DataFrame, shingle: int = 5, least
                 begin = end
 
     texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text", text_hash().alias("row_hash"))
-    hits = map_batches(texts, searched, "doc_id long, row_hash long, signature long")
-    proposed = hits.join(wanted, "signature").select("doc_id", "row_hash", "item_id").distinct()
-    asked = proposed.join(listed.withColumnRenamed("text", "item_text"), "item_id").groupBy("doc_id", "row_hash").agg(
-        F.collect_set(F.struct("item_id", "item_text")).alias("items"))
-    asked = asked.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "items")
-    both = texts.join(asked, texts["doc_id"].eqNullSafe(asked["_id"]) & (texts["row_hash"] == asked["_hash"]))
+    hits, _ = written(map_batches(texts, searched, "doc_id long, row_hash long, signature long"), "hits")
+    here = F.struct("doc_id", "row_hash")  # a passage may stand in a third of all documents
+    proposed, _ = written(salted_join(hits, wanted.select("signature", "item_id"), "signature", here).select(
+        "doc_id", "row_hash", "item_id").distinct(), "proposed")
+    asked = salted_join(proposed, listed.withColumnRenamed("text", "item_text"), "item_id", here)
+    of = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "row_hash").alias("of")
+    once = texts.select(of, "doc_id", "row_hash", "text").dropDuplicates(["of"]).join(proposed.select(of).distinct(), "of", "left_semi")
+    none = F.lit(None)
+    both = once.select("of", "doc_id", "row_hash", "text", none.cast("long").alias("item_id"), none.cast("string").alias("item_text")).unionAll(
+        asked.select(of, "doc_id", "row_hash", none.cast("string").alias("text"), "item_id", "item_text"))
+    # a document comes first, then its items one by one
+    sorted_ = both.repartition("of").sortWithinPartitions("of", F.col("item_id").asc_nulls_first())
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have: set[tuple[str, ...]] = set()
+        words: list[str] = []
         for batch in batches:
             found = []
-            for doc, row_hash, text, offered in zip(*(batch.column(c).to_pylist() for c in
-                                                      ("doc_id", "row_hash", "text", "items")), strict=True):
-                have = shingles(text, shingle)
-                for item in offered:
-                    want = shingles(item["item_text"], shingle)
-                    shared = len(want & have)
-                    if shared and shared >= least * len(want) - 1e-9:
-                        found.append((doc, row_hash, item["item_id"], shared, len(want), shared / len(want)))
+            for doc, row_hash, text, item, item_text in zip(*(batch.column(c).to_pylist() for c in (
+                    "doc_id", "row_hash", "text", "item_id", "item_text")), strict=True):
+                if item is None:
+                    words, have = words_of(text), shingles(text, shingle)
+                    continue
+                want = shingles(item_text, shingle)
+                shared = len(want & have)
+                if not shared and len(want) == 1 and least_words <= (n := len(next(iter(want)))) < shingle:
+                    shared = int(next(iter(want)) in zip(*(words[i:] for i in range(n)), strict=False))
+                if shared and shared >= least * len(want) - 1e-9:
+                    found.append((doc, row_hash, item, shared, len(want), shared / len(want)))
             names = ["doc_id", "row_hash", "item_id", "n_shared", "n_shingles", "containment"]
             kinds_of = [pa.int64()] * 5 + [pa.float64()]
             columns = list(zip(*found, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_of, strict=True)], names=names)
 
-    return map_batches(both.select("doc_id", "row_hash", "text", "items"), verified,
+    return map_batches(sorted_.select("doc_id", "row_hash", "text", "item_id", "item_text"), verified,
                        "doc_id long, row_hash long, item_id long, n_shared long, n_shingles long, containment double").distinct()
 
 
 def decontaminated(documents: DataFrame, items: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """Rows of ``documents`` that hold no item; all columns stay as they are."""
-    bad = contaminated(documents, items, shingle, least).select(
-        F.col("doc_id").alias("_bad_id"), F.col("row_hash").alias("_bad_hash")).distinct()
-    columns = documents.columns
-    rows = documents.withColumn("_row_hash", text_hash())
-    return rows.join(bad, rows["doc_id"].eqNullSafe(bad["_bad_id"]) & (rows["_row_hash"] == bad["_bad_hash"]),
-                     "left_anti").select(*columns)
+    bad = contaminated(documents, items, shingle, least).select("doc_id", "row_hash").distinct()
+    rows = documents.select(whole_row(documents).alias("row"), F.col("doc_id").alias("row_id"), text_hash().alias("row_text"))
+    return rows.join(bad, rows["row_id"].eqNullSafe(bad["doc_id"]) & (rows["row_text"] == bad["row_hash"]), "left_anti").select(
+        *[row_column(c).alias(c) for c in documents.columns])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from riskweave.llm.common import map_batches, texts_of, written
+from riskweave.llm.common import HOT_KEYS, map_batches, split_join, texts_of, written
 from riskweave.llm.token_counts import segments, sentence_model
 
 #: Ends that one piece merges.
@@ -27,8 +27,6 @@ WORK = 1 << 16
 GROUP_CHARS = 1 << 20
 #: Characters from which on a long text is encoded in segments.
 SEGMENT_CHARS = 1 << 14
-#: Pairs that make up one in so many of the (document, pair) rows are broadcast; there are at most so many of them.
-HOT_PAIRS = 20_000
 #: The rank encoder's time grows with the square of a run; texts with longer ones go to the other library.
 LONG_RUN = 512
 BLANK_RUN = re.compile(r"\s{%d}" % LONG_RUN)
@@ -284,7 +282,7 @@ def encoded(documents: DataFrame, a_path: str | None = None, b_path: str | None
 
 
 def aligned(documents: DataFrame, a_path: str | None = None, b_path: str | None = None, ranks: str | None = None,
-            hot: int = HOT_PAIRS, work: int = WORK) -> DataFrame:
+            hot: int = HOT_KEYS, work: int = WORK) -> DataFrame:
     """One row per row of ``documents``: how its tokens in two vocabularies line up, and how common its linked id pairs are.
 
     ``doc_id``; ``n_a``, ``n_b`` tokens; ``n_groups`` between common byte ends; ``n_links`` pairs of tokens that overlap; ``n_best`` links whose
@@ -302,19 +300,10 @@ def aligned(documents: DataFrame, a_path: str | None = None, b_path: str | None
     most = counts.groupBy(a_of.alias("a")).agg(F.max("n").alias("most"))  # one row per id of the vocabulary
     valued = counts.withColumn("a", a_of).join(F.broadcast(most), "a").select(
         "pair", "n", (F.col("n") == F.col("most")).alias("best"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    is_hot = F.col("n") * hot >= total
     rows = table.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select(
         "row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
-
-    def sums(joined: DataFrame) -> DataFrame:
-        return joined.groupBy("row").agg(F.sum(F.col("times") * F.col("n")).alias("s"),
-                                         F.sum(F.when(F.col("best"), F.col("times"))).alias("b"))
-
-    common = F.broadcast(valued.where(is_hot))
-    parts = sums(rows.join(common, "pair")).unionAll(
-        sums(rows.join(common.select("pair"), "pair", "left_anti").join(valued.where(~is_hot), "pair")))
-    told = parts.groupBy("row").agg(F.sum("s").alias("s"), F.sum("b").alias("b"))
+    told = split_join(rows, valued, "pair", "n", hot).groupBy("row").agg(
+        F.sum(F.col("times") * F.col("n")).alias("s"), F.sum(F.when(F.col("best"), F.col("times"))).alias("b"))
     return table.drop("pairs", "times").join(told, "row", "left").select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("b", F.lit(0)).cast("long").alias("n_best"),
         F.coalesce("s", F.lit(0)).cast("long").alias("count_sum"), "groups_sha256")

@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import map_batches, texts_of
+from riskweave.llm.common import map_batches, row_column, texts_of, whole_row
 
 UNDETERMINED = "und"
 #: Probability of a character that no piece of the vocabulary holds, in every language.
@@ -319,4 +319,5 @@ def identified(documents: DataFrame, least: float = 0.5, model: Model | None = N
                 keep = [any(c.isalpha() for c in t) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return map_batches(documents, run, documents.schema)
+    rows = documents.select(whole_row(documents).alias("row"), "text")
+    return map_batches(rows, run, rows.schema).select(*[row_column(c).alias(c) for c in documents.columns])

@@ -36,14 +36,16 @@ WITH lines AS (
 cut AS (
     SELECT *, string_split_regex(trim(regexp_replace(line, '\S*[0-9]\S*', '<*>', 'g')), '\s+') AS t FROM lines),
 keyed AS (
-    SELECT doc_id, nth, line, unnest(CASE
+    SELECT doc_id, nth, CASE WHEN len(t) >= 20 THEN 2 ELSE 3 END AS least, unnest(CASE
         WHEN length(trim(line)) = 0 THEN []
         WHEN len(t) < 8 THEN [array_to_string(t, ' ')]
         ELSE [concat_ws(' ', i, len(t), array_to_string(t[1:3 + floor((len(t) - 3) * i / 5)::INT], ' '), chr(10),
             array_to_string(t[4 + floor((len(t) - 3) * (i + 1) / 5)::INT:], ' ')) for i in [0, 1, 2, 3, 4]]
-        END) AS template FROM cut),
+        END) AS template FROM cut
+    UNION ALL SELECT doc_id, nth, 2, concat('exact', chr(10), trim(line)) FROM cut
+    WHERE len(t) >= 8 AND len([x for x in string_split_regex(trim(line), '\s+') if regexp_matches(x, '\pL')]) >= 8),
 recurring AS (
-    SELECT template, min(doc_id) AS first FROM keyed GROUP BY template HAVING count(DISTINCT doc_id) >= 3),
+    SELECT template, min(doc_id) AS first FROM keyed GROUP BY template HAVING count(DISTINCT doc_id) >= min(least)),
 gone AS (SELECT DISTINCT doc_id, nth FROM keyed JOIN recurring USING (template) WHERE doc_id <> first)
 SELECT doc_id, count(*) AS n_lines, count(gone.nth) AS n_dropped,
     coalesce(string_agg(line, chr(10) ORDER BY lines.nth) FILTER (gone.nth IS NULL), '') AS text
@@ -56,7 +58,9 @@ WITH texts AS (
     UNION ALL SELECT 1, item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') FROM benchmark),
 grams AS (
     SELECT DISTINCT side, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-        ELSE [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] END) AS gram FROM texts),
+        ELSE [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] END) AS gram FROM texts
+    UNION SELECT 0, id, unnest([array_to_string(w[i:i + n - 1], ' ') for i in range(1, len(w) - n + 2)])
+    FROM texts, (SELECT DISTINCT len(w) AS n FROM texts WHERE side = 1 AND len(w) IN (3, 4)) WHERE side = 0 AND len(w) > n),
 sizes AS (SELECT id, count(*) AS n FROM grams WHERE side = 1 GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, n AS n_shingles, count(*) / n AS containment
 FROM grams d JOIN grams i ON d.gram = i.gram AND d.side = 0 AND i.side = 1 JOIN sizes ON sizes.id = i.id
