@@ -8,10 +8,6 @@ from riskweave.llm import bk_simhash, containment, histogram_packing, language_p
 from riskweave.llm.common import table, written
 
 
-#: A line of so many tokens is not shared by chance: one other document that has it is enough to drop it.
-LONG_LINE = 20
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no letter, or no learned language reaches a posterior of one half."""
     return language_pieces.identified(docs)
@@ -19,7 +15,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes lines of recurring templates out of all but the first document that has them; rows stay."""
-    return line_templates.deduplicated(docs, long_from=LONG_LINE).select(*docs.columns)
+    return line_templates.deduplicated(docs, long_from=line_templates.LONG_LINE, counts=False)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
