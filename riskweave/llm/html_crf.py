@@ -5,7 +5,8 @@ from __future__ import annotations
 import html as entities
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +14,19 @@ from pyspark.sql import DataFrame
 
 from riskweave.llm.common import map_batches, texts_of
 
-#: Markup: comments, declarations, tags with quoted attributes, and the names of tags.
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+#: A tag whole, by the tokenizer states of HTML: its name, then attributes, whose values may be quoted (any character but the quote)
+#: or not (up to a blank or >). Nothing is tried twice, so a tag costs its length; without a match the page ends inside the tag.
+TAG = re.compile(
+    r"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]*+(?:=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]*+)|(?!\s*+=)))*+[\s/]*+)>")
 #: Their contents are not text of the page.
-SILENT = frozenset("script style noscript template iframe svg math object select textarea head title".split())
-RAW = frozenset("script style textarea title noscript iframe template".split())
+SILENT = frozenset("script style noscript template iframe svg math object select textarea head title noembed noframes".split())
+#: Up to their own end tag there is no markup.
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>?+", re.I) for name in RAW}
+#: What may stand in a head; any other tag, or text, ends it.
+HEAD_PARTS = frozenset("head html base basefont bgsound link meta title script style noscript template noframes".split())
+#: Only inside these a slash ends an element that it opens.
+FOREIGN = frozenset(("svg", "math"))
 #: Elements that don't begin a block.
 INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr picture q rp rt
 ruby s samp small source span strike strong sub sup time tt u var wbr br input""".split())
@@ -26,6 +35,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
         "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
         "option": ({"option"}, {"select"})}
+#: Tags that end a drawing, a formula or a list of choices which is still open.
+BREAKS = frozenset("""address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2
+h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul""".split())
+COMMENT_END = re.compile("--!?>")
 BLANKS = re.compile(r"\s+")
 NAME = re.compile(r"[a-z]+")
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -35,17 +48,62 @@ ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)
 PARTS = frozenset("article main section aside nav header footer form".split())
 
 
+class Open:
+    """An open element, with what it and its ancestors say: sets are shared with the parent where nothing is added."""
+
+    __slots__ = ("name", "names", "hints", "near", "part", "depth")
+
+    def __init__(self, name: str, hints: frozenset[str], above: Open | None):
+        self.name = name
+        before = above.names if above else frozenset()
+        self.names: frozenset[str] = before if name in before else before | {name}
+        said = above.hints if above else frozenset()
+        self.hints: frozenset[str] = said if hints <= said else said | hints
+        self.near: frozenset[str] = hints or (above.near if above else frozenset())
+        self.part: str = name if name in PARTS else above.part if above else "none"
+        self.depth: int = above.depth + 1 if above else 1
+
+
+#: What a block outside of any element is in.
+NOWHERE = Open("none", frozenset(), None)
+NOWHERE.names, NOWHERE.depth = frozenset(), 0
+
+
 class Block:
-    """Text of one leaf block with what its ancestors say."""
+    """Text of one leaf block with the element that it is in."""
+
+    __slots__ = ("text", "leaf", "linked")
+
+    def __init__(self, text: str, leaf: Open, linked: int):
+        self.text, self.leaf, self.linked = text, leaf, linked
+
+
+class Stack:
+    """The open elements; finds the nearest of a name without a walk, so that a tag costs the same at any depth."""
+
+    def __init__(self):
+        self.open: list[Open] = []
+        self.places: dict[str, list[int]] = {}
+        self.silent = 0
 
-    __slots__ = ("text", "tags", "hints", "near", "linked")
+    def top(self) -> Open | None:
+        return self.open[-1] if self.open else None
 
-    def __init__(self, text: str, stack: list[tuple[str, frozenset[str]]], linked: int):
-        self.text, self.linked = text, linked
-        self.tags = tuple(t for t, _ in stack)
-        named = [h for _, h in stack if h]
-        self.hints: frozenset[str] = frozenset().union(*named)
-        self.near: frozenset[str] = named[-1] if named else frozenset()
+    def nearest(self, names: Iterable[str]) -> int:
+        """Place of the innermost open element of these names, -1 without one."""
+        return max((self.places[x][-1] for x in names if self.places.get(x)), default=-1)
+
+    def push(self, name: str, hints: frozenset[str]) -> None:
+        self.places.setdefault(name, []).append(len(self.open))
+        self.open.append(Open(name, hints, self.top()))
+        self.silent += name in SILENT
+
+    def cut(self, place: int) -> None:
+        """Closes the elements from a place on."""
+        while len(self.open) > place:
+            name = self.open.pop().name
+            self.places[name].pop()
+            self.silent -= name in SILENT
 
 
 def hints_of(attributes: str) -> frozenset[str]:
@@ -62,45 +120,78 @@ def hints_of(attributes: str) -> frozenset[str]:
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order; text of silent elements is left out, character references are decoded once.
 
-    Block tags begin and end blocks, inline tags do not. A block tag also ends a paragraph that is still open.
+    Block tags begin and end blocks, inline tags do not. A block tag also ends a paragraph that is still open, a head ends
+    with the first tag or text that cannot stand in it, and a block tag inside a drawing, a formula or a list of choices that is
+    still open ends these. A tag, comment or raw element that never ends takes the rest of the page, as in a browser. The time
+    is proportional to the length of the page.
     """
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack = Stack()
     parts: list[str] = []
-    linked = quiet = anchors = 0
+    linked = anchors = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = BLANKS.sub(" ", entities.unescape("".join(parts))).strip()
+            text = BLANKS.sub(" ", "".join(parts)).strip()
             if text:
-                out.append(Block(text, stack, linked))
+                out.append(Block(text, stack.top() or NOWHERE, linked))
             parts.clear()
         linked = 0
 
     def take(text: str) -> None:
         nonlocal linked
-        if text and not quiet:
-            parts.append(text)
-            if anchors:
-                linked += len(text)
+        if not text:
+            return
+        if stack.silent:
+            if stack.open[-1].name != "head" or not text.strip():
+                return
+            stack.cut(len(stack.open) - 1)
+            if stack.silent:
+                return
+        if "&" in text:
+            text = entities.unescape(text)
+        parts.append(text)
+        if anchors:
+            linked += len(text)
 
     at, size = 0, len(page)
     while at < size:
-        match = MARKUP.search(page, at)
-        if not match:
+        found = page.find("<", at)
+        if found < 0:
             take(page[at:])
             break
-        take(page[at:match.start()])
-        at = match.end()
-        if not match[2]:
+        following = page[found + 1:found + 2]
+        if following == "/":
+            after = page[found + 2:found + 3]
+            is_tag = after.isascii() and after.isalpha()
+            is_note = bool(after) and not is_tag
+        else:
+            is_tag, is_note = following.isascii() and following.isalpha(), following in ("!", "?")
+        if not (is_tag or is_note):
+            take(page[at:found + 1])
+            at = found + 1
+            continue
+        take(page[at:found])
+        if is_note:  # a comment, or what counts as one
+            end = _comment_end(page, found) if page.startswith("<!--", found) else page.find(">", found) + 1
+            if not end:
+                break
+            at = end
             continue
+        match = TAG.match(page, found)
+        if not match:
+            break
+        at = match.end()
         closing, name, attributes = bool(match[1]), match[2].lower(), match[3]
+        if stack.open and stack.open[-1].name == "head" and not closing and name not in HEAD_PARTS:
+            stack.cut(len(stack.open) - 1)
         if not closing:
-            if name in RAW and not attributes.endswith("/"):  # up to its own end tag there is no markup
+            foreign = stack.nearest(FOREIGN)
+            if name in RAW and foreign < 0:
                 if name == "textarea" or name not in INLINE:
                     flush()
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                end = RAW_END[name].search(page, at)
                 at = end.end() if end else size
                 continue
             if name in INLINE:
@@ -110,34 +201,42 @@ def blocks(page: str) -> list[Block]:
                     take(" ")
                 continue
             flush()
-            while stack and stack[-1][0] == "p":
-                stack.pop()
+            if name in BREAKS:
+                if foreign >= 0 and stack.nearest(("foreignobject",)) < foreign:
+                    stack.cut(stack.places[stack.open[foreign].name][0])
+                if (place := stack.nearest(("select",))) >= 0:
+                    stack.cut(place)
+            while stack.open and stack.open[-1].name == "p":
+                stack.cut(len(stack.open) - 1)
             if name in ENDS:
                 ended, until = ENDS[name]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in until:
-                        break
-                    if stack[i][0] in ended:
-                        del stack[i:]
-                        break
-            if name not in VOID and not attributes.endswith("/"):
-                stack.append((name, hints_of(attributes)))
-                quiet += name in SILENT
+                place = stack.nearest(ended)
+                if place > stack.nearest(until):
+                    stack.cut(place)
+            ended_here = attributes.endswith("/") and (foreign >= 0 or name in FOREIGN)
+            if name not in VOID and not ended_here:
+                stack.push(name, hints_of(attributes))
         elif name in INLINE:
             if name == "a" and anchors:
                 anchors -= 1
         else:
             flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    quiet -= sum(t in SILENT for t, _ in stack[i:])
-                    del stack[i:]
-                    break
+            if (place := stack.nearest((name,))) >= 0:
+                stack.cut(place)
             anchors = 0
     flush()
     return out
 
 
+def _comment_end(page: str, start: int) -> int:
+    """Behind the comment that begins at a place; 0 if it never ends."""
+    for short in ("<!-->", "<!--->"):
+        if page.startswith(short, start):
+            return start + len(short)
+    end = COMMENT_END.search(page, start + 4)
+    return end.end() if end else 0
+
+
 # --- features ---------------------------------------------------------------------------------------------------------
 
 
@@ -147,12 +246,12 @@ def features(page: list[Block]) -> list[list[str]]:
     for i, block in enumerate(page):
         text, n = block.text, len(block.text)
         words = text.count(" ") + 1
-        own = ["bias", "leaf=" + (block.tags[-1] if block.tags else "none"), f"words={min(words.bit_length(), 6)}",
-               f"linked={min(4, 5 * block.linked // max(n, 1))}", f"depth={min(len(block.tags), 8)}"]
-        own += ["in=" + t for t in sorted(set(block.tags)) if t not in ("html", "body")]
-        own += ["hint=" + h for h in sorted(block.hints)]
-        own += ["near=" + h for h in sorted(block.near)]
-        own.append("part=" + next((t for t in reversed(block.tags) if t in PARTS), "none"))
+        own = ["bias", "leaf=" + block.leaf.name, f"words={min(words.bit_length(), 6)}",
+               f"linked={min(4, 5 * block.linked // max(n, 1))}", f"depth={min(block.leaf.depth, 8)}"]
+        own += ["in=" + t for t in sorted(block.leaf.names) if t not in ("html", "body")]
+        own += ["hint=" + h for h in sorted(block.leaf.hints)]
+        own += ["near=" + h for h in sorted(block.leaf.near)]
+        own.append("part=" + block.leaf.part)
         if text[-1] in ".!?…":
             own.append("sentence")
         if "©" in text or "copyright" in text.lower():
@@ -374,6 +473,7 @@ def labelled_pages(count: int, seed: int = 3) -> list[tuple[str, list[str]]]:
     return made
 
 
+@lru_cache(maxsize=2)
 def trained(pages: int = 1000, seed: int = 3) -> Model:
     """The model, trained here on ``pages`` labelled pages."""
     learned = []

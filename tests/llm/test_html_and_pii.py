@@ -1,6 +1,7 @@
 import hashlib
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -67,6 +68,41 @@ def test_page_cases(spark, reader):
     assert hc.extracted(pages.limit(0), reader).count() == 0
 
 
+STORY = "".join(f"<p>{x} of the story, which goes on and on for a while.</p>" for x in ("The first part", "The second part", "The third part"))
+
+
+@pytest.mark.parametrize("before", [
+    "<html><head><title>T</title><body>", "<head><title>T</title>", "<head><meta charset=x><link rel=y>\n", "<html><head><title>T</title></head><body>",
+    "<head><script src='x'/>var a=1;</script><body>", "<body><svg><path d='M0'/><g>", "<body><select><option>One", "<body><svg/><math/>",
+    "<body><template><template><p>no</p></template><p>no</p></template>", "<body data-x='a > b' title=\"c>d\">", "<!DOCTYPE html><?xml?></>",
+    "<body><!--> <!---> <!-- a > b --!>"])
+def test_open_heads_and_odd_markup_lose_no_text(reader, before):
+    assert hc.main_text(reader, f"{before}<article>{STORY}</article>") == "\n".join(re.findall("<p>(.*?)</p>", STORY))
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<p title=don't>one</p>", ["one"]), ("<p title='a>b' x=\"'>'\" y=/z/>one</p>", ["one"]), ("a < b <p>1 <2</p>", ["a < b", "1 <2"]),
+    ("<p>x</p><p title='", ["x"]), ("<p>a<b>b</b>c</p>", ["abc"]), ("<p>&am<b>p;</b></p>", ["&amp;"]), ("<p>&amp;lt;</p>", ["&lt;"]),
+    ("<script>a</scripty>b</script >c", ["c"]), ("<p>a</p/ x=y>b", ["a", "b"]), ("<div a=1 a=2 =x ==y / / b>t</div>", ["t"]), ("x</ y>z</>", ["xz"]),
+    ("<title>a<p>b</title>c", ["c"]), ("<p =\"x\">t", ["t"]), ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", ["a", "b", "c", "d"])])
+def test_markup_by_the_states_of_html(page, want):
+    assert [b.text for b in hc.blocks(page)] == want
+
+
+@pytest.mark.parametrize("piece", [
+    "<a ", "</x", "<p title='", "<", "<!", "<!--", "</", "<p a=\"", "<div>a", "</div>", "<li>", "<td>", "<td></td>", "</script ", "<script>", "=", "&",
+    "<p a=b ", "<svg>", "<svg><g>", "<select>", "<head>", "<ul><li>", "<b", "<p>a</b>", "<p =", "<p a  ", "<table><tr><td>", "<a href=x>b", "<!-", "a&b;"])
+def test_any_markup_takes_linear_time(piece):
+    """Eight times the length may take no more than about eight times as long."""
+    def seconds(times):
+        page = "<div>" * 2000 + piece * times
+        begin = time.process_time()
+        hc.blocks(page)
+        return time.process_time() - begin
+
+    assert seconds(160_000) < 24 * max(seconds(20_000), 0.02)
+
+
 def test_viterbi_is_the_best_labelling(reader):
     draw = np.random.default_rng(0)
     names = sorted(reader.place)
