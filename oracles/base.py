@@ -132,7 +132,7 @@ t2 AS (
     language = 'python' AND depth - delta = 0 AND (brk OR p1 IN (';', ':')) AS begins
   FROM t1
 ),
-t AS (
+t AS MATERIALIZED (
   SELECT *,
     max(CASE WHEN begins THEN pos END) OVER (PARTITION BY file_id ORDER BY pos) AS stmt_pos,
     max(CASE WHEN line_start THEN pos END) OVER (PARTITION BY file_id ORDER BY pos) AS line_pos,
@@ -140,10 +140,9 @@ t AS (
   FROM t2
 ),
 head AS (SELECT file_id, pos, tok, line FROM t WHERE begins),
-opener AS (
-  SELECT o.file_id, o.pos, o.level, o.tok, o.p1, o.p2, o.p3, o.pk1, o.pk2, o.p1_line, o.line_start,
-    min(c.pos) AS close_pos
-  FROM t o LEFT JOIN t c ON c.file_id = o.file_id AND c.level = o.level AND c.delta < 0 AND c.pos > o.pos
-  WHERE o.delta > 0 GROUP BY ALL
+opener AS MATERIALIZED (
+  SELECT file_id, pos, level, tok, p1, p2, p3, pk1, pk2, p1_line, line_start, close_pos
+  FROM (SELECT *, min(CASE WHEN delta < 0 THEN pos END) OVER (
+    PARTITION BY file_id, level ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS close_pos FROM t) WHERE delta > 0
 ),
 shape AS (SELECT o.*, c.n1 AS after, c.p1 AS last_in FROM opener o LEFT JOIN t c ON c.file_id = o.file_id AND c.pos = o.close_pos)"""

@@ -31,7 +31,7 @@ java_import AS (
 )"""
 
 DEFS = f"""
-py_line AS (SELECT * FROM t WHERE line_start),
+py_line AS MATERIALIZED (SELECT * FROM t WHERE line_start),
 py_def AS (
   SELECT d.file_id, d.pos, d.n1 AS name, d.line, min(e.pos) AS end_pos
   FROM py_line d JOIN py_line e ON e.file_id = d.file_id AND e.pos > d.pos AND e.margin <= d.margin
@@ -42,7 +42,7 @@ py_start AS (
       (SELECT max(x.pos) FROM py_line x WHERE x.file_id = d.file_id AND x.pos < d.pos AND x.tok <> '@'), -1)) AS start_pos
   FROM py_def d
 ),
-method AS (
+method AS MATERIALIZED (
   SELECT s.file_id, s.pos, s.p1 AS name, s.p1_line AS line, s.close_pos, min(b.pos) AS body_pos, min_by(b.close_pos, b.pos) AS end_pos
   FROM shape s JOIN good g ON g.file_id = s.file_id AND g.language = 'java'
   JOIN opener b ON b.file_id = s.file_id AND b.level = s.level AND b.tok = '{{' AND b.pos > s.close_pos
@@ -50,9 +50,9 @@ method AS (
   GROUP BY s.file_id, s.pos, s.p1, s.p1_line, s.close_pos
 ),
 type_body AS (
-  SELECT o.file_id, o.pos FROM t o WHERE o.language = 'java' AND o.tok = '{{' AND EXISTS (
-    SELECT 1 FROM t k WHERE k.file_id = o.file_id AND k.pos < o.pos AND k.tok IN ('class', 'interface', 'enum')
-      AND NOT EXISTS (SELECT 1 FROM t b WHERE b.file_id = o.file_id AND b.pos > k.pos AND b.pos < o.pos AND b.tok IN (';', '{{', '}}')))
+  SELECT file_id, pos FROM (SELECT *, last_value(CASE WHEN tok IN ('class', 'interface', 'enum', ';', '{{', '}}') THEN tok END IGNORE NULLS) OVER (
+    PARTITION BY file_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_word FROM t WHERE language = 'java')
+  WHERE tok = '{{' AND last_word IN ('class', 'interface', 'enum')
 ),
 declared AS (
   SELECT file_id, 'python' AS language, pos, n1 AS name, line FROM t WHERE language = 'python' AND tok = 'def' AND p1 <> 'async'
@@ -100,7 +100,7 @@ marked AS (
     last_value(CASE WHEN tok = 'lambda' THEN 1 WHEN delta > 0 OR line_start OR tok = ':' THEN 0 END IGNORE NULLS) OVER before AS in_lambda
   FROM t WINDOW before AS (PARTITION BY file_id, level ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ),
-py_name AS (
+py_name AS MATERIALIZED (
   SELECT m.*, h.tok AS stmt_tok FROM marked m LEFT JOIN head h ON h.file_id = m.file_id AND h.pos = m.stmt_pos
   LEFT JOIN opener o ON o.file_id = m.file_id AND o.pos = m.open_pos AND m.level > 0
   WHERE m.language = 'python' AND m.kind = 'n' AND m.p1 NOT IN ('.', 'def', 'class')

@@ -23,6 +23,14 @@ _TIGHTER = ["+", "-", "*", "/", "//", "%", "**", "@", "|", "&", "^", "<<", ">>",
 _COMPARISONS = ["==", "!=", "<", ">", "<=", ">=", "is", "in"]
 _BEFORE_CONSTRUCTOR = ["public", "protected", "private", ";", "{", "}"]
 _STARS = ["*", "**"]
+# What stands before a Java brace that holds statements, what may stand before its end, and words that may follow a
+# call although they look like names.
+_BEFORE_CODE = [")", "else", "try", "do", "finally", "->", ";", ":", "static"]
+_BEFORE_END = [";", "}", "{", ":"]
+_AFTER_CALL = ["when", "throws", "permits"]
+# Python words that go on with the statement above them, and how that one may begin.
+CONTINUES = {"else": ["if", "elif", "for", "while", "except"], "elif": ["if", "elif"], "except": ["try", "except"],
+              "finally": ["try", "except", "else"]}
 
 
 def _type_like(token: str, kind: str) -> Column:
@@ -186,11 +194,19 @@ def _opening() -> Column:
         _type_like("p2", "pk2") & ~one_of("p2", "record") & ~one_of("p3", ".", "@")
         & ~(is_("pk2", "g") & one_of("p3", *_BEFORE_CONSTRUCTOR))
     )
+    plain_def = is_py() & (F.col("tok") == "(") & is_("p2", "def")
+    # def name[T](...): in a header a bracket on the outermost level follows another one only there
+    generic_def = (
+        is_py() & (F.col("tok") == "(") & is_("p1", "]") & (F.col("level") == 1) & is_("stmt.tok", "def") & ~is_("above.tok", "@")
+    )
+    def_pos = F.when(plain_def, F.col("pos") - 2).when(generic_def, F.col("stmt.pos"))
+    below_at = F.when(plain_def, F.col("def_below_at")).otherwise(F.col("line_below_at"))
     return F.when(F.col("tok").isin(lexing.OPENERS), F.struct(
         F.col("tok").alias("tok"), F.col("pos").alias("pos"), callee.alias("callee"), F.col("p1_line").alias("line"),
         F.coalesce(py_call | java_call, F.lit(False)).alias("calls"),
-        F.when(is_py() & (F.col("tok") == "(") & is_("p2", "def"), F.when(F.col("def_below_at"), F.col("run_pos"))
-               .otherwise(F.col("pos") - 2)).alias("def_start"),
+        def_pos.alias("def_pos"), F.when(def_pos.isNotNull() & below_at, F.col("run_pos")).otherwise(def_pos).alias("def_start"),
+        (is_java() & (F.col("tok") == "{") & one_of("p1", *_BEFORE_CODE)).alias("code"),
+        F.coalesce(is_java() & named & ~one_of("p2", "@", "record"), F.lit(False)).alias("named"),
         F.coalesce(is_java() & named & ~dotted & typed, F.lit(False)).alias("declares"),
         F.col("opens_type").alias("opens_type"),
     ))
@@ -213,6 +229,11 @@ def local_roles(rows: DataFrame) -> DataFrame:
         # neighbours in brackets
         "after_open": is_("p1", "("), "after_comma": is_("p1", ","), "after_star": one_of("p1", *_STARS),
         "ends_header": (tok == ")") & one_of("t1", "{", "throws"),
+        # how the statement of a line begins, and Java tokens that end or continue one
+        "begins_with": F.when(is_py() & F.col("line_start"), F.when(tok == "async", F.col("t1")).otherwise(tok)),
+        "ends_open": is_java() & (tok == "}") & ~one_of("p1", *_BEFORE_END),
+        "ends_try": is_java() & (tok == "}") & ~(F.coalesce(F.col("t1").startswith("catch"), F.lit(False)) | is_("t1", "finally")),
+        "runs_on": is_java() & (tok == ")") & one_of("k1", "n", "d", "s") & ~one_of("t1", *_AFTER_CALL),
         "is_default_none": is_py() & (tok == "None") & is_("p1", "=") & one_of("t1", ",", ")"),
         "may_be_param": is_java() & (kind == "n") & ~F.contains(tok, F.lit(".")) & one_of("t1", ",", ")")
         & ((_type_like("p1", "pk1") & ~is_("p1", "]")) | (is_("p1", ".") & is_("p2", "."))),
@@ -251,6 +272,8 @@ def grouped(rows: DataFrame) -> DataFrame:
         "named": F.sum(F.when(is_py() & plain & (
             (tok == "=") | ((tok == "**") & (F.col("after_open") | F.col("after_comma")))
         ), 1).otherwise(0)).over(level_so_far()),
+        # each else of a Java block goes with an if of the same block
+        "ifs": F.sum(F.when(is_java() & (tok == "if"), 1).when(is_java() & (tok == "else"), -1).otherwise(0)).over(level_so_far()),
         "prior_grp": F.lag("grp", 1).over(level_order()),
         "prior_ends_header": F.lag("ends_header", 1).over(level_order()),
     })
@@ -260,11 +283,18 @@ def grouped(rows: DataFrame) -> DataFrame:
         F.struct(F.col("prior_grp.callee").alias("name"), F.col("prior_grp.pos").alias("fkey"), F.col("prior_grp.line").alias("line")),
     )
     rows = rows.withColumn("body", method)
-    counts = F.struct("commas", "named", F.col("body.fkey").alias("fkey"))
+    counts = F.struct("commas", "named", "ifs", F.col("body.fkey").alias("fkey"))
     rows = rows.withColumn("at_open", last_where(opener, counts, level_so_far()))
 
     pairs = F.create_map(*[F.lit(x) for pair in zip(lexing.CLOSERS, lexing.OPENERS) for x in pair])
     mismatch = closer & ~F.col("grp.tok").eqNullSafe(pairs[tok])
+    in_code = F.col("grp.code")
+    java_fault = (
+        F.when(F.col("ends_open") & in_code, F.lit("';' expected"))
+        .when(F.col("ends_try") & in_code & is_("grp.callee", "try"), F.lit("'try' without 'catch', 'finally' or resource declarations"))
+        .when(F.col("runs_on") & (F.col("grp.tok") == "(") & F.col("grp.named"), F.lit("';' expected"))
+        .when(is_java() & (tok == "else") & (F.col("ifs") < F.coalesce("at_open.ifs", F.lit(0))), F.lit("illegal start of type"))
+    )
     in_signature = F.col("grp.def_start").isNotNull()
     in_declared = F.coalesce(F.col("grp.declares"), F.lit(False))
     use = F.col("py_name") & ~(in_signature & slot) & ~(F.col("in_lambda") & (F.col("after_comma") | F.col("after_star")))
@@ -291,7 +321,7 @@ def grouped(rows: DataFrame) -> DataFrame:
     return rows.select(
         "file_id", "language", "pos", "line", "line_start", "indent", "margin_above", "below_at",
         (tok == "@").alias("is_at"),
-        F.coalesce("fault", F.when(mismatch, F.lit("unbalanced bracket"))).alias("fault"),
+        F.coalesce("fault", F.when(mismatch, F.lit("unbalanced bracket")), java_fault).alias("fault"), "begins_with",
         "import", "module", "stmt_line", "attr", call.alias("call"),
         F.when(handler["body"] == "empty", F.struct(
             handler["body"].alias("body"), handler["types"].alias("types"), F.col("try_line").alias("line")))
@@ -308,7 +338,7 @@ def grouped(rows: DataFrame) -> DataFrame:
         (py_param | java_param).alias("is_param"),
         (F.col("guard") & (is_java() | use)).alias("is_guard"),
         (F.col("deref") | (F.col("indexed") & use)).alias("is_deref"),
-        F.when(F.col("is_def"), F.col("pos")).when(py_param, F.col("grp.pos") - 2).when(java_param, F.col("grp.pos"))
+        F.when(F.col("is_def"), F.col("pos")).when(py_param, F.col("grp.def_pos")).when(java_param, F.col("grp.pos"))
         .when(F.col("body").isNotNull(), F.col("body.fkey")).when(closes_body.isNotNull(), closes_body).alias("fkey"),
         # where the names of a function begin: its decorators, or the parameter list in Java
         F.when(py_param, F.col("grp.def_start")).when(java_param, F.col("grp.pos")).alias("param_start"),

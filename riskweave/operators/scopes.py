@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from riskweave.operators.tokens import before, is_py, last_where, so_far
+from riskweave.operators import groups
+from riskweave.operators.tokens import before, is_, is_py, last_where, one_of, so_far
 
 
 def name_uses(rows: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def spanned(rows: DataFrame) -> DataFrame:
     """
     used_here = [
         "decision", "line_start", "is_at", "below_at", "is_def", "def_name", "indent", "margin_above", "body", "closes_body",
-        "fkey", "fault",
+        "fkey", "fault", "begins_with",
     ]
     passed = [c for c in rows.columns if c not in used_here]
     rows = rows.withColumn("upto", F.sum("decision").over(so_far()))
@@ -74,12 +75,22 @@ def spanned(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({
         "next": F.lead(F.struct("pos", (F.col("upto") - F.col("decision")).alias("upto"))).over(same_margin),
         "prior_own": F.lag(own).over(same_margin),
+        # how the statements above and below begin that are in the same block
+        "prior_begins": F.lag(F.when(own, F.col("begins_with"))).over(same_margin),
+        "next_begins": F.lead(F.when(own, F.col("begins_with"))).over(same_margin),
     })
+    alone = F.lit(False)
+    for word, after in groups.CONTINUES.items():
+        alone = alone | (is_("begins_with", word) & ~one_of("prior_begins", *after))
+    unhandled = is_("begins_with", "try") & ~one_of("next_begins", "except", "finally")
     dedent = F.col("line_start") & (F.col("indent") < F.col("margin_above")) & ~F.coalesce("prior_own", F.lit(False))
     opens_body, closes = F.col("body").isNotNull(), F.col("closes_body")
     rows = rows.filter((F.col("margin") == -1) | own).select(
         *passed, "fkey", "is_def", opens_body.alias("is_body"),
-        F.coalesce("fault", F.when(dedent, F.lit("unindent does not match any outer indentation level"))).alias("fault"),
+        F.coalesce(
+            "fault", F.when(dedent, F.lit("unindent does not match any outer indentation level")),
+            F.when(own & alone, F.lit("invalid syntax")), F.when(own & unhandled, F.lit("expected 'except' or 'finally' block")),
+        ).alias("fault"),
         F.when(F.col("is_def"), F.struct(
             F.col("def_name").alias("name"), "line", F.col("start.pos").alias("start"), F.col("next.pos").alias("end"),
             F.col("start.upto").alias("from_upto"), F.col("next.upto").alias("to_upto"),

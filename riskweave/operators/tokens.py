@@ -142,6 +142,7 @@ def placed(token_rows: DataFrame) -> DataFrame:
         "t3": F.lead("tok", 3).over(file_order()), "t4": F.lead("tok", 4).over(file_order()),
         "n_types": F.sum(F.when(F.col("tok").isin(_TYPE_WORDS), 1).otherwise(0)).over(so_far()),
         "n_stray": F.sum(F.when(F.col("tok").isin("{", ";"), 1).when(F.col("tok").isin("import", "package"), -1).otherwise(0)).over(so_far()),
+        "k1": F.lead("kind", 1).over(file_order()),
         "pk1": F.lag("kind", 1).over(file_order()), "pk2": F.lag("kind", 2).over(file_order()),
         "next_brk": F.lead("brk", 1).over(file_order()),
         "next_indent": F.lead("indent", 1).over(file_order()),
@@ -172,6 +173,7 @@ def placed(token_rows: DataFrame) -> DataFrame:
             F.struct(F.col("stmt.pos").alias("stmt_pos"), module.alias("module")), so_far()),
         # where the latest run of decorators starts, and whether the def two tokens back is below one
         "run_pos": last_where(F.col("line_start") & (F.col("tok") == "@") & ~below_at, F.col("pos"), so_far()),
+        "line_below_at": F.coalesce(last_where(F.col("line_start"), below_at, so_far()), F.lit(False)),
         "def_below_at": F.coalesce(F.lag(below_at & F.col("line_start"), 2).over(file_order()), F.lit(False)),
     })
 
@@ -189,6 +191,11 @@ _PY_BINARY = [
     "&=", "@=", ":=", "<<", ">>", "<<=", ">>=", "**=",
 ]
 _PY_OPEN_ENDED = [*_PY_BINARY, "+", "-", "*", "**", "~", "@", "->", "and", "or", "not", "in", "is", "import"]
+_PY_WORD_BINARY = ["and", "or", "is", "in"]
+_PY_BEFORE_OPERAND = [
+    *lexing.OPENERS, "if", "elif", "while", "return", "for", "with", "assert", "raise", "del", "class", "def", "yield", "await", "lambda",
+]
+_PY_CONDITIONS = ["if", "elif", "while", "return", "assert", "raise", "del"]
 _JAVA_OPEN_ENDED = ["=", "==", "!=", "+", "-", "*", "/", "%", "&&", "||", "&", "|", "^", ","]
 _JAVA_PRIMITIVES = ["int", "long", "double", "float", "boolean", "char", "byte", "short"]
 _JAVA_SOFT_WORDS = [
@@ -216,6 +223,19 @@ def token_faults(rows: DataFrame) -> DataFrame:
         | (tok.isin(_STATEMENT_WORDS) & (F.col("kind") == "k") & ~F.col("begins"))
         | ((tok == "import") & ~F.col("begins") & ~is_("stmt.tok", "from"))
         | ((tok == "in") & is_("p1", "for"))
+        # an operator before the end of its brackets or item (not those that a parameter list may hold alone), or with nothing before it
+        | (tok.isin([x for x in _PY_OPEN_ENDED if x not in ("*", "**", "/", "import")]) & one_of("t1", *lexing.CLOSERS, ":", ","))
+        | (tok.isin(_PY_BINARY) & (one_of("p1", *_PY_BEFORE_OPERAND) | (is_("p1", ",") & (tok != "/"))))
+        | (tok.isin(_PY_WORD_BINARY) & (one_of("p1", *_PY_BEFORE_OPERAND, ",", *_PY_BINARY, "and", "or", "is")
+                                        | (is_("p1", "not") & (tok != "in"))))
+        | ((tok == "not") & F.coalesce(after_operand, F.lit(False)) & ~is_("t1", "in") & ~F.col("begins"))
+        | ((tok == "not") & is_("t1", "in") & ~F.coalesce(after_operand, F.lit(False)))
+        | ((F.col("kind") == "k") & F.contains(tok, F.lit(".")) & ~tok.rlike(r"^(None|True|False)\."))
+        # a dot between something and a name; three of them are a value, and relative imports have some
+        | ((tok == ".") & ~is_("t1", ".") & ~is_("p1", ".") & ~is_("stmt.tok", "from") & (
+            ~one_of("k1", "n", "k", "d") | ~(F.coalesce(after_operand, F.lit(False)) | is_("k1", "d"))))
+        | (tok.isin("class", "def") & (F.col("kind") == "k") & ~is_("k1", "n"))
+        | ((tok == "=") & one_of("stmt.tok", *_PY_CONDITIONS) & (F.col("depth") == 0))
     )
     no_colon = above["tok"].isin(_BLOCK_WORDS) & ~F.coalesce(F.col("colon_pos") > above["pos"], F.lit(False))
     over = F.col("indent") > F.coalesce(above["indent"], F.lit(0))
@@ -236,6 +256,9 @@ def token_faults(rows: DataFrame) -> DataFrame:
     java = (
         F.when(at_end & F.col("p1").isNotNull() & ~one_of("p1", ";", "}"), F.lit("reached end of file"))
         .when(at_end & (F.col("n_types") == 0) & (F.col("n_stray") > 0), F.lit("class, interface, enum, or record expected"))
+        .when((tok == "else") & ~one_of("p1", ";", "}"), F.lit("illegal start of type"))
+        .when((tok == "finally") & ~one_of("p1", "}"), F.lit("'finally' without 'try'"))
+        .when(tok.startswith("catch") & (F.col("kind") == "k") & ~one_of("p1", "}"), F.lit("'catch' without 'try'"))
         .when(
             (tok.isin(_JAVA_OPEN_ENDED) & one_of("t1", ";", ")", "]") & ~((tok == "*") & is_("p1", "."))
              & ~(tok.isin("+", "-") & F.coalesce(F.col("p1") == tok, F.lit(False))))

@@ -79,7 +79,7 @@ def reports(
     rows = rows.select(
         "file_id", "language", "pos", "line", "head", "name", "import", "module", "declared", "is_param", "next_guard",
         "next_deref", "decision", "line_start", "is_at", "below_at", "is_def", "def_name", "indent", "margin_above",
-        "body", "closes_body", "fkey", "fault", F.when(stating, chosen(rules.row_hits())).alias("said"),
+        "body", "closes_body", "fkey", "fault", "begins_with", F.when(stating, chosen(rules.row_hits())).alias("said"),
         F.when(stating, chosen(rules.row_hits(), second=True)).alias("also_said"),
     )
     rows = scopes.spanned(rows)

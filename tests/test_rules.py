@@ -65,6 +65,18 @@ CASES = {
     **{f"no syntax error {code!r}": ("python", code + "\n", []) for code in (
         "x = [\n    a + b,\n]", "def f(a, /, *, b): return a", "x = not a", "x[1, ...] = -a", "y = a if b else -c", "f(*a, **b)", "x = (a +\n     b)",
         "@f\ndef g(): pass", "x = a \\\n    + b", "if a: pass\nelse: pass", "def f() -> int: return 1", "lambda *a: a", "a = b = c", "x @ y", "print(a, end='')")},
+    **{f"statement of its own {code!r}": ("python", code + "\n", ["PARSE_ERROR@0"]) for code in (
+        "else:\n    pass", "if a:\n    pass\nx = 1\nelse:\n    pass", "elif a:\n    pass", "for x in y:\n    pass\nelif a:\n    pass", "finally:\n    pass",
+        "except:\n    pass", "try:\n    pass\nx = 1", "def f():\n    try:\n        pass\n", "try:\n    pass\nelse:\n    pass", "with a:\n    pass\nelse:\n    pass",
+        "if a:\n    if b:\n        pass\n    x = 1\n    else:\n        pass", "if a:\n    pass\nfinally:\n    pass", "def f():\n    if a:\n        pass\nelse:\n    pass")},
+    **{f"statements that go together {code!r}": ("python", code + "\n", []) for code in (
+        "if a:\n    pass\nelif b:\n    pass\nelse:\n    pass", "for x in y:\n    pass\nelse:\n    pass", "while a:\n    if b: pass\n    else: pass\nelse:\n    pass",
+        "async def f():\n    async for x in y:\n        pass\n    else:\n        pass",
+        "try:\n    a()\nexcept B:\n    c()\nexcept D:\n    e()\nelse:\n    pass\nfinally:\n    pass", "try: a()\nfinally: b()",
+        "if a:\n    if b:\n        pass\n    # told\n\n    else:\n        pass\nelse:\n    pass", "x = (1 if a\nelse 2)", "if a:\n\tpass\nelse:\n\tpass")},
+    "parameters of a function with type parameters": ("python", "def f[T](u=None):\n    return u.x\n\n@d\ndef g[K: (int, str), V](a, w=None):\n    return w.x\n",
+        ["MISSING_NONE_CHECK@2", "MISSING_NONE_CHECK@6"]),
+    "a subscripted call is no signature": ("python", "def f(a):\n    return a[0](u=None)\nx = f[1](2)\n", []),
     "guard in brackets": ("python", "def f(u=None, v=None, w=None):\n    if not (u):\n        return\n    if (v) is None or (w) is not None:\n        return\n    return u.x + v.x + w.x\n", []),
     "call is no guard": ("python", "def f(u=None):\n    if g(u) is None:\n        return\n    return u.x\n", ["MISSING_NONE_CHECK@4"]),
     "crlf and tabs": ("python", "if a:\r\n\tb = 1\r\n\tif b:\r\n\t\tc = 1\r\nd = 1\r\n", []),
@@ -96,9 +108,18 @@ CASES = {
     "comparisons are no generics": ("java", JAVA("  int a = Math.max(a < b, 1, c > d);\n  double b = Math.sqrt(a < b, c > d);"), ["ARGUMENT_MISMATCH@2", "ARGUMENT_MISMATCH@3"]),
     "annotated catch": ("java", JAVA('  void f() {\n    try { a(); } catch (@Ann("x") Exception e) { }\n  }'), ["SWALLOWED_EXCEPTION@3"]),
     **{f"java syntax {code!r}": ("java", code, ["PARSE_ERROR@0"]) for code in (
-        JAVA("  int x = 5 int y = 6;"), JAVA("  int x = ;"), "int x = 5;", "This text says something;", "def f(a):\n    return a\n", JAVA("  int x = f(1,);"))},
+        JAVA("  int x = 5 int y = 6;"), JAVA("  int x = ;"), "int x = 5;", "This text says something;", "def f(a):\n    return a\n", JAVA("  int x = f(1,);"),
+        JAVA("  void f() { int x = 5 }"), JAVA("  void f() {\n    if (a) { g() }\n  }"), JAVA("  void f() { g() h(); }"), JAVA("  void f() { else { g(); } }"),
+        JAVA("  void f() { if (a) g(); else h(); else i(); }"), JAVA("  void f() { try { g(); } h(); }"), JAVA("  void f() { g(); finally { h(); } }"),
+        JAVA("  void f() { catch (E e) { } }"), JAVA("  void f() { for (;;) { return x } }"), JAVA("  Runnable r = () -> { g() };"), JAVA("  int f() { int y = g(1)\n int z = 2; }"))},
     **{f"no java syntax error {code!r}": ("java", code, []) for code in (
         "package a.b;\nimport java.util.*;\n" + JAVA("  int x = i++; @Ann Foo y; @A(\"b\") List<int[]> z; int w = (int) 3;"), "record Point(int x, int y) { }", "package a.b;",
+        JAVA("  int[] a = {1, 2}; int[][] b = {{1}, {2, 3}}; int[] c = new int[] {4, 5}; @A({1, 2}) int d; enum E { A, B } enum F { A(1), B(2) { void g() { } }; }"),
+        JAVA("  void f() { if (a) b(); else if (c) d(); else { e(); } do { x(); } while (y); l: { z(); } switch (k) { case 1: break; default: } }"),
+        JAVA("  void f() { try { g(); } catch (A e) { i(); } finally { h(); } try (R r = s()) { g(); } Runnable q = () -> { }; h(() -> { g(); return; }); }"),
+        JAVA("  void f() throws E { int y = (int) x; Object o = (Object) g(); if (a) g(); for (;;) h(); @B(1) int z = 3; static int w; }"),
+        JAVA("  void f() { if (a) { if (b) c(); else d(); } else e(); int r = switch (k) { case 1 -> 2; default -> { yield 3; } }; new T() { void g() { } }; }"),
+        JAVA("  @Deprecated(since = \"1\") public int f() { return 1; } static { g(); } int x() { return a ? b : c; } { h(); }"),
         JAVA("  Map<String, ? extends Number> m = new HashMap<>(); boolean b = c < d && e > f; String s = \"a\" + 'b';"))},
     "java bracket": ("java", "public class A { public void f( { } }", ["PARSE_ERROR@0"]),
     "java open string": ("java", JAVA('  String s = "abc;'), ["PARSE_ERROR@0"]),
