@@ -6,6 +6,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,16 @@ KINDS = ("email", "ip", "card", "phone")
 #: Outside, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
 #: Characters of a window, and between the beginnings of neighbouring windows.
-WINDOW, STRIDE = 64, 32
-#: Characters around a digit or an at sign that are decoded with it.
-MARGIN = 32
+WINDOW, STRIDE = 256, 224
+#: The same for learning.
+LEARN_WINDOW, LEARN_STRIDE = 128, 96
+#: Windows that are decoded together, and characters of the texts whose windows are held together.
+BATCH, GROUP_CHARS = 512, 1 << 19
 ANCHOR = re.compile(r"[0-9@]")
+#: Addresses with their signs written out, as in ``jane.doe (at) example dot org``.
+WRITTEN_OUT = re.compile(
+    r"[A-Za-z0-9._%+-]++\s*+(?:[\[({<]\s*+(?:at|AT|@)\s*+[\])}>]|(?<=\s)(?:at|AT)(?=\s))\s*+"
+    r"[A-Za-z0-9-]++(?:\s*+(?:\.|[\[({<]\s*+(?:dot|DOT|\.)\s*+[\])}>]|(?<=\s)(?:dot|DOT)(?=\s))\s*+[A-Za-z0-9-]++)++")
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -46,7 +53,7 @@ def digits_of(text: str) -> str:
 def valid(kind: int, text: str) -> bool:
     """What a match of a kind must also fulfil."""
     if kind == 0:
-        return "@" in text
+        return "@" in text or WRITTEN_OUT.fullmatch(text) is not None
     numbers = re.findall("[0-9]+", text)
     digits = "".join(numbers)
     if kind == 1:
@@ -103,6 +110,9 @@ def examples(count: int, seed: int = 5) -> list[tuple[str, list[tuple[int, int,
     def email() -> str:
         name = plain() + draw.choice(["", ".", "_", "-"]) + draw.choice([plain(), number(2), ""])
         host = draw.choice([plain(), "mail" + number(1)]) + "." + draw.choice(["example.com", "org", "net", "co.uk"])
+        if draw.random() < 0.35:
+            at, dot = draw.choice([[" at ", " dot "], [" (at) ", " (dot) "], [" [at] ", " [dot] "], ["(at)", "."], [" AT ", " DOT "], [" at ", "."]])
+            return name.strip("._-") + at + host.replace(".", dot)
         return name.strip("._-") + draw.choice(["@", "@", "@", "@", " @ ", " [@] ", "(@)"]) + host
 
     def ip() -> str:
@@ -121,7 +131,7 @@ def examples(count: int, seed: int = 5) -> list[tuple[str, list[tuple[int, int,
     def none() -> str:
         return draw.choice([f"{number(1)}.{number(1)}", number(4), f"20{number(2)}-0{number(1)}-1{number(1)}", f"v{number(1)}.{number(1)}.{number(1)}",
                             "token = \"" + "".join(draw.choice(list("0123456789abcdef"), 40)) + "\"", f"${number(3)}.{number(2)}", number(6),
-                            f"{number(2)}:{number(2)}", "@" + plain()])
+                            f"{number(2)}:{number(2)}", "@" + plain(), f"at {plain()} of {plain()}", f"{plain()} at {plain()}", f"the dot {plain()}"])
 
     makers = (email, ip, card, phone)
     made = []
@@ -178,7 +188,7 @@ def allowed() -> np.ndarray:
 class Tagger:
     """Bidirectional LSTM over characters; a linear layer gives tag scores, a CRF their transitions."""
 
-    def __init__(self, hidden: int = 24, seed: int = 1):
+    def __init__(self, hidden: int = 16, seed: int = 1):
         draw = np.random.default_rng(seed)
         self.hidden, self.name = hidden, uuid.uuid4().hex
 
@@ -212,24 +222,75 @@ class Tagger:
                 kept.append((t, before, old, gates, new, lit))
         return out
 
+    def _read(self, chars: np.ndarray, side: str) -> np.ndarray:
+        """Tag scores (time, tag, window) of one direction: ``_run`` without what learning needs, and in place."""
+        n, steps = chars.shape
+        k = self.hidden
+        halved = np.r_[np.full(3 * k, 0.5, np.float32), np.ones(k, np.float32)]  # a sigmoid is a tangent of half the value
+        table, back, out = self.p["x" + side] * halved, self.p["h" + side] * halved, self.p["o" + side].T.copy()
+        state, cell = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32)
+        z, fed, lit = (np.empty((n, m), np.float32) for m in (4 * k, 4 * k, k))
+        scores = np.empty((steps, TAGS, n), np.float32)
+        columns = chars.T.astype(np.intp)
+        for t in (range(steps) if side == "f" else reversed(range(steps))):
+            np.take(table, columns[t], axis=0, out=z, mode="clip")
+            np.matmul(state, back, out=fed)
+            z += fed
+            np.tanh(z, out=z)
+            gates = z[:, :3 * k]
+            gates *= 0.5
+            gates += 0.5
+            cell *= z[:, k:2 * k]
+            np.multiply(z[:, :k], z[:, 3 * k:], out=lit)
+            cell += lit
+            np.tanh(cell, out=lit)
+            np.multiply(z[:, 2 * k:3 * k], lit, out=state)
+            np.matmul(out, state.T, out=scores[t])
+        return scores
+
     def scores(self, chars: np.ndarray) -> np.ndarray:
-        """(time, window, tag)."""
-        return self._run(chars, "f") @ self.p["of"] + self._run(chars, "b") @ self.p["ob"] + self.p["bias"]
+        """(time, tag, window)."""
+        found = self._read(chars, "f")
+        found += self._read(chars, "b")
+        found += self.p["bias"][:, None]
+        return found
 
     def decode(self, chars: np.ndarray) -> np.ndarray:
-        """Best tags of each window by Viterbi: (window, time)."""
+        """Best tags of each window by Viterbi: (window, time).
+
+        A window is left out of the search where no tags can beat "outside" throughout: over a stretch of other tags, a bound of
+        what it gains is summed as if each step took the best tag and the best transition.
+        """
         scores, move = self.scores(chars), self.p["move"] + allowed()
-        steps, n, _ = scores.shape
-        best = scores[0] + move[TAGS]
-        came = np.empty((steps, n, TAGS), np.int8)
+        over = scores[:, 1:] - scores[:, :1]
+        best = over.max(axis=1)
+        begins = (over + (move[0, 1:] - move[0, 0])[:, None]).max(axis=1)
+        begins[0] = (over[0] + (move[TAGS, 1:] - move[TAGS, 0])[:, None]).max(axis=0)
+        best += (move[1:TAGS, 1:] - move[0, 0]).max()
+        ends = float((move[1:TAGS, 0] - move[0, 0]).max())
+        stretch = begins[0]
+        open_ = stretch + ends > -1e-3
+        for t in range(1, len(scores)):
+            stretch = np.maximum(stretch + best[t], begins[t])
+            open_ |= stretch + (ends if t < len(scores) - 1 else 0.0) > -1e-3
+        tags = np.zeros(chars.shape, np.int8)
+        if open_.any():
+            tags[open_] = self._best(scores[:, :, open_], move)
+        return tags
+
+    def _best(self, scores: np.ndarray, move: np.ndarray) -> np.ndarray:
+        """Viterbi over (time, tag, window); the way back is found by asking again where each best value came from."""
+        steps, _, n = scores.shape
+        best = np.empty_like(scores)
+        best[0] = scores[0] + move[TAGS][:, None]
+        between = move[:TAGS, :, None]
         for t in range(1, steps):
-            both = best[:, :, None] + move[None, :TAGS]
-            came[t] = both.argmax(axis=1)
-            best = both.max(axis=1) + scores[t]
-        tags = np.empty((n, steps), np.int64)
-        tags[:, -1] = best.argmax(axis=1)
+            (best[t - 1][:, None] + between).max(axis=0, out=best[t])
+            best[t] += scores[t]
+        tags = np.empty((n, steps), np.int8)
+        tags[:, -1] = last = best[-1].argmax(axis=0)
         for t in range(steps - 1, 0, -1):
-            tags[:, t - 1] = came[t][np.arange(n), tags[:, t]]
+            tags[:, t - 1] = last = (best[t - 1] + move[:TAGS, last]).argmax(axis=0)
         return tags
 
     def gradients(self, chars: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -291,16 +352,16 @@ class Tagger:
         chars, tags = [], []
         for text, spans in texts:
             x, y = symbols(text), tags_of(len(text), spans)
-            for at in range(0, max(len(x) - STRIDE, 1), STRIDE):
-                part = x[at:at + WINDOW]
-                mark = y[at:at + WINDOW].copy()
+            for at in range(0, max(len(x) - (LEARN_WINDOW - LEARN_STRIDE), 1), LEARN_STRIDE):
+                part = x[at:at + LEARN_WINDOW]
+                mark = y[at:at + LEARN_WINDOW].copy()
                 inside = 0
                 while inside < len(mark) and at and mark[inside] and mark[inside] % 2 == 0:
                     inside += 1  # a span that began before the window begins here
                 if inside:
                     mark[0] -= 1
-                chars.append(np.pad(part, (0, WINDOW - len(part)), constant_values=PAD))
-                tags.append(np.pad(mark, (0, WINDOW - len(mark))))
+                chars.append(np.pad(part, (0, LEARN_WINDOW - len(part)), constant_values=PAD))
+                tags.append(np.pad(mark, (0, LEARN_WINDOW - len(mark))))
         chars, tags = np.array(chars), np.array(tags)
         draw = np.random.default_rng(seed)
         mean = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -323,56 +384,31 @@ class Tagger:
         return losses
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches around digits and at signs. Every kind holds one of them by its definition (``valid``), so outside of these
-    stretches nothing can be a span, and there is nothing to decode."""
-    out: list[tuple[int, int]] = []
-    for match in ANCHOR.finditer(text):
-        start, end = max(0, match.start() - MARGIN), min(len(text), match.end() + MARGIN)
-        if out and start <= out[-1][1]:
-            out[-1] = out[-1][0], end
-        else:
-            out.append((start, end))
-    return out
-
-
-def windows(text: str) -> list[tuple[int, int]]:
-    """(start, end) of overlapping windows over the regions of a text."""
-    found = []
-    for start, end in regions(text):
-        at = start
-        while True:
-            found.append((at, min(at + WINDOW, end)))
-            if at + WINDOW >= end:
-                break
-            at += STRIDE
-    return found
+def windows(text: str) -> np.ndarray:
+    """Symbols of the overlapping windows of a whole text, one row each, the last one filled up."""
+    count = max(1, -(-(len(text) - (WINDOW - STRIDE)) // STRIDE))
+    padded = np.full((count - 1) * STRIDE + WINDOW, PAD, np.uint8)
+    padded[:len(text)] = symbols(text)
+    return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
 
 
-def reconciled(text: str, parts: list[tuple[int, int]], tags: np.ndarray) -> list[tuple[int, int, int]]:
+def reconciled(text: str, tags: np.ndarray) -> list[tuple[int, int, int]]:
     """Spans of a text from the tags of its windows: each character takes the tag of the window that it is deepest in."""
-    chosen: dict[int, tuple[int, int]] = {}
-    for (start, end), own in zip(parts, tags, strict=True):
-        for i in range(end - start):
-            depth = min(i if start else WINDOW, end - start - 1 - i if end < len(text) else WINDOW)
-            if own[i] or start + i in chosen:
-                if depth > chosen.get(start + i, (-1, 0))[0]:
-                    chosen[start + i] = depth, int(own[i])
-            else:
-                chosen[start + i] = depth, 0
-    spans, at = [], None
-    for i in sorted(chosen):
-        tag = chosen[i][1]
+    count, half = len(tags), (WINDOW - STRIDE) // 2
+    core = tags.copy()
+    core[1:, :half] = 0  # the window before is deeper there
+    core[:-1, WINDOW - half:] = 0
+    row, column = np.nonzero(core)
+    spans: list[list[int]] = []
+    for i, tag in sorted(zip((row * STRIDE + column).tolist(), core[row, column].tolist(), strict=True)) if count else []:
         kind = (tag - 1) // 2
-        if tag and at and at[2] == i and at[0] == kind and tag % 2 == 0:
-            at[2] = i + 1
-        elif tag:
-            at = [kind, i, i + 1]
-            spans.append(at)
+        if spans and spans[-1][2] == i and spans[-1][0] == kind and tag % 2 == 0:
+            spans[-1][2] = i + 1
         else:
-            at = None
+            spans.append([kind, i, i + 1])
     trimmed = []
     for kind, start, end in spans:
+        end = min(end, len(text))
         while start < end and text[start].isspace():
             start += 1
         while end > start and (text[end - 1].isspace() or text[end - 1] in ".,;:!?"):
@@ -395,19 +431,31 @@ def united(base: list[tuple[int, int, int]], more: list[tuple[int, int, int]]) -
     return sorted(set(base) | set(free))
 
 
-def trained(texts: int = 1500, rounds: int = 3) -> Tagger:
+@lru_cache(maxsize=2)
+def trained(texts: int = 1500, rounds: int = 6) -> Tagger:
     """The tagger, trained here on ``texts`` labelled texts."""
     tagger = Tagger()
     tagger.train(examples(texts), rounds)
     return tagger
 
 
-def personal_data(documents: DataFrame, tagger: Tagger | None = None, batch_windows: int = 2048) -> DataFrame:
+def tagged(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+    """The model's spans of whole texts; all their windows are decoded, in batches over the texts."""
+    parts = [windows(text) if text else np.empty((0, WINDOW), np.uint8) for text in texts]
+    chars = np.concatenate(parts) if parts else np.empty((0, WINDOW), np.uint8)
+    tags = [model.decode(chars[at:at + BATCH]) for at in range(0, len(chars), BATCH)]
+    every = np.concatenate(tags) if tags else np.empty((0, WINDOW), np.int8)
+    ends = np.cumsum([len(x) for x in parts])
+    return [reconciled(text, every[end - len(part):end]) for text, part, end in zip(texts, parts, ends, strict=True)]
+
+
+def personal_data(documents: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """Per row: ``doc_id``; ``n_email``, ``n_ip``, ``n_card``, ``n_phone`` (base spans); ``base_sha256``; ``spans`` (all of them,
     ``kind:start:end``, code points, by kind and start); ``n_added`` (spans of the model alone).
 
-    Null and empty texts have no spans; repeated rows and null ids stay; other columns are ignored; an empty table gives an
-    empty result. Base spans always stay; a span of the model must pass the checks of its kind and touch no base span.
+    The model reads every character of every text. Null and empty texts have no spans; repeated rows and null ids stay; other
+    columns are ignored; an empty table gives an empty result. Base spans always stay; a span of the model must pass the checks of
+    its kind and touch no base span.
     """
     tagger = tagger or trained()
     sent = documents.sparkSession.sparkContext.broadcast(tagger)  # some 100 KB
@@ -416,29 +464,25 @@ def personal_data(documents: DataFrame, tagger: Tagger | None = None, batch_wind
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            texts = texts_of(batch.column("text"))
-            parts = [(row, part) for row, text in enumerate(texts) for part in windows(text)]
-            of: list[tuple[list, list]] = [([], []) for _ in texts]
-            for at in range(0, len(parts), batch_windows):
-                group = parts[at:at + batch_windows]
-                chars = np.full((len(group), WINDOW), PAD)
-                for i, (row, (start, end)) in enumerate(group):
-                    chars[i, :end - start] = symbols(texts[row][start:end])
-                for (row, part), tags in zip(group, model.decode(chars), strict=True):
-                    of[row][0].append(part)
-                    of[row][1].append(tags)
-            counts, hashes, spans, added = [[], [], [], []], [], [], []
-            for text, (own, tags) in zip(texts, of, strict=True):
-                base = base_spans(text)
-                every = united(base, reconciled(text, own, tags)) if own else base
-                for kind in range(len(KINDS)):
-                    counts[kind].append(sum(s[0] == kind for s in base))
-                hashes.append(hashlib.sha256(listed(base).encode()).hexdigest())
-                spans.append(listed(every))
-                added.append(len(every) - len(base))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in counts], pa.array(hashes, pa.string()),
-                 pa.array(spans, pa.string()), pa.array(added, pa.int64())],
-                names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+            texts, begin = texts_of(batch.column("text")), 0
+            while begin < len(texts):
+                end, weight = begin, 0
+                while end < len(texts) and weight < GROUP_CHARS:
+                    weight += len(texts[end])
+                    end += 1
+                counts, hashes, spans, added = [[], [], [], []], [], [], []
+                for text, more in zip(texts[begin:end], tagged(model, texts[begin:end]), strict=True):
+                    base = base_spans(text)
+                    every = united(base, more)
+                    for kind in range(len(KINDS)):
+                        counts[kind].append(sum(s[0] == kind for s in base))
+                    hashes.append(hashlib.sha256(listed(base).encode()).hexdigest())
+                    spans.append(listed(every))
+                    added.append(len(every) - len(base))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(begin, end - begin), *[pa.array(c, pa.int64()) for c in counts],
+                     pa.array(hashes, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())],
+                    names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+                begin = end
 
     return map_batches(documents.select("doc_id", "text"), run, schema)

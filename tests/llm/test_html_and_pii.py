@@ -162,13 +162,7 @@ def test_gradients():
 
 
 def model_spans(tagger, text):
-    parts = pt.windows(text)
-    if not parts:
-        return []
-    chars = np.full((len(parts), pt.WINDOW), pt.PAD)
-    for i, (a, b) in enumerate(parts):
-        chars[i, :b - a] = pt.symbols(text[a:b])
-    return pt.reconciled(text, parts, tagger.decode(chars))
+    return pt.tagged(tagger, [text])[0]
 
 
 def test_held_out_spans(tagger):
@@ -185,13 +179,50 @@ def test_the_model_adds_spans(tagger):
     assert [(k, text[a:b]) for k, a, b in model_spans(tagger, text)] == [(3, "(394) 555-4006"), (2, "4539.5787.6362.1486")]
 
 
-def test_windows_cover_every_anchor():
-    text = ("x" * 500 + "1") * 3 + "@" * 300 + "y" * 100
-    inside = set()
-    for a, b in pt.windows(text):
-        assert 0 < b - a <= pt.WINDOW
-        inside.update(range(a, b))
-    assert {i for i, c in enumerate(text) if c in "1@"} <= inside
+def test_windows_cover_every_character():
+    window, stride = pt.WINDOW, pt.STRIDE
+    half = (window - stride) // 2
+    for n in (1, stride - 1, window - 1, window, window + 1, 2 * stride + 2 * half, 2 * stride + 2 * half + 1, 1000):
+        text = "4" * n
+        found = pt.windows(text)
+        whole = np.r_[pt.symbols(text), np.full(window, pt.PAD)]
+        for k, row in enumerate(found):
+            assert (row == whole[k * stride:k * stride + window]).all()
+        assert len(found) == 1 or len(found) * stride + 2 * half >= n > (len(found) - 1) * stride + 2 * half
+        for i in range(n):  # the tag of the window that a character is deepest in is the one that counts
+            tags = np.zeros(found.shape, np.int8)
+            holding = [k for k in range(len(found)) if k * stride <= i < k * stride + window]
+            best = max(holding, key=lambda k: min(i - k * stride if k else n, k * stride + window - 1 - i if k < len(found) - 1 else n))
+            if i >= 8 and i % 5 == 0:
+                for k in holding:
+                    for j in range(max(i - 8, 0), i + 1):
+                        if 0 <= j - k * stride < window:
+                            tags[k, j - k * stride] = 8
+                spans = pt.reconciled(text, tags)
+                assert spans == [(3, i - 8, i + 1)] and best in holding
+
+
+def test_written_out_addresses_are_added(tagger):
+    """Without a digit or an at sign nearby, and across the borders of windows."""
+    hit = 0
+    for at in range(60, 260, 10):
+        before = ("the of and reth " * 20)[:at].rstrip() + " "
+        text = before + "nanden.erest at reha dot org and of the reheat tion"
+        hit += [(k, text[a:b]) for k, a, b in model_spans(tagger, text)] == [(0, "nanden.erest at reha dot org")]
+    assert hit >= 17
+    assert pt.valid(0, "a.b (at) c (dot) de") and pt.valid(0, "a at b.de") and not pt.valid(0, "look at that") and not pt.valid(0, "abatcdotde")
+
+
+def test_left_out_windows_hold_no_span(tagger):
+    """The shortcut of ``decode`` never changes its result."""
+    draw = np.random.default_rng(4)
+    texts = [t for t, _ in pt.examples(20, seed=8)] + ["".join(draw.choice(list("abcdefgh .,1@"), 300)) for _ in range(20)]
+    chars = np.concatenate([pt.windows(t) for t in texts])
+    scores = tagger.scores(chars)
+    whole = tagger._best(scores, tagger.p["move"] + pt.allowed())
+    assert (tagger.decode(chars) == whole).all()
+    run = tagger._run(chars.astype(int), "f") @ tagger.p["of"] + tagger._run(chars.astype(int), "b") @ tagger.p["ob"] + tagger.p["bias"]
+    assert np.abs(run.transpose(0, 2, 1) - scores).max() < 1e-3
 
 
 def test_pii_cases(documents, tagger):
