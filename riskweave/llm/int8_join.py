@@ -6,12 +6,11 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import map_batches, ship
+from riskweave.llm.common import map_batches
 
 CODES = 127
 #: Covers the rounding of the bounds themselves, which are computed in double precision.
@@ -51,6 +50,15 @@ def tile(a: Coded, b: Coded) -> tuple[np.ndarray, np.ndarray]:
     return value, error
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, so that their largest component is about one and no square overflows or vanishes.
+
+    A cosine does not change by it, not even in its last bit: only components below 10**-300 of the largest are lost.
+    """
+    _, powers = np.frexp(np.abs(vectors).max(axis=1))
+    return np.ldexp(vectors, -powers[:, None])
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosine of each row pair, in double precision, summed component by component so equal vectors score equally."""
     dot, of_a, of_b = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
@@ -84,23 +92,23 @@ def nearest_in_tile(q_ids: np.ndarray, q: np.ndarray, q_coded: Coded, c_ids: np.
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tile_rows: int = 4096, query_rows: int = 512,
-            shards: int | None = None, query_block: int = 16384) -> DataFrame:
+            shards: int | None = None, block_bytes: int = 1 << 26) -> DataFrame:
     """The ``k`` nearest other rows of each query row by cosine: ``query_id``, ``rank`` from 1, ``vec_id``, ``score``.
 
     ``vectors`` has ``vec_id`` and ``embedding``; rows with a null id or a vector that is null, empty, zero or holds null or
     non-finite components take no part; vectors are compared with those of their own length only. Ties go to the smaller
     ``vec_id``; of rows that repeat an id with equal vectors one counts, with other vectors each counts; "own row" means equal
-    id. Queries are dealt into blocks of about ``query_block``, candidates into ``shards``; each block meets each shard once,
+    id. Queries are dealt into blocks of about ``block_bytes``, candidates into ``shards``; each block meets each shard once,
     in tiles of ``query_rows`` by ``tile_rows``, and leaves k rows per query. A task so holds one block of queries, one tile
-    and their heaps. Exact: the error bounds keep every row that may be among the k nearest.
+    and their heaps, and a candidate is sent once per block: with 64 components, once per 131,072 queries. Exact: the error bounds keep every row that may be among the k nearest.
     """
     spark = vectors.sparkSession
-    ship(spark)
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(
         F.col("vec_id").isNotNull() & usable("embedding")).withColumn("dim", F.size("embedding"))
     shards = shards or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     queries = rows.where(is_query).dropDuplicates(["vec_id", "embedding"])
-    blocks_of = max(1, -(-queries.count() // query_block))
+    size = queries.agg(F.coalesce(F.sum("dim"), F.lit(0)).alias("n")).first()["n"] * 8
+    blocks_of = max(1, -(-size // block_bytes))
     block = F.pmod(F.xxhash64(F.lit(7), F.col("vec_id")), F.lit(blocks_of)).cast("int")
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
     offered = rows.dropDuplicates(["vec_id", "embedding"]).select(
@@ -123,7 +131,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tile_rows: int = 4
                 for end in ends.tolist():
                     for at in range(begin, end, tile_rows):
                         to = min(end, at + tile_rows)
-                        yield tuple(keys[at]), ids[at:to], flat[offsets[at]:offsets[to]].reshape(to - at, -1)
+                        yield tuple(keys[at]), ids[at:to], scaled(flat[offsets[at]:offsets[to]].reshape(to - at, -1))
                     begin = end
 
         def out(asks: list, heaps: list) -> Iterator[pa.RecordBatch]:
@@ -152,9 +160,32 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tile_rows: int = 4
 
     found = map_batches(dealt, run, "query_id long, vec_id long, score double")
 
-    def merged(group: pd.DataFrame) -> pd.DataFrame:
-        best = heapq.nsmallest(k, zip((-group["score"]).tolist(), group["vec_id"].tolist(), strict=True))
-        return pd.DataFrame({"query_id": group["query_id"].iloc[0], "rank": range(1, len(best) + 1),
-                             "vec_id": [v for _, v in best], "score": [-s for s, _ in best]})
-
-    return found.groupBy("query_id").applyInPandas(merged, "query_id long, rank int, vec_id long, score double")
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, heap = None, []  # the best so far of the last query, whose rows may go on in the next batch
+
+        def told(rows: list) -> Iterator[tuple]:
+            for rank, (score, vec) in enumerate(sorted(rows, reverse=True), 1):
+                yield query, rank, -vec, score
+
+        for batch in batches:
+            done: list[tuple] = []
+            for q, vec, score in zip(*(batch.column(c).to_pylist() for c in ("query_id", "vec_id", "score")), strict=True):
+                if q != query:
+                    done.extend(told(heap))
+                    query, heap = q, []
+                if len(heap) < k:
+                    heapq.heappush(heap, (score, -vec))
+                else:
+                    heapq.heappushpop(heap, (score, -vec))
+            yield _ranked(done)
+        yield _ranked(list(told(heap)))
+
+    dealt_back = found.repartition("query_id").sortWithinPartitions("query_id")
+    return map_batches(dealt_back, merged, "query_id long, rank int, vec_id long, score double")
+
+
+def _ranked(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)],
+                                      names=["query_id", "rank", "vec_id", "score"])

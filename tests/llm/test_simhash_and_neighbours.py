@@ -86,7 +86,7 @@ def neighbours(rows, k=5):
 def test_neighbours_by_brute_force(spark):
     table = spark.read.parquet(f"{SMALL}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in table.collect()]
-    for options in ({}, {"tile_rows": 16, "query_rows": 2, "shards": 3, "query_block": 2}):
+    for options in ({}, {"tile_rows": 16, "query_rows": 2, "shards": 3, "block_bytes": 1024}):
         got = ij.nearest(table, F.col("vec_id") % 50 == 0, **options).orderBy("query_id", "rank").collect()
         assert [tuple(r) for r in got] == neighbours(rows)
 
@@ -105,6 +105,22 @@ def test_neighbour_cases(spark):
     assert ij.nearest(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_components_of_any_size(spark):
+    """Squares of finite doubles may overflow or vanish; the score is that of the same directions in a middle range."""
+    draw = np.random.default_rng(6)
+    base = draw.standard_normal((40, 6))
+    sizes = 10.0 ** draw.choice([-290, -200, -160, 0, 160, 200, 290], 40)
+    schema = "vec_id long, embedding array<double>"
+    plain = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], schema)
+    wide = spark.createDataFrame([(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(base, sizes, strict=True))], schema)
+    got, want = (ij.nearest(t, F.col("vec_id") % 4 == 0, tile_rows=7).orderBy("query_id", "rank").collect() for t in (wide, plain))
+    assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(r.query_id, r["rank"], r.vec_id) for r in want]
+    assert all(abs(a.score - b.score) < 1e-12 for a, b in zip(got, want, strict=True)) and len(got) == 50
+    extreme = spark.createDataFrame([(0, [1e308, 1e308]), (1, [5e-324, 5e-324]), (2, [-1e200, 1e200]), (3, [1.0, 0.0])], schema)
+    told = {r.vec_id: r.score for r in ij.nearest(extreme, F.col("vec_id") == 0).collect()}
+    assert abs(told[1] - 1) < 1e-12 and abs(told[2]) < 1e-12 and abs(told[3] - 0.5 ** 0.5) < 1e-12
+
+
 def test_bounds_hold():
     draw = np.random.default_rng(2)
     a, b = draw.standard_normal((40, 32)), draw.standard_normal((60, 32)) * 10 ** draw.uniform(-3, 3, (60, 1))
