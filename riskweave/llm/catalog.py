@@ -31,7 +31,7 @@ def op4_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)],
                                   "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(added)
-    return chat_tree.read_back(chat_tree.trees(rows))
+    return chat_tree.read_back(chat_tree.trees(rows), ordered=True)
 
 
 def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

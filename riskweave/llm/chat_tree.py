@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -19,15 +20,17 @@ from riskweave.llm.common import map_batches
 START, END = "<|im_start|>", "<|im_end|>"
 CONTROL = re.compile(r"<(\\*)\|")
 ESCAPED = re.compile(r"<\\(\\*)\|")
-TREES = ("tokens array<int>, position_ids array<int>, "
-         "segments array<struct<start:int,stop:int,parent:int,loss_start:int,loss_stop:int,"
-         "attends:array<struct<start:int,stop:int>>>>, "
-         "conversations array<struct<conv_id:long,segment:int>>")
-_SPAN = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
-_KINDS = [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.struct([
-    ("start", pa.int32()), ("stop", pa.int32()), ("parent", pa.int32()), ("loss_start", pa.int32()), ("loss_stop", pa.int32()),
-    ("attends", pa.list_(_SPAN))])), pa.list_(pa.struct([("conv_id", pa.int64()), ("segment", pa.int32())]))]
-_NAMES = ["tokens", "position_ids", "segments", "conversations"]
+#: Places are (tree, start, stop) or (tree, segment): a row goes on where the one before it stopped, so both may lie in an earlier row.
+TREES = ("task int, tree long, tokens array<int>, position_ids array<int>, "
+         "segments array<struct<start:int,stop:int,parent_tree:long,parent:int,loss_start:int,loss_stop:int,"
+         "attends:array<struct<tree:long,start:int,stop:int>>>>, "
+         "conversations array<struct<conv_id:long,tree:long,segment:int>>")
+_SPAN = pa.struct([("tree", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+_KINDS = [pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.struct([
+    ("start", pa.int32()), ("stop", pa.int32()), ("parent_tree", pa.int64()), ("parent", pa.int32()), ("loss_start", pa.int32()),
+    ("loss_stop", pa.int32()), ("attends", pa.list_(_SPAN))])),
+    pa.list_(pa.struct([("conv_id", pa.int64()), ("tree", pa.int64()), ("segment", pa.int32())]))]
+_NAMES = ["task", "tree", "tokens", "position_ids", "segments", "conversations"]
 
 
 def escaped(text: str) -> str:
@@ -85,122 +88,167 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-class Tree:
-    """One output row: the turns of several conversations as a prefix tree in depth-first order."""
+class Node:
+    """A turn on the path to the last conversation: where its tokens are, and those that it attends to."""
 
-    def __init__(self):
+    __slots__ = ("turn", "tree", "segment", "attends", "depth")
+
+    def __init__(self, turn: tuple[str, str], tree: int, segment: int, attends: list[dict], depth: int):
+        self.turn, self.tree, self.segment, self.attends, self.depth = turn, tree, segment, attends, depth
+
+
+class Forest:
+    """The turns of a task's conversations as prefix trees in depth-first order, cut into rows.
+
+    A new row goes on below the path of the one before, whose turns it names but does not repeat.
+    """
+
+    def __init__(self, task: int):
+        self.task, self.tree = task, -1
+        self.path: list[Node] = []
+        self.begin()
+
+    def begin(self) -> None:
+        self.tree += 1
         self.tokens, self.positions, self.segments, self.conversations = [], [], [], []
-        self.path: list[tuple[tuple[str, str], int]] = []  # turns from the root to the last leaf, and their segments
 
     def shared(self, turns: list[tuple[str, str]]) -> int:
         n = 0
-        while n < min(len(turns), len(self.path)) and self.path[n][0] == turns[n]:
+        while n < min(len(turns), len(self.path)) and self.path[n].turn == turns[n]:
             n += 1
         return n
 
-    def add(self, conv_id: int | None, turns: list[tuple[str, str]], known: int, encoded: list) -> None:
-        """Adds a conversation of which the first ``known`` turns are on the path; ``encoded``: the others."""
-        del self.path[known:]
-        for turn, (ids, begin, end) in zip(turns[known:], encoded, strict=True):
-            parent = self.path[-1][1] if self.path else -1
-            start = len(self.tokens)
-            attends = []
-            if parent >= 0:  # intervals that touch are one
-                above = self.segments[parent]
-                attends = [*above["attends"], {"start": above["start"], "stop": above["stop"]}]
-                if len(attends) > 1 and attends[-2]["stop"] == attends[-1]["start"]:
-                    attends[-2:] = [{"start": attends[-2]["start"], "stop": attends[-1]["stop"]}]
-            depth = sum(x["stop"] - x["start"] for x in attends)
-            own = turn[0] == "assistant"
-            self.tokens.extend(ids)
-            self.positions.extend(range(depth, depth + len(ids)))
-            self.segments.append({
-                "start": start, "stop": start + len(ids), "parent": parent, "loss_start": start + (begin if own else 0),
-                "loss_stop": start + (end if own else 0), "attends": attends})
-            self.path.append((turn, len(self.segments) - 1))
-        self.conversations.append({"conv_id": conv_id, "segment": self.path[-1][1]})
+    def grow(self, turn: tuple[str, str], encoded: tuple[list[int], int, int]) -> None:
+        """Adds a turn below the path."""
+        ids, begin, end = encoded
+        above = self.path[-1] if self.path else None
+        start, depth = len(self.tokens), above.depth if above else 0
+        own = turn[0] == "assistant"
+        self.tokens.extend(ids)
+        self.positions.extend(range(depth, depth + len(ids)))
+        self.segments.append({
+            "start": start, "stop": start + len(ids), "parent_tree": above.tree if above else -1, "parent": above.segment if above else -1,
+            "loss_start": start + (begin if own else 0), "loss_stop": start + (end if own else 0), "attends": above.attends if above else []})
+        attends = list(above.attends) if above else []
+        if attends and attends[-1]["tree"] == self.tree and attends[-1]["stop"] == start:  # intervals that touch are one
+            attends[-1] = {"tree": self.tree, "start": attends[-1]["start"], "stop": start + len(ids)}
+        else:
+            attends.append({"tree": self.tree, "start": start, "stop": start + len(ids)})
+        self.path.append(Node(turn, self.tree, len(self.segments) - 1, attends, depth + len(ids)))
+
+    def row(self) -> pa.RecordBatch:
+        values = [self.task, self.tree, self.tokens, self.positions, self.segments, self.conversations]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, _KINDS, strict=True)], names=_NAMES)
 
 
 def trees(conversations: DataFrame, path: str | None = None, tokens: int = 8192, members: int = 1024) -> DataFrame:
-    """Rows (``conv_id``, ``turn``, ``role``, ``text``) as prefix trees; each output row is one tree.
+    """Rows (``conv_id``, ``turn``, ``role``, ``text``) as prefix trees in depth-first order, cut into rows ``tree`` of a ``task``.
 
-    ``tokens`` and ``position_ids`` run depth first, every turn that conversations of the tree begin with alike once;
-    a token of segment s sees the intervals ``attends`` of s and its own segment up to itself, and nothing else;
+    ``tokens`` and ``position_ids`` run depth first, every turn that conversations of a task begin with alike once; a token of a
+    segment sees the intervals that it ``attends`` (of its own row or earlier ones) and its own segment up to itself, and nothing else;
     ``loss_start`` to ``loss_stop`` are the tokens of an assistant's text; ``conversations`` names the last segment of each.
 
     Turns are ordered by turn, role and text (nulls first); null roles and texts are empty; repeated rows are turns of their
-    own; rows without conv_id are one conversation; other columns are ignored; an empty table gives an empty result.
-    Conversations are sorted by the hashes of their turns, so those with common beginnings are neighbours, and dealt by
-    range with the id as the last key: a first turn that most conversations share is spread over tasks. A tree is closed at
-    ``tokens`` ids or ``members`` conversations, the next one repeats the shared turns; one conversation is never cut.
+    own; of rows without conv_id nothing tells which belong together, so each is a conversation; other columns are ignored; an
+    empty table gives an empty result. Conversations are sorted by the hashes of their turns, so those with common beginnings are
+    neighbours, and dealt by range with the id as the last key: a first turn that most conversations share is spread over
+    tasks and stored once in each. A row ends at ``tokens`` ids or ``members`` conversations, between turns; the next one goes on
+    below the same path without repeating it, so rows stay small however long or alike conversations are.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    whole = conversations.where(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(turn)).alias("turns")).unionAll(
+        conversations.where(F.col("conv_id").isNull()).select("conv_id", F.array(turn).alias("turns")))
     keyed = whole.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"], t["text"])).alias("turns"), F.transform(
         "turns", lambda t: F.xxhash64(t["role"], t["text"])).alias("way"))
     dealt = keyed.repartitionByRange("way", "conv_id").sortWithinPartitions("way", "conv_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use, tree = codec(path), Tree()
-
-        def out(done: Tree) -> pa.RecordBatch:
-            values = [[done.tokens], [done.positions], [done.segments], [done.conversations]]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, _KINDS, strict=True)], names=_NAMES)
-
+        use, forest = codec(path), Forest(TaskContext.get().partitionId())
         for batch in batches:
             for conv_id, rows in zip(batch.column("conv_id").to_pylist(), batch.column("turns").to_pylist(), strict=True):
                 turns = [(x["role"], x["text"]) for x in rows]
-                known = tree.shared(turns)
-                encoded = use.encode(turns[known:])
-                if tree.conversations and (len(tree.conversations) >= members
-                                           or len(tree.tokens) + sum(len(x[0]) for x in encoded) > tokens):
-                    yield out(tree)
-                    tree, encoded = Tree(), use.encode(turns[:known]) + encoded
-                    known = 0
-                tree.add(conv_id, turns, known, encoded)
-        if tree.conversations:
-            yield out(tree)
+                known = forest.shared(turns)
+                del forest.path[known:]
+                if len(forest.conversations) >= members:
+                    yield forest.row()
+                    forest.begin()
+                for one, encoded in zip(turns[known:], use.encode(turns[known:]), strict=True):
+                    if forest.tokens and len(forest.tokens) + len(encoded[0]) > tokens:
+                        yield forest.row()
+                        forest.begin()
+                    forest.grow(one, encoded)
+                last = forest.path[-1]
+                forest.conversations.append({"conv_id": conv_id, "tree": last.tree, "segment": last.segment})
+        if forest.conversations or forest.segments:
+            yield forest.row()
 
     renamed = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     return map_batches(dealt.select("conv_id", renamed.alias("turns")), run, TREES)
 
 
-def read_back(forest: DataFrame, path: str | None = None) -> DataFrame:
-    """Conversations as the trees hold them: ``conv_id``, ``n_turns``, ``turns_sha256``, ``loss_chars``, ``loss_sha256``,
-    ``formatted_chars``. Everything is decoded from the ids: turns along the attention intervals, the loss by its mask."""
-    path = path or public_tokenizers.path("byte_bpe_50k.json")
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+class Reader:
+    """Reads the rows of a task in order; of rows read it holds the path to the last segment alone."""
+
+    def __init__(self, use: Codec):
+        self.use, self.last = use, (-1, -1)
+        self.known: dict[tuple[int, int], tuple[list[int], list[int], tuple[int, int]]] = {}  # place -> ids, those learned, parent
 
-    def conversation(use: Codec, ids: list[int], segments: list, leaf: int) -> tuple:
-        last = segments[leaf]
-        formatted = use.decode([x for part in [*last["attends"], last] for x in ids[part["start"]:part["stop"]]])
+    def way(self, at: tuple[int, int]) -> list[tuple[int, int]]:
+        out = []
+        while at[1] >= 0:
+            out.append(at)
+            at = self.known[at][2]
+        return out[::-1]
+
+    def read(self, row: dict) -> list[tuple]:
+        ids, tree = row["tokens"], row["tree"]
+        self.known = {at: self.known[at] for at in self.way(self.last)}
+        for i, x in enumerate(row["segments"]):
+            self.known[tree, i] = ids[x["start"]:x["stop"]], ids[x["loss_start"]:x["loss_stop"]], (x["parent_tree"], x["parent"])
+        told: dict[tuple[int, int], tuple] = {}  # equal conversations end in one segment
+        found = []
+        for x in row["conversations"]:
+            at = (x["tree"], x["segment"])
+            if at not in told:
+                told[at] = self.conversation(at)
+            found.append((x["conv_id"], *told[at]))
+        if row["segments"]:
+            self.last = (tree, len(row["segments"]) - 1)
+        return found
+
+    def conversation(self, at: tuple[int, int]) -> tuple:
+        parts = [self.known[x] for x in self.way(at)]
+        formatted = self.use.decode([i for ids, _, _ in parts for i in ids])
         turns = [x.removesuffix(END + "\n").split("\n", 1) for x in formatted.split(START)[1:]]
-        loss = []
-        while leaf >= 0:
-            own = segments[leaf]
-            loss.append(unescaped(use.decode(ids[own["loss_start"]:own["loss_stop"]])))
-            leaf = own["parent"]
-        learned = "".join(reversed(loss))
+        learned = "".join(unescaped(self.use.decode(loss)) for _, loss, _ in parts)
         digest = hashlib.sha256()
         for line, text in turns:
             digest.update(f"{role_of(line)}\n{unescaped(text)}\n".encode())
         return len(turns), digest.hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(formatted)
 
+
+def read_back(forest: DataFrame, path: str | None = None, ordered: bool = False) -> DataFrame:
+    """Conversations as the trees hold them: ``conv_id``, ``n_turns``, ``turns_sha256``, ``loss_chars``, ``loss_sha256``,
+    ``formatted_chars``. Everything is decoded from the ids: turns along the parents, the loss by its mask. The rows of a task are
+    read in order; ``ordered`` says that ``forest`` comes straight from ``trees``, whose rows need not be brought together again."""
+    path = path or public_tokenizers.path("byte_bpe_50k.json")
+    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = codec(path)
+        use, task, reader = codec(path), None, None
         for batch in batches:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1).to_pylist()[0]
-                told: dict[int, tuple] = {}  # equal conversations end in one segment
-                found = []
-                for x in one["conversations"]:
-                    if x["segment"] not in told:
-                        told[x["segment"]] = conversation(use, one["tokens"], one["segments"], x["segment"])
-                    found.append((x["conv_id"], *told[x["segment"]]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
-
-    return map_batches(forest.select("tokens", "segments", "conversations"), run, schema)
+                if one["task"] != task:
+                    task, reader = one["task"], Reader(use)
+                found = reader.read(one)
+                if found:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
+
+    rows = forest.select("task", "tree", "tokens", "segments", "conversations")
+    return map_batches(rows if ordered else rows.repartition("task").sortWithinPartitions("task", "tree"), run, schema)

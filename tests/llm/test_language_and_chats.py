@@ -141,8 +141,10 @@ def test_chat_cases(spark):
     want = {}
     for i, n, role, text in rows:
         want.setdefault(i, []).append((n if n is not None else -math.inf, role or "", text or ""))
-    for options in ({}, {"tokens": 40, "members": 4}):
-        got = {r.conv_id: r for r in ct.read_back(ct.trees(conversations(spark, rows), **options)).collect()}
+    for options in ({}, {"tokens": 40, "members": 4}, {"tokens": 1, "members": 1}):
+        forest = ct.trees(conversations(spark, rows), **options)
+        got = {r.conv_id: r for r in ct.read_back(forest, ordered=True).collect()}
+        assert sorted(ct.read_back(forest.repartition(3)).collect(), key=str) == sorted(got.values(), key=str)
         assert set(got) == set(want)
         for i, turns in want.items():
             turns = [x[1:] for x in sorted(turns)]
@@ -165,6 +167,42 @@ def test_shared_turns_stand_once_and_positions_count_the_path(spark):
     assert ct.trees(many, members=100).agg(F.max(F.size("conversations"))).first()[0] == 100
 
 
+def test_a_long_common_beginning_is_stored_once(spark):
+    """Nine thousand common tokens, more than a row may hold: each turn stands once, and every path is still complete."""
+    beginning = [(n, "user" if n % 2 == 0 else "assistant", f"turn {n} " + "of the story " * 300) for n in range(12)]
+    rows = [(i, *t) for i in range(40) for t in beginning] + [(i, 12, "user", f"question {i}") for i in range(40)]
+    forest = ct.trees(conversations(spark, rows).coalesce(1), members=7).where("task >= 0")
+    found = forest.collect()
+    per_task = {}
+    for r in found:
+        per_task.setdefault(r.task, []).append(r)
+    use = ct.codec(ct.public_tokenizers.path("byte_bpe_50k.json"))
+    alone = sum(len(x[0]) for x in use.encode([t[1:] for t in beginning]))
+    assert alone > 9000 and len(found) > len(per_task) * 2
+    for own in per_task.values():
+        answers = sum(len(r.conversations) for r in own)
+        assert sum(len(r.segments) for r in own) == 12 + answers
+        assert alone < sum(len(r.tokens) for r in own) < alone + 20 * answers
+        assert all(len(r.tokens) <= 8192 for r in own)
+        where = {r.tree: r for r in own}
+        for r in own:
+            for s in r.segments:  # the intervals are the tokens of the parents, in order
+                way, at = [], (s.parent_tree, s.parent)
+                while at[1] >= 0:
+                    above = where[at[0]].segments[at[1]]
+                    way[:0] = where[at[0]].tokens[above.start:above.stop]
+                    at = (above.parent_tree, above.parent)
+                assert way == [x for a in s.attends for x in where[a.tree].tokens[a.start:a.stop]]
+                assert r.position_ids[s.start:s.stop] == list(range(len(way), len(way) + s.stop - s.start))
+    assert {r.turns_sha256 for r in ct.read_back(forest).collect()} == {digest([t[1:] for t in beginning] + [("user", f"question {i}")]) for i in range(40)}
+
+
+def test_rows_without_an_id_are_conversations_of_their_own(spark):
+    rows = [(None, 0, "user", f"word {i}") for i in range(30)] + [(1, 0, "user", "x")]
+    got = ct.read_back(ct.trees(conversations(spark, rows))).collect()
+    assert len(got) == 31 and all(r.n_turns == 1 for r in got) and len({r.turns_sha256 for r in got}) == 31
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from(list("<|\\>a\nim"))))
 def test_escapes_are_reversible(value):
