@@ -14,6 +14,7 @@ from riskweave.functions import lexing
 from riskweave.operators.tokens import (
     is_, is_java, is_py, last_where, level_before, level_order, level_so_far, one_of,
 )
+from riskweave.session import held
 
 # Tokens that end an and/or chain, types without a name, operators that bind
 # tighter than a comparison, comparisons, and what stands before a constructor.
@@ -42,6 +43,7 @@ def _f_string() -> Column:
     return is_py() & (F.col("kind") == "s") & F.col("tok").rlike("^[rR]?[fF]")
 
 
+@held
 def _relevant() -> Column:
     """Rows that can matter from here on; plain operators and literals are dropped."""
     plain_operator = ~F.col("tok").isin(
@@ -212,10 +214,10 @@ def _opening() -> Column:
     ))
 
 
-def local_roles(rows: DataFrame) -> DataFrame:
-    """Everything a token and its neighbours say; the neighbours are dropped."""
+@held
+def _roles() -> dict[str, Column]:
     tok, kind = F.col("tok"), F.col("kind")
-    columns = {
+    return {
         **_imports(), **_name_facts(),
         "decision": _decision(), "handler": _handler(), "opening": _opening(),
         "stmt_line": F.col("stmt.line"),
@@ -238,13 +240,18 @@ def local_roles(rows: DataFrame) -> DataFrame:
         "may_be_param": is_java() & (kind == "n") & ~F.contains(tok, F.lit(".")) & one_of("t1", ",", ")")
         & ((_type_like("p1", "pk1") & ~is_("p1", "]")) | (is_("p1", ".") & is_("p2", "."))),
     }
+
+
+def local_roles(rows: DataFrame) -> DataFrame:
+    """Everything a token and its neighbours say; the neighbours are dropped."""
     kept = ["file_id", "language", "pos", "line", "tok", "kind", "level", "line_start", "indent", "fault"]
     kept += ["head"] if "head" in rows.columns else []
-    return rows.filter(_relevant()).select(*kept, *[c.alias(n) for n, c in columns.items()])
+    return rows.filter(_relevant()).select(*kept, *[c.alias(n) for n, c in _roles().items()])
 
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """Completes the roles with the enclosing group of each token."""
+@held
+def _group_columns() -> tuple[list[dict[str, Column]], list[Column]]:
+    """What is added step by step, and what is kept in the end."""
     tok = F.col("tok")
     opener, closer = F.col("opening").isNotNull(), tok.isin(lexing.CLOSERS)
     slot = F.col("after_open") | F.col("after_comma") | F.col("after_star")
@@ -254,7 +261,7 @@ def grouped(rows: DataFrame) -> DataFrame:
         F.when(tok.isin("lambda", "for"), F.lit(True))
         .when(opener | F.col("line_start") | tok.isin(":", "in"), F.lit(False))
     ))
-    rows = rows.withColumns({
+    enclosing = {
         # between lambda and its colon, or for and its in: commas there separate no arguments
         "in_header": F.coalesce(last_where(header.isNotNull(), header, level_before()), F.lit(False)),
         "in_lambda": F.coalesce(last_where(
@@ -265,9 +272,9 @@ def grouped(rows: DataFrame) -> DataFrame:
         "arg_name": last_where((F.col("kind") == "n") & slot, tok, level_so_far()),
         "star_pos": last_where(tok.isin(_STARS) & (F.col("after_open") | F.col("after_comma")), F.col("pos"), level_so_far()),
         "grp": last_where(opener, F.col("opening"), level_so_far()),
-    })
+    }
     plain = ~F.col("in_header")
-    rows = rows.withColumns({
+    sums = {
         "commas": F.sum(F.when((tok == ",") & plain, 1).otherwise(0)).over(level_so_far()),
         "named": F.sum(F.when(is_py() & plain & (
             (tok == "=") | ((tok == "**") & (F.col("after_open") | F.col("after_comma")))
@@ -276,15 +283,14 @@ def grouped(rows: DataFrame) -> DataFrame:
         "ifs": F.sum(F.when(is_java() & (tok == "if"), 1).when(is_java() & (tok == "else"), -1).otherwise(0)).over(level_so_far()),
         "prior_grp": F.lag("grp", 1).over(level_order()),
         "prior_ends_header": F.lag("ends_header", 1).over(level_order()),
-    })
+    }
     # a brace that follows the parameter list of a method on the same level opens its body
     method = F.when(
         is_java() & (tok == "{") & F.coalesce(F.col("prior_ends_header") & F.col("prior_grp.declares"), F.lit(False)),
         F.struct(F.col("prior_grp.callee").alias("name"), F.col("prior_grp.pos").alias("fkey"), F.col("prior_grp.line").alias("line")),
     )
-    rows = rows.withColumn("body", method)
     counts = F.struct("commas", "named", "ifs", F.col("body.fkey").alias("fkey"))
-    rows = rows.withColumn("at_open", last_where(opener, counts, level_so_far()))
+    at_open = last_where(opener, counts, level_so_far())
 
     pairs = F.create_map(*[F.lit(x) for pair in zip(lexing.CLOSERS, lexing.OPENERS) for x in pair])
     mismatch = closer & ~F.col("grp.tok").eqNullSafe(pairs[tok])
@@ -318,11 +324,12 @@ def grouped(rows: DataFrame) -> DataFrame:
               F.struct(tok.alias("name"), F.col("pos").alias("pos"), F.col("line").alias("line")))
     )
     handler = F.col("handler")
-    return rows.select(
-        "file_id", "language", "pos", "line", "line_start", "indent", "margin_above", "below_at",
+    plain_names = ("file_id", "language", "pos", "line", "line_start", "indent", "margin_above", "below_at")
+    out = [
+        *map(F.col, plain_names),
         (tok == "@").alias("is_at"),
-        F.coalesce("fault", F.when(mismatch, F.lit("unbalanced bracket")), java_fault).alias("fault"), "begins_with",
-        "import", "module", "stmt_line", "attr", call.alias("call"),
+        F.coalesce("fault", F.when(mismatch, F.lit("unbalanced bracket")), java_fault).alias("fault"), F.col("begins_with"),
+        F.col("import"), F.col("module"), F.col("stmt_line"), F.col("attr"), call.alias("call"),
         F.when(handler["body"] == "empty", F.struct(
             handler["body"].alias("body"), handler["types"].alias("types"), F.col("try_line").alias("line")))
         .otherwise(handler).alias("handler"),
@@ -334,7 +341,7 @@ def grouped(rows: DataFrame) -> DataFrame:
         .when(F.col("import").isNotNull() & is_py(), F.array(F.col("import.name")))
         .when(F.col("field_names").isNotNull(), F.col("field_names"))
         .when(F.col("own_name").isNotNull() & (use | ~F.col("py_name") | F.col("attr").isNotNull()), F.array("own_name")).alias("names"),
-        "field_indexed", "field_guarded",
+        F.col("field_indexed"), F.col("field_guarded"),
         (py_param | java_param).alias("is_param"),
         (F.col("guard") & (is_java() | use)).alias("is_guard"),
         (F.col("deref") | (F.col("indexed") & use)).alias("is_deref"),
@@ -342,6 +349,14 @@ def grouped(rows: DataFrame) -> DataFrame:
         .when(F.col("body").isNotNull(), F.col("body.fkey")).when(closes_body.isNotNull(), closes_body).alias("fkey"),
         # where the names of a function begin: its decorators, or the parameter list in Java
         F.when(py_param, F.col("grp.def_start")).when(java_param, F.col("grp.pos")).alias("param_start"),
-        declared.alias("declared"), "is_def", "def_name", "body", closes_body.isNotNull().alias("closes_body"),
-        *(["head"] if "head" in rows.columns else []),
-    )
+        declared.alias("declared"), F.col("is_def"), F.col("def_name"), F.col("body"), closes_body.isNotNull().alias("closes_body"),
+    ]
+    return [enclosing, sums, {"body": method}, {"at_open": at_open}], out
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """Completes the roles with the enclosing group of each token."""
+    steps, out = _group_columns()
+    for columns in steps:
+        rows = rows.withColumns(columns)
+    return rows.select(*out, *(["head"] if "head" in rows.columns else []))

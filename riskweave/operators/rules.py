@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from riskweave.functions import text
 from riskweave.operators.scopes import unguarded
 from riskweave.operators.tokens import is_java, is_py
+from riskweave.session import held
 from riskweave.sources import dims
 
 # Message texts, per rule and language where they differ.
@@ -113,6 +114,7 @@ def span_hits(thresholds: dict[str, int] | None = None) -> dict[str, list[Column
     }
 
 
+@held
 def row_hits() -> dict[str, list[Column]]:
     """Candidate findings per rule id, over rows of ``name_uses`` with the ``ref`` column."""
     name, imp, call, attr = F.col("name"), F.col("import"), F.col("call"), F.col("attr")

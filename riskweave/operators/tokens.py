@@ -11,6 +11,7 @@ from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from riskweave.functions import lexing
+from riskweave.session import held
 from riskweave.sources import submissions
 
 
@@ -120,20 +121,13 @@ def tokens(
     )
 
 
-def placed(token_rows: DataFrame) -> DataFrame:
-    """Adds line, bracket level, neighbours, statement starts and faults.
-
-    Costly columns are made below a window and filtered on above it: a filter right above them
-    would be pushed down together with a copy of them.
-
-    ``level`` is the number of open brackets; an opening and a closing bracket carry the level
-    of what they enclose, so a bracket group is a run of rows of one level.
-    """
-    rows = token_rows.withColumn(
-        "delta",
-        F.when(F.col("tok").isin(lexing.OPENERS), 1).when(F.col("tok").isin(lexing.CLOSERS), -1).otherwise(0),
-    )
-    rows = rows.withColumns({
+@held
+def _placing() -> list[dict[str, Column]]:
+    """The columns of ``placed``, step by step."""
+    delta = {"delta": (
+        F.when(F.col("tok").isin(lexing.OPENERS), 1).when(F.col("tok").isin(lexing.CLOSERS), -1).otherwise(0)
+    )}
+    around = {
         "line": (1 + F.sum(F.col("nl") + F.col("nl_tok")).over(so_far()) - F.col("nl_tok")).cast("int"),
         "depth": F.sum("delta").over(so_far()).cast("int"),
         "p1": F.lag("tok", 1).over(file_order()), "p2": F.lag("tok", 2).over(file_order()),
@@ -146,17 +140,17 @@ def placed(token_rows: DataFrame) -> DataFrame:
         "pk1": F.lag("kind", 1).over(file_order()), "pk2": F.lag("kind", 2).over(file_order()),
         "next_brk": F.lead("brk", 1).over(file_order()),
         "next_indent": F.lead("indent", 1).over(file_order()),
-    })
+    }
     outside = (F.col("depth") - F.col("delta")) == 0
-    rows = rows.withColumns({
+    starts = {
         "level": F.col("depth") + F.when(F.col("delta") < 0, 1).otherwise(0),
         "line_start": F.col("brk") & outside,
         "next_starts": F.coalesce(F.col("next_brk"), F.lit(False)) & (F.col("depth") == 0),
         "begins": is_py() & outside & (F.col("brk") | one_of("p1", ";", ":")),
-    })
+    }
     line_head = F.struct("tok", "indent", "t1", "pos", "line")
     type_words = ["class", "interface", "enum"]
-    rows = rows.withColumns({
+    above = {
         "above": last_where(F.col("line_start"), line_head, before()),
         "stmt": last_where(F.col("begins"), F.struct("tok", "line", "pos"), so_far()),
         "p1_line": F.lag("line", 1).over(file_order()),
@@ -164,10 +158,10 @@ def placed(token_rows: DataFrame) -> DataFrame:
         "colon_pos": last_where((F.col("tok") == ":") & (F.col("depth") == 0), F.col("pos"), before()),
         "opens_type": is_java() & (F.col("tok") == "{") & F.coalesce(last_where(
             F.col("tok").isin(*type_words, "{", "}", ";"), F.col("tok").isin(type_words), before()), F.lit(False)),
-    })
+    }
     module = F.when(is_("stmt.tok", "from") & is_("pk1", "n"), F.col("p1"))
     below_at = is_("above.tok", "@")
-    return token_faults(rows).withColumns({
+    contexts = {
         "import_ctx": last_where(
             is_py() & (F.col("tok") == "import"),
             F.struct(F.col("stmt.pos").alias("stmt_pos"), module.alias("module")), so_far()),
@@ -175,7 +169,23 @@ def placed(token_rows: DataFrame) -> DataFrame:
         "run_pos": last_where(F.col("line_start") & (F.col("tok") == "@") & ~below_at, F.col("pos"), so_far()),
         "line_below_at": F.coalesce(last_where(F.col("line_start"), below_at, so_far()), F.lit(False)),
         "def_below_at": F.coalesce(F.lag(below_at & F.col("line_start"), 2).over(file_order()), F.lit(False)),
-    })
+    }
+    return [delta, around, starts, above, {"fault": _fault()}, contexts]
+
+
+def placed(token_rows: DataFrame) -> DataFrame:
+    """Adds line, bracket level, neighbours, statement starts and faults.
+
+    Costly columns are made below a window and filtered on above it: a filter right above them
+    would be pushed down together with a copy of them.
+
+    ``level`` is the number of open brackets; an opening and a closing bracket carry the level
+    of what they enclose, so a bracket group is a run of rows of one level.
+    """
+    rows = token_rows
+    for columns in _placing():
+        rows = rows.withColumns(columns)
+    return rows
 
 
 # Words that open a block in Python, and words that are names in most places.
@@ -205,8 +215,8 @@ _JAVA_SOFT_WORDS = [
 _TYPE_WORDS = ["class", "interface", "enum", "record", "module"]
 
 
-def token_faults(rows: DataFrame) -> DataFrame:
-    """Adds ``fault``: why a file cannot be parsed, on the row that shows it (C3, first part)."""
+def _fault() -> Column:
+    """``fault``: why a file cannot be parsed, on the row that shows it (C3, first part)."""
     tok, above = F.col("tok"), F.col("above")
     at_end = (tok == lexing.END) & F.col("t1").isNull()
     operand = ["n", "d", "s"]
@@ -225,7 +235,7 @@ def token_faults(rows: DataFrame) -> DataFrame:
         | ((tok == "in") & is_("p1", "for"))
         # an operator before the end of its brackets or item (not those that a parameter list may hold alone), or with nothing before it
         | (tok.isin([x for x in _PY_OPEN_ENDED if x not in ("*", "**", "/", "import")]) & one_of("t1", *lexing.CLOSERS, ":", ","))
-        | (tok.isin(_PY_BINARY) & (one_of("p1", *_PY_BEFORE_OPERAND) | (is_("p1", ",") & (tok != "/"))))
+        | (tok.isin(_PY_BINARY) & (one_of("p1", *_PY_BEFORE_OPERAND) | (is_("p1", ",") & (tok != "/") & ((F.col("depth") > 0) | (tok != "=")))))
         | (tok.isin(_PY_WORD_BINARY) & (one_of("p1", *_PY_BEFORE_OPERAND, ",", *_PY_BINARY, "and", "or", "is")
                                         | (is_("p1", "not") & (tok != "in"))))
         | ((tok == "not") & F.coalesce(after_operand, F.lit(False)) & ~is_("t1", "in") & ~F.col("begins"))
@@ -267,7 +277,7 @@ def token_faults(rows: DataFrame) -> DataFrame:
                & ~tok.isin(_JAVA_SOFT_WORDS) & ~one_of("p1", *_JAVA_SOFT_WORDS) & ~one_of("p2", *_JAVA_SOFT_WORDS)),
             F.lit("illegal start of expression"))
     )
-    return rows.withColumn("fault", F.coalesce(shared, F.when(is_java(), java).otherwise(py)))
+    return F.coalesce(shared, F.when(is_java(), java).otherwise(py))
 
 
 def structured(files: DataFrame, head: Column | None = None) -> DataFrame:

@@ -1,7 +1,14 @@
 """Session settings the plans were measured with."""
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import SparkSession
 
+#: To be set where the session is built: without it Spark notes the place of each call of a column function, which takes half
+#: of the time in which a report is planned.
+AT_START = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
@@ -26,3 +33,26 @@ def tuned(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         own.conf.set(key, value)
     return own
+
+
+_HELD: dict = {}
+
+
+def held(build: Callable) -> Callable:
+    """Keeps the columns that a function of plain arguments builds; they name columns only, so any frame can use them.
+
+    A report consists of some three thousand column expressions, each of which is a call into the JVM.
+    """
+    @wraps(build)
+    def found(*args):
+        session = SparkSession.getActiveSession()
+        context = session.sparkContext if session else None
+        if _HELD.get("context") is not context or context is None:
+            _HELD.clear()
+            _HELD["context"] = context
+        key = (build.__module__, build.__qualname__, args)
+        if key not in _HELD:
+            _HELD[key] = build(*args)
+        return _HELD[key]
+
+    return found

@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), ".."))
 import __spark_entry__ as entry  # noqa: E402
+from riskweave.session import AT_START  # noqa: E402
 
 TABLES = ["documents", "embeddings", "conversations", "pages", "benchmark", "labels"]
 
@@ -17,7 +18,7 @@ def session() -> SparkSession:
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
-        .config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config(map=AT_START).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark

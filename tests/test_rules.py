@@ -70,7 +70,7 @@ CASES = {
         "except:\n    pass", "try:\n    pass\nx = 1", "def f():\n    try:\n        pass\n", "try:\n    pass\nelse:\n    pass", "with a:\n    pass\nelse:\n    pass",
         "if a:\n    if b:\n        pass\n    x = 1\n    else:\n        pass", "if a:\n    pass\nfinally:\n    pass", "def f():\n    if a:\n        pass\nelse:\n    pass")},
     **{f"statements that go together {code!r}": ("python", code + "\n", []) for code in (
-        "if a:\n    pass\nelif b:\n    pass\nelse:\n    pass", "for x in y:\n    pass\nelse:\n    pass", "while a:\n    if b: pass\n    else: pass\nelse:\n    pass",
+        "if a:\n    pass\nelif b:\n    pass\nelse:\n    pass", "x, = y", "for x in y:\n    pass\nelse:\n    pass", "while a:\n    if b: pass\n    else: pass\nelse:\n    pass",
         "async def f():\n    async for x in y:\n        pass\n    else:\n        pass",
         "try:\n    a()\nexcept B:\n    c()\nexcept D:\n    e()\nelse:\n    pass\nfinally:\n    pass", "try: a()\nfinally: b()",
         "if a:\n    if b:\n        pass\n    # told\n\n    else:\n        pass\nelse:\n    pass", "x = (1 if a\nelse 2)", "if a:\n\tpass\nelse:\n\tpass")},
