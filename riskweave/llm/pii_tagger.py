@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from riskweave.llm.common import map_batches, texts_of
@@ -188,7 +189,7 @@ def allowed() -> np.ndarray:
 class Tagger:
     """Bidirectional LSTM over characters; a linear layer gives tag scores, a CRF their transitions."""
 
-    def __init__(self, hidden: int = 16, seed: int = 1):
+    def __init__(self, hidden: int = 8, seed: int = 1):
         draw = np.random.default_rng(seed)
         self.hidden, self.name = hidden, uuid.uuid4().hex
 
@@ -258,35 +259,34 @@ class Tagger:
     def decode(self, chars: np.ndarray) -> np.ndarray:
         """Best tags of each window by Viterbi: (window, time).
 
-        A window is left out of the search where no tags can beat "outside" throughout: over a stretch of other tags, a bound of
-        what it gains is summed as if each step took the best tag and the best transition.
+        The way back is asked for only where the best way is better than "outside" throughout; it is found by asking again
+        where each best value came from.
         """
         scores, move = self.scores(chars), self.p["move"] + allowed()
-        over = scores[:, 1:] - scores[:, :1]
-        best = over.max(axis=1)
-        begins = (over + (move[0, 1:] - move[0, 0])[:, None]).max(axis=1)
-        begins[0] = (over[0] + (move[TAGS, 1:] - move[TAGS, 0])[:, None]).max(axis=0)
-        best += (move[1:TAGS, 1:] - move[0, 0]).max()
-        ends = float((move[1:TAGS, 0] - move[0, 0]).max())
-        stretch = begins[0]
-        open_ = stretch + ends > -1e-3
-        for t in range(1, len(scores)):
-            stretch = np.maximum(stretch + best[t], begins[t])
-            open_ |= stretch + (ends if t < len(scores) - 1 else 0.0) > -1e-3
+        best = self._forward(scores, move)
+        outside = scores[:, 0].sum(axis=0) + (move[TAGS, 0] + (len(scores) - 1) * move[0, 0])
+        found = np.flatnonzero(best[-1].max(axis=0) > outside - 1e-3)
         tags = np.zeros(chars.shape, np.int8)
-        if open_.any():
-            tags[open_] = self._best(scores[:, :, open_], move)
+        if len(found):
+            tags[found] = self._back(best[:, :, found], move)
         return tags
 
-    def _best(self, scores: np.ndarray, move: np.ndarray) -> np.ndarray:
-        """Viterbi over (time, tag, window); the way back is found by asking again where each best value came from."""
-        steps, _, n = scores.shape
+    def _forward(self, scores: np.ndarray, move: np.ndarray) -> np.ndarray:
+        """Value of the best way to each (time, tag, window)."""
         best = np.empty_like(scores)
         best[0] = scores[0] + move[TAGS][:, None]
-        between = move[:TAGS, :, None]
-        for t in range(1, steps):
-            (best[t - 1][:, None] + between).max(axis=0, out=best[t])
-            best[t] += scores[t]
+        begins, inside = [0, *range(1, TAGS, 2)], np.arange(2, TAGS, 2)
+        anywhere = move[:TAGS, begins, None]
+        of_begin, of_inside = move[inside - 1, inside][:, None], move[inside, inside][:, None]
+        for t in range(1, len(scores)):
+            before, now = best[t - 1], best[t]
+            now[begins] = (before[:, None] + anywhere).max(axis=0)
+            now[2::2] = np.maximum(before[1::2] + of_begin, before[2::2] + of_inside)  # an inside follows its own kind alone
+            now += scores[t]
+        return best
+
+    def _back(self, best: np.ndarray, move: np.ndarray) -> np.ndarray:
+        steps, _, n = best.shape
         tags = np.empty((n, steps), np.int8)
         tags[:, -1] = last = best[-1].argmax(axis=0)
         for t in range(steps - 1, 0, -1):
@@ -432,21 +432,34 @@ def united(base: list[tuple[int, int, int]], more: list[tuple[int, int, int]]) -
 
 
 @lru_cache(maxsize=2)
-def trained(texts: int = 1500, rounds: int = 6) -> Tagger:
+def trained(texts: int = 1500, rounds: int = 8) -> Tagger:
     """The tagger, trained here on ``texts`` labelled texts."""
     tagger = Tagger()
     tagger.train(examples(texts), rounds)
     return tagger
 
 
+#: Spans of texts read lately by a worker, by model and 128-bit hash: copies of a text are read once. Bounds memory, never changes a result.
+_TOLD: list[dict[tuple[str, bytes], list[tuple[int, int, int]]]] = [{}, {}]
+TOLD = 50_000
+
+
 def tagged(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-    """The model's spans of whole texts; all their windows are decoded, in batches over the texts."""
-    parts = [windows(text) if text else np.empty((0, WINDOW), np.uint8) for text in texts]
+    """The model's spans of whole texts; all windows of texts not read lately are decoded, in batches over the texts."""
+    keys = [(model.name, xxhash.xxh3_128_digest(text.encode())) for text in texts]
+    told = {key: old[key] for old in _TOLD for key in keys if key in old}
+    fresh = {key: text for key, text in zip(keys, texts, strict=True) if key not in told}
+    parts = [windows(text) if text else np.empty((0, WINDOW), np.uint8) for text in fresh.values()]
     chars = np.concatenate(parts) if parts else np.empty((0, WINDOW), np.uint8)
     tags = [model.decode(chars[at:at + BATCH]) for at in range(0, len(chars), BATCH)]
     every = np.concatenate(tags) if tags else np.empty((0, WINDOW), np.int8)
     ends = np.cumsum([len(x) for x in parts])
-    return [reconciled(text, every[end - len(part):end]) for text, part, end in zip(texts, parts, ends, strict=True)]
+    for (key, text), part, end in zip(fresh.items(), parts, ends, strict=True):
+        told[key] = reconciled(text, every[end - len(part):end])
+    if len(_TOLD[0]) >= TOLD:
+        _TOLD[1], _TOLD[0] = _TOLD[0], {}
+    _TOLD[0].update(told)
+    return [told[key] for key in keys]
 
 
 def personal_data(documents: DataFrame, tagger: Tagger | None = None) -> DataFrame:

@@ -219,7 +219,17 @@ def test_left_out_windows_hold_no_span(tagger):
     texts = [t for t, _ in pt.examples(20, seed=8)] + ["".join(draw.choice(list("abcdefgh .,1@"), 300)) for _ in range(20)]
     chars = np.concatenate([pt.windows(t) for t in texts])
     scores = tagger.scores(chars)
-    whole = tagger._best(scores, tagger.p["move"] + pt.allowed())
+    move = tagger.p["move"] + pt.allowed()
+    best = scores[0] + move[pt.TAGS][:, None]
+    came = []
+    for row in scores[1:]:
+        both = best[:, None] + move[:pt.TAGS, :, None]
+        came.append(both.argmax(axis=0))
+        best = both.max(axis=0) + row
+    whole = [best.argmax(axis=0)]
+    for step in reversed(came):
+        whole.insert(0, step[whole[0], np.arange(len(chars))])
+    whole = np.array(whole).T
     assert (tagger.decode(chars) == whole).all()
     run = tagger._run(chars.astype(int), "f") @ tagger.p["of"] + tagger._run(chars.astype(int), "b") @ tagger.p["ob"] + tagger.p["bias"]
     assert np.abs(run.transpose(0, 2, 1) - scores).max() < 1e-3
