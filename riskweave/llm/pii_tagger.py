@@ -432,7 +432,7 @@ def united(base: list[tuple[int, int, int]], more: list[tuple[int, int, int]]) -
 
 
 @lru_cache(maxsize=2)
-def trained(texts: int = 1500, rounds: int = 8) -> Tagger:
+def trained(texts: int = 2500, rounds: int = 8) -> Tagger:
     """The tagger, trained here on ``texts`` labelled texts."""
     tagger = Tagger()
     tagger.train(examples(texts), rounds)
