@@ -151,3 +151,25 @@ def test_scores_round_half_even(spark):
     from riskweave.functions import text
     got = [r[0] for r in spark.range(60).orderBy("id").select(text.risk_score(F.col("id"))).collect()]
     assert got == [min(100, round(w / 40 * 100)) for w in range(60)]
+
+
+def test_many_imports_take_linear_time(spark):
+    """Used names are found by hashing; the others are still looked for inside longer names."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from riskweave.functions import text
+
+    def seconds(n):
+        names = [f"Name{i}x" for i in range(n)]
+        body = "\n".join(f"import a.b.{x};" for x in names) + "\n" + "\n".join(f"  {x} f{i}; Other{x}Thing g;" if i % 50 else "" for i, x in enumerate(names))
+        frame = spark.createDataFrame([(body, [*names, "Gone", "hing"])], "code string, names array<string>").select(
+            text.java_unreferenced(F.col("code"), F.col("names")).alias("found"))
+        begin = time.time()
+        found = frame.first().found
+        assert found == [x for i, x in enumerate(names) if i % 50 == 0] + ["Gone"]
+        return time.time() - begin
+
+    seconds(100)
+    assert seconds(10_000) < 5 + 20 * seconds(1_000)
