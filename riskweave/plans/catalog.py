@@ -161,7 +161,10 @@ def _report_decoded(spark, sf_dir):
 
 
 def _history(spark, sf_dir):
-    return store.history(store.stored(_with_time(spark, sf_dir), _submitted("file_id")))
+    """The newest reports; only the submissions that they are about are analysed."""
+    files = submissions.accepted(corpus.source_files(spark, sf_dir))
+    last = submissions.latest(files, _submitted("file_id"), store.HISTORY_SIZE)
+    return store.history(store.stored(analysis.reports(last), _submitted("file_id")))
 
 
 def _stored_reports(spark, sf_dir):

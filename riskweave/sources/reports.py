@@ -3,12 +3,15 @@
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import DateType, IntegerType, LongType, StringType, StructField, StructType
 
 from riskweave.schemas import REPORT, STORED_REPORT
 
 HISTORY_SIZE = 50
+#: Parts into which the ids of a day are dealt, so that a look-up of an id reads one of them.
+SHARDS = 8
 
 
 def iso(moment: Column) -> Column:
@@ -39,6 +42,15 @@ def ensure_table(spark: SparkSession, table: str) -> None:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet PARTITIONED BY (language)")
 
 
+def shard_of(report_id: Column) -> Column:
+    return F.pmod(F.coalesce(report_id, F.lit(0)), F.lit(SHARDS)).cast("int")
+
+
+def day_of(moment: Column) -> Column:
+    """The day in UTC."""
+    return F.to_date(F.to_utc_timestamp(moment, F.current_timezone()))
+
+
 def append(rows: DataFrame, path: str, run_id: str | None = None, batch_id: int = 0) -> str:
     """Adds a batch to the store and returns its run id (A4).
 
@@ -46,18 +58,32 @@ def append(rows: DataFrame, path: str, run_id: str | None = None, batch_id: int
     batch that it repeats after a failure replaces itself, and is counted once.
     """
     run_id = run_id or uuid.uuid4().hex
-    rows.write.mode("overwrite").partitionBy("language").parquet(f"{path}/run_id={run_id}/batch_id={batch_id}")
+    placed = rows.select("*", day_of(F.col("created_at")).alias("day"), shard_of(F.col("report_id")).alias("shard"))
+    placed.write.mode("overwrite").partitionBy("day", "shard").parquet(f"{path}/run_id={run_id}/batch_id={batch_id}")
     return run_id
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """All stored reports. ``(run_id, batch_id, report_id)`` identifies one, so repeated submissions of a file stay apart."""
-    columns = StructType([*STORED_REPORT.fields, StructField("run_id", StringType()), StructField("batch_id", LongType())])
+    columns = StructType([
+        *STORED_REPORT.fields, StructField("run_id", StringType()), StructField("batch_id", LongType()),
+        StructField("day", DateType()), StructField("shard", IntegerType())])
     return spark.read.schema(columns).option("basePath", path).parquet(f"{path}/run_id=*/batch_id=*")
 
 
+def newest(rows: DataFrame, size: int = HISTORY_SIZE) -> DataFrame:
+    """Reports of the store from the days that hold the newest ``size``; the others are not read.
+
+    Reports are counted by day from the files' footers; there is one row per day.
+    """
+    by_day = rows.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    later = F.sum("n").over(W.orderBy(F.desc("day")).rowsBetween(W.unboundedPreceding, -1))
+    needed = by_day.withColumn("later", F.coalesce(later, F.lit(0))).where(F.col("later") < size).agg(F.min("day")).first()[0]
+    return rows.where(F.col("day") >= F.lit(needed)) if needed else rows
+
+
 def history(rows: DataFrame, size: int = HISTORY_SIZE) -> DataFrame:
-    """The newest reports without their text (H3)."""
+    """The newest reports without their text (H3); on a store, ``newest`` leaves out older days first."""
     return rows.orderBy(F.desc("created_at"), F.desc("report_id")).limit(size).select(
         F.col("report_id").alias("id"), "filename", "language", "created_at", "risk_level", "risk_score", "num_findings"
     )
@@ -69,5 +95,7 @@ def decoded(rows: DataFrame) -> DataFrame:
 
 
 def report_detail(rows: DataFrame, report_id: int) -> DataFrame:
-    """One stored report; no row when there is none."""
+    """One stored report; no row when there is none (A6). Of a store only the part of the id is read."""
+    if "shard" in rows.columns:
+        rows = rows.filter(F.col("shard") == report_id % SHARDS)
     return decoded(rows.filter(F.col("report_id") == report_id))

@@ -181,3 +181,23 @@ def test_changed_lines(spark):
     new = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "file_id long, line int, text string")
     old = spark.createDataFrame([(1, "a"), (2, "b")], "file_id long, text string")
     assert [tuple(r) for r in corpus_wide.changed_lines(new, old).collect()] == [(1, 2)]
+
+
+def test_a_store_reads_only_what_is_asked_for(spark, sources, tmp_path):
+    """A look-up prunes to the part of its id, the history to the newest days; both go on after a restart."""
+    path = str(tmp_path / "store")
+    made = analysis.reports(sources([("python", f"import os\nx = {i}\n") for i in range(24)]))
+    moment = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("file_id") * 3600)
+    store.append(store.stored(made, moment), path)
+    rows = store.read_store(spark, path)
+    plan = store.report_detail(rows, 13)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and f"(shard#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert [r.report_id for r in store.report_detail(rows, 13).collect()] == [13]
+    files = lambda frame: {r[0] for r in frame.select(F.input_file_name()).distinct().collect()}
+    assert len(files(store.newest(rows, 5))) < len(files(rows))
+    assert [r.id for r in store.history(store.newest(rows, 5), 5).collect()] == [23, 22, 21, 20, 19]
+    assert [r.id for r in store.history(store.newest(rows, 500), 500).collect()] == list(range(23, -1, -1))
+    store.append(store.stored(made.limit(1), F.lit("2024-01-05 10:00:00").cast("timestamp")), path)
+    again = store.read_store(spark, path)
+    assert again.count() == 25 and len(files(store.newest(again, 1))) == 1
+    assert store.newest(again.limit(0), 5).count() == 0
