@@ -53,17 +53,24 @@ FROM lines LEFT JOIN gone USING (doc_id, nth) GROUP BY doc_id
 """
 
 LEAKS = r"""
-WITH texts AS (
+WITH texts AS MATERIALIZED (
     SELECT 0 AS side, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents
     UNION ALL SELECT 1, item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') FROM benchmark),
-grams AS (
-    SELECT DISTINCT side, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-        ELSE [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] END) AS gram FROM texts
-    UNION SELECT 0, id, unnest([array_to_string(w[i:i + n - 1], ' ') for i in range(1, len(w) - n + 2)])
-    FROM texts, (SELECT DISTINCT len(w) AS n FROM texts WHERE side = 1 AND len(w) IN (3, 4)) WHERE side = 0 AND len(w) > n),
+asked AS (SELECT DISTINCT least(len(w), 5) AS n FROM texts WHERE side = 1 AND len(w) >= 3 UNION SELECT 5),
+words AS (SELECT side, id, len(w) AS total, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM texts),
+runs AS MATERIALIZED (
+    SELECT side, id, total, i, word AS g1, word || ' ' || lead(word, 1) OVER w AS g2, word || ' ' || lead(word, 1) OVER w || ' ' || lead(word, 2) OVER w AS g3,
+      word || ' ' || lead(word, 1) OVER w || ' ' || lead(word, 2) OVER w || ' ' || lead(word, 3) OVER w AS g4,
+      word || ' ' || lead(word, 1) OVER w || ' ' || lead(word, 2) OVER w || ' ' || lead(word, 3) OVER w || ' ' || lead(word, 4) OVER w AS g5
+    FROM words WINDOW w AS (PARTITION BY side, id ORDER BY i)),
+grams AS MATERIALIZED (
+    SELECT side, id, g5 AS gram FROM runs WHERE g5 IS NOT NULL
+    UNION SELECT side, id, CASE total WHEN 1 THEN g1 WHEN 2 THEN g2 WHEN 3 THEN g3 ELSE g4 END FROM runs WHERE total < 5 AND i = 1
+    UNION SELECT side, id, g3 FROM runs WHERE side = 0 AND g3 IS NOT NULL AND 3 IN (SELECT n FROM asked)
+    UNION SELECT side, id, g4 FROM runs WHERE side = 0 AND g4 IS NOT NULL AND 4 IN (SELECT n FROM asked)),
 sizes AS (SELECT id, count(*) AS n FROM grams WHERE side = 1 GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, n AS n_shingles, count(*) / n AS containment
-FROM grams d JOIN grams i ON d.gram = i.gram AND d.side = 0 AND i.side = 1 JOIN sizes ON sizes.id = i.id
+FROM (SELECT * FROM grams WHERE side = 1) i JOIN (SELECT * FROM grams WHERE side = 0) d ON d.gram = i.gram JOIN sizes ON sizes.id = i.id
 GROUP BY d.id, i.id, n HAVING count(*) >= 0.8 * n
 """
 
