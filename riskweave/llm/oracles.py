@@ -17,16 +17,17 @@ FROM scored QUALIFY rank <= 5
 
 CHATS = r"""
 WITH turns AS (
-    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-    UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'),
-                                    (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')))
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own FROM conversations
+    UNION ALL SELECT *, NULL FROM (VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'),
+                                          (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')))
 SELECT conv_id, count(*) AS n_turns,
     sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
     coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
     sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
     sum(length('<|im_start|>') + length(role) + 1 + length(text) + len(regexp_extract_all(text, '<\\*\|'))
         + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
-FROM turns GROUP BY conv_id
+FROM turns GROUP BY conv_id, own
 """
 
 LINES = r"""
