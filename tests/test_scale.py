@@ -201,3 +201,24 @@ def test_a_store_reads_only_what_is_asked_for(spark, sources, tmp_path):
     again = store.read_store(spark, path)
     assert again.count() == 25 and len(files(store.newest(again, 1))) == 1
     assert store.newest(again.limit(0), 5).count() == 0
+
+
+def test_a_stream_over_a_table_of_several_files(spark, tmp_path):
+    from riskweave.plans import catalog
+    rows = [(i, "a line\n" * i, "en", "web", 7 * i) for i in range(1, 7)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    (tmp_path / "many").mkdir()
+    documents.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    (tmp_path / "one").mkdir()
+    documents.toPandas().to_parquet(tmp_path / "one" / "documents.parquet", index=False)
+    for name in ("many", "one"):
+        told = catalog.queries()["j1_streamed_reports"](spark, str(tmp_path / name)).collect()
+        assert sorted(r.report_id for r in told) == [1, 2, 3, 4, 5, 6]
+
+
+def test_findings_on_changed_lines_are_made_once(spark, files):
+    new = lines.lines(files)
+    old = new.select((F.col("file_id") + 2).alias("file_id"), "text")
+    made = corpus_wide.on_changed_lines(analysis.findings(analysis.reports(files)), new, old)
+    text = plan(made)
+    assert text.count("SortAggregate") + text.count("ObjectHashAggregate") == 1
