@@ -222,3 +222,14 @@ def test_findings_on_changed_lines_are_made_once(spark, files):
     made = corpus_wide.on_changed_lines(analysis.findings(analysis.reports(files)), new, old)
     text = plan(made)
     assert text.count("SortAggregate") + text.count("ObjectHashAggregate") == 1
+
+
+def test_windows_copy_few_columns(files):
+    """What a window only passes on is one struct; all columns side by side made up to 60."""
+    widths, nodes = [], [analysis.reports(files)._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "Window":
+            widths.append(node.output().size())
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    assert len(widths) > 8 and max(widths) <= 40
