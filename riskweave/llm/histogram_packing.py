@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from riskweave.llm.common import Held, map_batches, text_hash, texts_of, written
+from riskweave.llm.common import Held, map_batches, takes_over, text_hash, texts_of, written
 
 #: Words held by a worker, twice over at most (bounds memory, never changes a result).
 HELD_WORDS = 250_000
@@ -76,6 +76,7 @@ def pieces(documents: DataFrame, path: str | None = None, size: int = 2048, with
     path = path or public_tokenizers.path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        takes_over("packing", encoder.cache_clear)
         encode = encoder(path).ids
         for batch in batches:
             owner, piece, length, crc, kept = [], [], [], [], []

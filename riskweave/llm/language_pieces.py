@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import map_batches, row_column, texts_of, whole_row
+from riskweave.llm.common import map_batches, row_column, takes_over, text_parts, whole_row
 
 UNDETERMINED = "und"
 #: Probability of a character that no piece of the vocabulary holds, in every language.
@@ -291,16 +291,28 @@ def predictions(documents: DataFrame, model: Model | None = None) -> DataFrame:
     sent = documents.sparkSession.sparkContext.broadcast(model)  # bounded: vocabulary x languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        takes_over("language", Model._held.clear)
         for batch in batches:
-            found = sent.value.predict(texts_of(batch.column("text")))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in found], pa.string()),
-                 pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            for part, texts in text_parts(batch, batch.column("text"), GROUP_CHARS):
+                found = sent.value.predict(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("held_out"), pa.array([x[0] for x in found], pa.string()),
+                     pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return map_batches(documents.select("doc_id", held_out().alias("held_out"), "text"), run,
                        "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def accepted(known: Model, batch: pa.RecordBatch, column: pa.Array, least: float) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch whose text (of ``column``) has a language, about a million bytes of texts at a time."""
+    for part, texts in text_parts(batch, column, GROUP_CHARS):
+        if known.languages:
+            keep = [found[0] != UNDETERMINED and found[1] >= least for found in known.predict(texts)]
+        else:
+            keep = [any(c.isalpha() for c in t) for t in texts]
+        yield part.filter(pa.array(keep, pa.bool_()))
+
+
 def identified(documents: DataFrame, least: float = 0.5, model: Model | None = None) -> DataFrame:
     """Rows of ``documents`` with a language: rejects texts that are null or hold no letter, and scores below ``least``.
 
@@ -309,15 +321,15 @@ def identified(documents: DataFrame, least: float = 0.5, model: Model | None = N
     model = model or fit(documents)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
+    # the text goes to the worker and back once, inside its row
+    names = documents.columns
+    place = names.index("text") if "text" in names else [c.lower() for c in names].index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        takes_over("language", Model._held.clear)
         known = sent.value
         for batch in batches:
-            texts = texts_of(batch.column("text"))
-            if known.languages:
-                keep = [found[0] != UNDETERMINED and found[1] >= least for found in known.predict(texts)]
-            else:
-                keep = [any(c.isalpha() for c in t) for t in texts]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    rows = documents.select(whole_row(documents).alias("row"), "text")
-    return map_batches(rows, run, rows.schema).select(*[row_column(c).alias(c) for c in documents.columns])
+            yield from accepted(known, batch, batch.column("row").field(place), least)
+
+    rows = documents.select(whole_row(documents).alias("row"))
+    return map_batches(rows, run, rows.schema).select(*[row_column(c).alias(c) for c in names])

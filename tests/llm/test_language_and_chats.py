@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from conftest import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -209,3 +210,41 @@ def test_escapes_are_reversible(value):
     assert ct.unescaped(ct.escaped(value)) == value
     assert "<|" not in ct.escaped(value)
     assert ct.role_of(ct.header(value)) == value and ct.header(value).count("\n") == 1
+
+
+def test_a_batch_is_scored_in_parts_and_its_text_is_sent_once(spark):
+    texts = ["a" * 400_000, None, "7", "b" * 700_000, "", "c" * 900_000, "d"]
+    batch = pa.RecordBatch.from_pydict({"row": [{"n": i, "text": t} for i, t in enumerate(texts)]}).slice(1)
+
+    class Known:
+        languages, asked = ["aa"], []
+
+        def predict(self, part):
+            self.asked.append(sum(map(len, part)))
+            return [("aa", 1.0) if t.isalpha() else (lp.UNDETERMINED, 0.0) for t in part]
+
+    parts = list(lp.accepted(Known(), batch, batch.column("row").field(1), 0.5))
+    assert [x["n"] for p in parts for x in p.column("row").to_pylist()] == [3, 5, 6]
+    assert Known.asked == [700_000, 900_001]
+    documents = spark.createDataFrame([(1, "ein Text", "x")], "doc_id long, text string, Row string")
+    model = lp.Model("", [], np.empty((0, 0)))
+    kept = lp.identified(documents, model=model)
+    assert [tuple(r) for r in kept.collect()] == [(1, "ein Text", "x")]
+    nodes, inputs = [kept._jdf.queryExecution().optimizedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        inputs += [c.output().size() for c in children if node.nodeName() == "MapInArrow"]
+        nodes += children
+    assert inputs == [1]
+
+
+def test_a_worker_remembers_for_one_operator_at_a_time():
+    from riskweave.llm import common, histogram_packing
+
+    common.takes_over("language", lp.Model._held.clear)
+    lp.Model._held["model"] = None, {"word": b""}
+    common.takes_over("language", lp.Model._held.clear)
+    assert lp.Model._held
+    common.takes_over("packing", histogram_packing.encoder.cache_clear)
+    assert not lp.Model._held
