@@ -225,7 +225,7 @@ def test_a_batch_is_scored_in_parts_and_its_text_is_sent_once(spark):
 
     parts = list(lp.accepted(Known(), batch, batch.column("row").field(1), 0.5))
     assert [x["n"] for p in parts for x in p.column("row").to_pylist()] == [3, 5, 6]
-    assert Known.asked == [700_000, 900_001]
+    assert Known.asked == [700_001, 900_001]
     documents = spark.createDataFrame([(1, "ein Text", "x")], "doc_id long, text string, Row string")
     model = lp.Model("", [], np.empty((0, 0)))
     kept = lp.identified(documents, model=model)
