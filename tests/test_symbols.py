@@ -60,3 +60,20 @@ def test_line_counts_by_the_last_bytes(spark):
     codes = ["", "a", "a\n", "a\r\n", "a ", "a\x85b", "\n", "ü\x1c", "a\n\nü"]
     rows = spark.createDataFrame([(c,) for c in codes], "code string").select(text.count_lines(F.col("code")).alias("n")).collect()
     assert [row.n for row in rows] == [len(c.splitlines()) for c in codes]
+
+
+def test_rows_go_before_the_windows_that_need_few(sources):
+    """Of the windows in token order only those that look at neighbours and statements see all tokens; uses of names go before the join."""
+    node, seen = analysis.reports(sources([("python", "import os\n")]))._jdf.queryExecution().optimizedPlan(), []
+    while node.children().size():
+        seen.append(node.nodeName())
+        node = node.children().apply(0)
+    windows = [i for i, name in enumerate(seen) if name == "Window"]
+    # from the top: four for spans, names, three by level, contexts; two over all tokens and that of the files are left
+    between = seen[windows[8]:windows[9]]
+    assert len(windows) == 12 and "Filter" in between and seen[seen.index("Join") + 1:].index("Filter") < seen[seen.index("Join") + 1:].index("Window")
+
+
+def test_decorated_functions_after_dropped_tokens(told):
+    code = "@dec(3, 'a' 'b')\n@more\ndef f(a=None):\n    return a.b\n\ndef g(a=None):\n    return 3 + a.b\n"
+    assert told([("python", code)]) == [["MISSING_NONE_CHECK@4", "MISSING_NONE_CHECK@7"]]
